@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, near_dup, packing, pii, quality, sharding, topk
+from weftline.llm import decontam, licenses, lines, near_dup, packing, pii, quality, repeats, sharding, topk
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -76,3 +76,47 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"), span=50).drop("removed")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_matches(table(spark, sf_dir, "documents"), percent=80).drop("row")
+
+
+ORACLE_SQL["op6_line_dedup"] = """
+WITH line AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), one AS (
+  SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM line
+), worded AS (
+  SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda x: x <> ''))) AS w
+  FROM one
+), full_line AS (SELECT * FROM worded WHERE len(w) > 0),
+firsts AS (
+  SELECT w, min({'d': doc_id, 'p': pos}) AS f, len(w) AS t, row_number() OVER () AS k FROM full_line GROUP BY w
+), token AS (SELECT k, t, f, unnest(w) AS x FROM firsts WHERE t >= 4),
+pair AS (
+  SELECT a.k AS k FROM token a JOIN token b ON a.x = b.x AND b.f < a.f AND 100 * least(a.t, b.t) >= 80 * greatest(a.t, b.t)
+  GROUP BY a.k, b.k, a.t, b.t HAVING 100 * count(*) >= 80 * (a.t + b.t - count(*))
+), near AS (SELECT DISTINCT k FROM pair),
+gone AS (
+  SELECT l.doc_id, l.pos, (l.doc_id <> f.f.d OR l.pos <> f.f.p) AS again
+  FROM full_line l JOIN firsts f ON l.w = f.w
+  WHERE l.doc_id <> f.f.d OR l.pos <> f.f.p OR f.k IN (SELECT k FROM near)
+), summed AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_exact, count(*) FILTER (NOT again) AS n_near, list(CAST(pos AS INTEGER) ORDER BY pos) AS removed FROM gone GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(l.parts) AS BIGINT) AS n_lines, coalesce(s.n_exact, 0) AS n_exact, coalesce(s.n_near, 0) AS n_near,
+       coalesce(s.removed, CAST([] AS INTEGER[])) AS removed
+FROM line l LEFT JOIN summed s USING (doc_id)
+"""
