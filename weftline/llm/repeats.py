@@ -242,7 +242,11 @@ def _emit(data, ends, doc, offset, keys, span, buckets, width) -> Iterator[pa.Re
     body[np.arange(width) >= (strings + span - 1)[:, None]] = 0
     settled, rest = _owned(body, strings, own)
     if settled.any():
-        yield _ranges(own[settled], place[settled], place[settled] + strings[settled] + span - 1)
+        d, a, b = own[settled], place[settled], place[settled] + strings[settled] + span - 1
+        new = np.ones(len(d), dtype=bool)  # phrases in a row make one range; their starts and ends go up together
+        new[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])
+        first = np.flatnonzero(new)
+        yield _ranges(d[first], a[first], b[np.append(first[1:], len(d)) - 1])
     keep = np.flatnonzero(rest)
     order = keep[np.argsort(bucket[keep], kind="stable")]
     for b, lo, hi in zip(*(x.tolist() for x in _runs(bucket[order])), strict=True):
