@@ -27,12 +27,25 @@ from weftline.llm.common import stored
 CELLS = 1 << 14
 
 
+#: Bits of a word's hash below the bits for its rarity.
+HASH_BITS = 48
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, pos, h): the distinct word hashes of each line."""
+    """(id, row, pos, words) of each line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.translate(text, "\t\r\f\x0b", "    ").alias("text"))
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\f") | text.contains("\x0b")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(odd, F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text).alias("text"))
     lines = rows.where("id is not null").select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("id", "row", "pos", F.expr("array_distinct(transform(filter(split(line, ' '), x -> x <> ''), x -> xxhash64(x)))").alias("h")).where("size(h) > 0")
+    return lines.select("id", "row", "pos", F.array_remove(F.split("line", " "), "").alias("words"))
+
+
+def _rarity(lines: DataFrame) -> str:
+    """SQL for a constant array: by cell, how often its words occur, in 14 bits above HASH_BITS."""
+    cell = (F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")
+    counts = dict(lines.select(F.explode("words").alias("word")).groupBy(cell).count().collect())  # CELLS rows at most
+    shift = max(0, max(counts.values(), default=0).bit_length() - 14)
+    return "cast(split('" + ",".join(str(counts.get(i, 0) >> shift << HASH_BITS) for i in range(CELLS)) + "', ',') as array<bigint>)"
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
@@ -47,21 +60,20 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     not looked at.
     """
     lines = _lines(docs, id_col, text_col)
-    counts = dict(lines.select(F.explode("h").alias("h")).groupBy((F.pmod("h", F.lit(CELLS))).cast("int").alias("cell")).count().collect())  # CELLS rows at most
-    table = ",".join(str(counts.get(i, 0)) for i in range(CELLS))
-    ordered = F.expr(f"array_sort(transform(h, x -> struct(get(cast(split('{table}', ',') as array<long>), cast(pmod(x, {CELLS}) as int)) as c, x as w))).w")
-    sized = lines.select("id", "row", "pos", F.size("h").alias("t"), ordered.alias("h"))
+    # A word is one number, rarity above hash; sorted arrays of numbers need no comparator.
+    hashed = f"transform(words, x -> xxhash64(x) & {2**HASH_BITS - 1})"
+    ranked = f"transform({hashed}, h -> coalesce({_rarity(lines)}[cast(h & {CELLS - 1} as int)], 0L) | h)"
+    sets = lines.select("id", "row", "pos", F.expr(f"array_distinct(sort_array({ranked}))").alias("h")).where("size(h) > 0")
     kept = stored(
-        sized.select(
-            "id", "row", "pos", "t", F.xxhash64("h").alias("f"), F.xxhash64("h", F.lit(1)).alias("g"),
-            F.expr(f"case when t * {100 - percent} >= {percent} then transform(slice(h, 1, t - cast(ceil(t * {percent} / 100) as int) + 1), x -> cast(shiftright(x, 32) as int)) end").alias("prefix"),
-            F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
+        sets.select(
+            "id", "row", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
+            F.expr(f"case when size(h) * {100 - percent} >= {percent} then slice(h, 1, size(h) - cast(ceil(size(h) * {percent} / 100) as int) + 1) end").alias("prefix"),
         ),
         "lines",
     )
     # Sets too small to match any but themselves have no prefix: t / (t + 1) is below the threshold.
-    sets = kept.where("prefix is not null").groupBy("f", "g").agg(F.first("t").alias("t"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    words = sets.select(F.posexplode("prefix").alias("p", "w"), "f", "t", "bits").select("w", "f", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"), "bits")
+    one = kept.where("prefix is not null").groupBy("f", "t", "bits").agg(F.first("prefix").alias("prefix"))
+    words = one.select(F.posexplode("prefix").alias("p", "w"), "f", "t", "bits").select("w", "f", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"), "bits")
     size = "(cast({0}.tp as bigint) >> 32)"
     ta, tb = size.format("a"), size.format("b")
     need = f"cast(ceil(({ta} + {tb}) * {percent} / {100 + percent}) as bigint)"
@@ -70,18 +82,17 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         f" and least({ta} - (a.tp & 4294967295), {tb} - (b.tp & 4294967295)) >= {need}"
         f" and bit_count(a.bits ^ b.bits) <= {ta} + {tb} - 2 * {need}"
     )
-    near = stored(words.alias("a").join(words.alias("b"), F.expr(cheap), "left_semi").select("f").distinct(), "near")
-
-    first = kept.groupBy("f", "g").agg(F.min(F.struct("id", "pos")).alias("first"))
-    # The whole sets of lines with a partner, from the first line that has them.
-    wanted = kept.join(near, "f", "left_semi").join(first, ["f", "g"]).where("id = first.id and pos = first.pos")
-    whole = wanted.select("f", "g", "row", "id", "pos", "prefix", "t", "bits").join(lines.select("row", "pos", "h"), ["row", "pos"]).dropDuplicates(["f", "g"])
-    whole = stored(whole.select("f", "g", "id", "pos", "t", "bits", "prefix", F.array_sort("h").alias("h")), "whole")
-    words = whole.select(F.posexplode("prefix").alias("p", "w"), "f", "g", "id", "pos", "bits", "h", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"))
+    near = stored(words.alias("a").join(words.alias("b"), F.expr(cheap), "left_semi"), "near")
+
+    first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos")).alias("first"))
+    # The whole sets of lines with a partner, from the first line that has them; they go only under words that matched.
+    wanted = kept.select("id", "row", "pos", "f", "t", "bits").join(near.select("f").distinct(), "f", "left_semi").join(first, ["f", "t", "bits"]).where("id = first.id and pos = first.pos")
+    whole = wanted.select("f", "row", "id", "pos").join(sets.select("row", "pos", "h"), ["row", "pos"]).dropDuplicates(["f"]).select("f", "id", "pos", "h")
+    words = near.join(whole, "f")
     exact = cheap + f" and (b.id < a.id or b.id = a.id and b.pos < a.pos) and size(array_intersect(a.h, b.h)) >= {need}"
-    later = words.alias("a").join(words.alias("b"), F.expr(exact), "left_semi").select("f", "g").distinct().withColumn("near", F.lit(True))
+    later = words.alias("a").join(words.alias("b"), F.expr(exact), "left_semi").select("f").distinct().withColumn("near", F.lit(True))
 
-    marked = kept.select("id", "row", "pos", "f", "g").join(first.join(later, ["f", "g"], "left"), ["f", "g"])
+    marked = kept.select("id", "row", "pos", "f", "t", "bits").join(first.join(later, "f", "left"), ["f", "t", "bits"])
     again = ~((F.col("id") == F.col("first.id")) & (F.col("pos") == F.col("first.pos")))
     gone = marked.withColumn("again", again).where("again or near").select("row", "pos", "again")
     gone = gone.groupBy("row").agg(F.count_if("again").alias("n_exact"), F.count_if(~F.col("again")).alias("n_near"), F.array_sort(F.collect_list("pos")).alias("removed"))
