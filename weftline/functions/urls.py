@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def stripped(x: Column) -> Column:
@@ -36,6 +37,9 @@ def path(url: Column) -> Column:
 
 def normalized(base: Column, ref: Column) -> Column:
     """ref as an absolute URL. Null for relative references with dot segments; normalized_udf takes those too."""
+    # A relative reference replaces what follows the last slash of base + "/", which may be in the query; slashes in a row are one.
+    whole = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.when(base.rlike("[?#]"), F.regexp_replace(whole, "[^/]*$", "")).otherwise(whole)
     simple = ~ref.rlike(r"(^|/)\.\.?(/|$|\?|#)") & ~ref.rlike(r"^[?#;]") & ~ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     return (
         F.when(F.length(stripped(ref)) == 0, ref)
@@ -43,11 +47,11 @@ def normalized(base: Column, ref: Column) -> Column:
         .when(ref.rlike("^https?://"), ref)
         .when(ref.startswith("data:"), ref)
         .when(ref.startswith("/"), F.concat(domain(base), ref))
-        .when(simple, F.concat(F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), "/?$", "/"), ref))
+        .when(simple, F.concat(domain(base), F.regexp_replace(F.concat(F.lit("/"), folder, F.lit("/")), "/+", "/"), ref))
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """normalized() for every reference, by RFC 3986 where it is relative."""
     from urllib.parse import urljoin, urlparse
@@ -123,7 +127,7 @@ def url_class(url: Column) -> Column:
         F.when(has("/category/", "/categories/"), "categories")
         .when(has("/tag/", "/tags/"), "tags")
         .when(has("/author/", "/authors/"), "authors")
-        .when(has("/wp-content/uploads/", ".jpg", ".png", ".pdf", ".zip"), "media")
+        .when(p.contains("/wp-content/uploads/") | p.rlike(r"\.(jpg|png|pdf|zip)$"), "media")
         .when(p.rlike("/[0-9]{4}/[0-9]{2}/"), "posts")
         .when((slashes <= 2) & ~p.endswith("/"), "pages")
         .when((slashes >= 3) | p.rlike("[0-9]{4}"), "posts")

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from weftline.operators.runs import runs
+from weftline.operators.web import web
+
+QUERIES = web.queries | runs.queries
+ORACLE_SQL = web.sql | runs.sql
