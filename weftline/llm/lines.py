@@ -31,13 +31,16 @@ CELLS = 1 << 14
 HASH_BITS = 48
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, pos, words) of each line."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text) with all white space inside lines as spaces."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     odd = text.contains("\t") | text.contains("\r") | text.contains("\f") | text.contains("\x0b")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(odd, F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text).alias("text"))
-    lines = rows.where("id is not null").select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("id", "row", "pos", F.array_remove(F.split("line", " "), "").alias("words"))
+    return rows.where("id is not null")
+
+
+def _words(line):
+    return F.array_remove(F.split(line, " "), "").alias("words")
 
 
 def _rarity(lines: DataFrame) -> str:
@@ -59,11 +62,13 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unless equal words make them one set. `row` is monotonically_increasing_id() of docs as read. Other columns are
     not looked at.
     """
-    lines = _lines(docs, id_col, text_col)
+    texts = _rows(docs, id_col, text_col)
+    lines = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "row", "pos", _words("line"))
     # A word is one number, rarity above hash; sorted arrays of numbers need no comparator.
     hashed = f"transform(words, x -> xxhash64(x) & {2**HASH_BITS - 1})"
     ranked = f"transform({hashed}, h -> coalesce({_rarity(lines)}[cast(h & {CELLS - 1} as int)], 0L) | h)"
-    sets = lines.select("id", "row", "pos", F.expr(f"array_distinct(sort_array({ranked}))").alias("h")).where("size(h) > 0")
+    ranked = F.expr(f"array_distinct(sort_array({ranked}))").alias("h")
+    sets = lines.select("id", "row", "pos", ranked).where("size(h) > 0")
     kept = stored(
         sets.select(
             "id", "row", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
@@ -87,7 +92,10 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos")).alias("first"))
     # The whole sets of lines with a partner, from the first line that has them; they go only under words that matched.
     wanted = kept.select("id", "row", "pos", "f", "t", "bits").join(near.select("f").distinct(), "f", "left_semi").join(first, ["f", "t", "bits"]).where("id = first.id and pos = first.pos")
-    whole = wanted.select("f", "row", "id", "pos").join(sets.select("row", "pos", "h"), ["row", "pos"]).dropDuplicates(["f"]).select("f", "id", "pos", "h")
+    places = wanted.dropDuplicates(["f"]).groupBy("row").agg(F.collect_list(F.struct("f", "id", "pos")).alias("lines"))
+    # Texts go to their places, not word hashes: text compresses.
+    found = texts.select("row", "text").join(places, "row").select(F.split("text", "\n").alias("text"), F.explode("lines").alias("at"))
+    whole = found.select("at.*", _words(F.get("text", F.col("at.pos")))).select("f", "id", "pos", ranked)
     words = near.join(whole, "f")
     exact = cheap + f" and (b.id < a.id or b.id = a.id and b.pos < a.pos) and size(array_intersect(a.h, b.h)) >= {need}"
     later = words.alias("a").join(words.alias("b"), F.expr(exact), "left_semi").select("f").distinct().withColumn("near", F.lit(True))
