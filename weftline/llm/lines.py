@@ -95,10 +95,11 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = wanted.dropDuplicates(["f"]).groupBy("row").agg(F.collect_list(F.struct("f", "id", "pos")).alias("lines"))
     # Texts go to their places, not word hashes: text compresses.
     found = texts.select("row", "text").join(places, "row").select(F.split("text", "\n").alias("text"), F.explode("lines").alias("at"))
-    whole = found.select("at.*", _words(F.get("text", F.col("at.pos")))).select("f", "id", "pos", ranked)
+    whole = stored(found.select("at.*", _words(F.get("text", F.col("at.pos")))).select("f", "id", "pos", ranked), "whole")
     words = near.join(whole, "f")
     exact = cheap + f" and (b.id < a.id or b.id = a.id and b.pos < a.pos) and size(array_intersect(a.h, b.h)) >= {need}"
-    later = words.alias("a").join(words.alias("b"), F.expr(exact), "left_semi").select("f").distinct().withColumn("near", F.lit(True))
+    later = words.alias("a").join(words.alias("b"), F.expr(exact), "left_semi").select("f").distinct()
+    later = stored(later, "later").withColumn("near", F.lit(True))
 
     marked = kept.select("id", "row", "pos", "f", "t", "bits").join(first.join(later, "f", "left"), ["f", "t", "bits"])
     again = ~((F.col("id") == F.col("first.id")) & (F.col("pos") == F.col("first.pos")))

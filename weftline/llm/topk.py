@@ -62,7 +62,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             if len(at) > 4 * k and score.dtype != object:
                 at = at[score[at] >= np.partition(score[at], -k)[-k]]
             best = sorted(best + [(-int(score[i]), int(ids[part][i])) for i in at])[:k]
-        out += [(int(own), i, -s) for s, i in best]
+        out += [(int(own), i, min(max(-s, -(2**63)), 2**63 - 1)) for s, i in best]
     return out
 
 
@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     """(query_id, rank, vec_id, score): for each row where is_query holds, its k best rows by integer inner product.
 
     Components become floor(256 x). Ties go to smaller ids. Rows that share the query's id are not its candidates;
-    otherwise repeated rows are candidates each. Rows whose id or vector is null, or whose vector holds a null or a
+    otherwise repeated rows are candidates each. Scores beyond 64 bits are said as the nearest of 64 bits. Rows whose id or vector is null, or whose vector holds a null or a
     non-finite component, take no part; shorter vectors count as followed by zeros. Fewer rows give fewer results.
     """
     spark = vectors.sparkSession
