@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -33,9 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputing beyond it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
     # Spark removes the shuffle files of finished jobs when the driver's collector finds them unreachable; large jobs
-    # with an idle driver would keep them to the end.
+    # with an idle driver would keep them to the end. Events that are still to be delivered refer to a job's plan.
+    if time.monotonic() - began > 4:
+        time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

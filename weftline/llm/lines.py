@@ -9,22 +9,25 @@ A line is the set of its words. Lines with equal sets are one set, kept where it
   meet in the join.
 * Position and length. The join passes a pair only if the sizes and what is left behind the shared word allow the overlap.
 * A bitmap of 64 word parities bounds the symmetric difference from below and drops nearly all other pairs.
-* Verification. Lines that pass with any partner get their whole sets from the texts again; the second join adds order
-  and exact Jaccard to its condition.
+* Verification, in two rounds of a join with order and exact Jaccard in its condition. First each line with any partner
+  comes once, with its whole set, under the rarest of its words that passed. Then lines without an earlier match meet,
+  under all their words, only those earlier lines that pass with them and came under another word before.
 
-Both joins are semi joins: they say that a partner exists and never make a row for a pair, so a family of a thousand
+All joins are semi joins: they say that a partner exists and never make a row for a pair, so a family of a thousand
 variants of a line costs comparisons, not rows. Sort-merge joins spill, and skewed words are split at run time.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stored
 
 #: Cells of the table of word counts.
-CELLS = 1 << 14
+CELLS = 1 << 17
 
 
 #: Bits of a word's hash below the bits for its rarity.
@@ -39,16 +42,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where("id is not null")
 
 
-def _words(line):
-    return F.array_remove(F.split(line, " "), "").alias("words")
+def _lines(texts: DataFrame) -> DataFrame:
+    """(id, row, pos, line) for the lines with words."""
+    # The test looks at the line, so that it does not repeat the work on its words.
+    return texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.ltrim("line") != "")
 
 
 def _rarity(lines: DataFrame) -> str:
-    """SQL for a constant array: by cell, how often its words occur, in 14 bits above HASH_BITS."""
+    """SQL for a constant array: by cell, eight times the binary logarithm of how often its words occur."""
     cell = (F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")
-    counts = dict(lines.select(F.explode("words").alias("word")).groupBy(cell).count().collect())  # CELLS rows at most
-    shift = max(0, max(counts.values(), default=0).bit_length() - 14)
-    return "cast(split('" + ",".join(str(counts.get(i, 0) >> shift << HASH_BITS) for i in range(CELLS)) + "', ',') as array<bigint>)"
+    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
+    counts = dict(words.groupBy(cell).count().collect())  # CELLS rows at most
+    return "cast(split('" + ",".join(str(int(8 * log2(counts.get(i, 1)))) for i in range(CELLS)) + "', ',') as array<smallint>)"
+
+
+def _ranked(rarity: str) -> str:
+    """SQL for the sorted set of a line's words: each is one number, rarity above hash, so no comparator is needed."""
+    one = f"shiftleft(cast({rarity}[cast(xxhash64(x) & {CELLS - 1} as int)] as bigint), {HASH_BITS}) | (xxhash64(x) & {2**HASH_BITS - 1})"
+    return f"array_distinct(sort_array(transform(array_remove(split(line, ' '), ''), x -> {one})))"
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
@@ -62,22 +73,18 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unless equal words make them one set. `row` is monotonically_increasing_id() of docs as read. Other columns are
     not looked at.
     """
-    texts = _rows(docs, id_col, text_col)
-    lines = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "row", "pos", _words("line"))
-    # A word is one number, rarity above hash; sorted arrays of numbers need no comparator.
-    hashed = f"transform(words, x -> xxhash64(x) & {2**HASH_BITS - 1})"
-    ranked = f"transform({hashed}, h -> coalesce({_rarity(lines)}[cast(h & {CELLS - 1} as int)], 0L) | h)"
-    ranked = F.expr(f"array_distinct(sort_array({ranked}))").alias("h")
-    sets = lines.select("id", "row", "pos", ranked).where("size(h) > 0")
+    lines = _lines(_rows(docs, id_col, text_col))
+    ranked = F.expr(_ranked(_rarity(lines))).alias("h")
     kept = stored(
-        sets.select(
+        lines.select("id", "row", "pos", ranked).select(
             "id", "row", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
             F.expr(f"case when size(h) * {100 - percent} >= {percent} then slice(h, 1, size(h) - cast(ceil(size(h) * {percent} / 100) as int) + 1) end").alias("prefix"),
         ),
         "lines",
     )
     # Sets too small to match any but themselves have no prefix: t / (t + 1) is below the threshold.
-    one = kept.where("prefix is not null").groupBy("f", "t", "bits").agg(F.first("prefix").alias("prefix"))
+    # The prefix is the same for one set; with it among the keys, the rows need no sort.
+    one = kept.where("prefix is not null").select("f", "t", "bits", "prefix").distinct()
     words = one.select(F.posexplode("prefix").alias("p", "w"), "f", "t", "bits").select("w", "f", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"), "bits")
     size = "(cast({0}.tp as bigint) >> 32)"
     ta, tb = size.format("a"), size.format("b")
@@ -89,23 +96,29 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     near = stored(words.alias("a").join(words.alias("b"), F.expr(cheap), "left_semi"), "near")
 
-    first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos")).alias("first"))
-    # The whole sets of lines with a partner, from the first line that has them; they go only under words that matched.
-    wanted = kept.select("id", "row", "pos", "f", "t", "bits").join(near.select("f").distinct(), "f", "left_semi").join(first, ["f", "t", "bits"]).where("id = first.id and pos = first.pos")
-    places = wanted.dropDuplicates(["f"]).groupBy("row").agg(F.collect_list(F.struct("f", "id", "pos")).alias("lines"))
-    # Texts go to their places, not word hashes: text compresses.
-    found = texts.select("row", "text").join(places, "row").select(F.split("text", "\n").alias("text"), F.explode("lines").alias("at"))
-    whole = stored(found.select("at.*", _words(F.get("text", F.col("at.pos")))).select("f", "id", "pos", ranked), "whole")
-    words = near.join(whole, "f")
-    exact = cheap + f" and (b.id < a.id or b.id = a.id and b.pos < a.pos) and size(array_intersect(a.h, b.h)) >= {need}"
-    later = words.alias("a").join(words.alias("b"), F.expr(exact), "left_semi").select("f").distinct()
-    later = stored(later, "later").withColumn("near", F.lit(True))
-
-    marked = kept.select("id", "row", "pos", "f", "t", "bits").join(first.join(later, "f", "left"), ["f", "t", "bits"])
+    first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
+    # The whole sets of lines with a partner, from the first line that has them, under the first of their words that passed.
+    wanted = near.groupBy("f").agg(F.min(F.struct("w", "tp", "bits")).alias("one")).join(first.select("f", "first"), "f")
+    places = wanted.join(kept.select("f", "id", "pos", "row"), "f").where("id = first.id and pos = first.pos").dropDuplicates(["f"]).select("row", "pos", "f", "one.*")
+    whole = stored(lines.join(places, ["row", "pos"]).select("f", "id", "pos", "w", "tp", "bits", ranked), "whole")
+    earlier = "(b.id < a.id or b.id = a.id and b.pos < a.pos)"
+    exact = f"{cheap} and {earlier} and size(array_intersect(a.h, b.h)) >= {need}"
+    once = stored(whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("f"), "once")
+    # Pairs under one word have been compared: if they match, their first common word is the first of either that passed.
+    again = f"{cheap} and {earlier} and a.w1 <> b.w1"
+    words = near.join(whole.select("f", "id", "pos", F.col("w").alias("w1")), "f")
+    open_ = stored(words.join(once, "f", "left_anti").alias("a").join(words.alias("b"), F.expr(again), "left_semi"), "open")
+    other = words.alias("b").join(open_.alias("a"), F.expr(again), "left_semi")
+    sets = whole.select("f", "h")
+    twice = open_.join(sets, "f").alias("a").join(other.join(sets, "f").alias("b"), F.expr(exact), "left_semi").select("f").distinct()
+    later = once.union(stored(twice, "twice")).withColumn("near", F.lit(True))
+
+    marked = kept.select("id", "row", "pos", "f", "t", "bits").join(first.join(later, "f", "left").where("n > 1 or near"), ["f", "t", "bits"])
     again = ~((F.col("id") == F.col("first.id")) & (F.col("pos") == F.col("first.pos")))
     gone = marked.withColumn("again", again).where("again or near").select("row", "pos", "again")
     gone = gone.groupBy("row").agg(F.count_if("again").alias("n_exact"), F.count_if(~F.col("again")).alias("n_near"), F.array_sort(F.collect_list("pos")).alias("removed"))
-    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long").alias("n_lines"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
     return rows.join(gone, "row", "left").select(
         id_col, "row", "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
