@@ -38,9 +38,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # Spark removes the shuffle files of finished jobs when the driver's collector finds them unreachable; large jobs
     # with an idle driver would keep them to the end. Events that are still to be delivered refer to a job's plan.
-    if time.monotonic() - began > 4:
-        time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3 if time.monotonic() - began > 4 else 1):
+        spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - began > 4:
+            time.sleep(1.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
