@@ -20,13 +20,13 @@ MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only a local session may do without the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        # The setting itself cannot be changed in a running session; the context's folder can.
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftline-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
