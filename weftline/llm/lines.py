@@ -48,18 +48,20 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.ltrim("line") != "")
 
 
-def _rarity(lines: DataFrame) -> str:
+def _rarity(texts: DataFrame) -> str:
     """SQL for a constant array: by cell, eight times the binary logarithm of how often its words occur."""
     cell = (F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")
-    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
+    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = dict(words.groupBy(cell).count().collect())  # CELLS rows at most
     return "cast(split('" + ",".join(str(int(8 * log2(counts.get(i, 1)))) for i in range(CELLS)) + "', ',') as array<smallint>)"
 
 
 def _ranked(rarity: str) -> str:
     """SQL for the sorted set of a line's words: each is one number, rarity above hash, so no comparator is needed."""
-    one = f"shiftleft(cast({rarity}[cast(xxhash64(x) & {CELLS - 1} as int)] as bigint), {HASH_BITS}) | (xxhash64(x) & {2**HASH_BITS - 1})"
-    return f"array_distinct(sort_array(transform(array_remove(split(line, ' '), ''), x -> {one})))"
+    hashes = "transform(array_remove(split(line, ' '), ''), x -> xxhash64(x))"
+    # Every cell has a value; coalesce() tells the planner, which then sorts plain numbers.
+    one = f"shiftleft(cast(coalesce({rarity}[cast(x & {CELLS - 1} as int)], 0S) as bigint), {HASH_BITS}) | (x & {2**HASH_BITS - 1})"
+    return f"array_distinct(sort_array(transform({hashes}, x -> {one})))"
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
@@ -73,8 +75,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unless equal words make them one set. `row` is monotonically_increasing_id() of docs as read. Other columns are
     not looked at.
     """
-    lines = _lines(_rows(docs, id_col, text_col))
-    ranked = F.expr(_ranked(_rarity(lines))).alias("h")
+    texts = _rows(docs, id_col, text_col)
+    lines = _lines(texts)
+    ranked = F.expr(_ranked(_rarity(texts))).alias("h")
     kept = stored(
         lines.select("id", "row", "pos", ranked).select(
             "id", "row", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
@@ -96,11 +99,12 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     near = stored(words.alias("a").join(words.alias("b"), F.expr(cheap), "left_semi"), "near")
 
-    first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
+    first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("n"))
     # The whole sets of lines with a partner, from the first line that has them, under the first of their words that passed.
-    wanted = near.groupBy("f").agg(F.min(F.struct("w", "tp", "bits")).alias("one")).join(first.select("f", "first"), "f")
-    places = wanted.join(kept.select("f", "id", "pos", "row"), "f").where("id = first.id and pos = first.pos").dropDuplicates(["f"]).select("row", "pos", "f", "one.*")
-    whole = stored(lines.join(places, ["row", "pos"]).select("f", "id", "pos", "w", "tp", "bits", ranked), "whole")
+    wanted = near.groupBy("f").agg(F.min(F.struct("w", "tp", "bits")).alias("one"))
+    places = wanted.join(first.select("f", "first.row", "first.pos"), "f").select("row", "pos", "f", "one.*")
+    # One small row for a place, evenly dealt: as the built side of a hash join it spares a sort of all lines' texts.
+    whole = stored(lines.join(places.hint("shuffle_hash"), ["row", "pos"]).select("f", "id", "pos", "w", "tp", "bits", ranked), "whole")
     earlier = "(b.id < a.id or b.id = a.id and b.pos < a.pos)"
     exact = f"{cheap} and {earlier} and size(array_intersect(a.h, b.h)) >= {need}"
     once = stored(whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("f"), "once")
