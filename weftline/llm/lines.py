@@ -9,6 +9,7 @@ A line is the set of its words. Lines with equal sets are one set, kept where it
   meet in the join.
 * Position and length. The join passes a pair only if the sizes and what is left behind the shared word allow the overlap.
 * A bitmap of 64 word parities bounds the symmetric difference from below and drops nearly all other pairs.
+* With the whole set at hand, the bitmap is one of 256 parities, which lets next to nothing but near misses through.
 * Verification, in two rounds of a join with order and exact Jaccard in its condition. First each line with any partner
   comes once, with its whole set, under the rarest of its words that passed. Then lines without an earlier match meet,
   under all their words, only those earlier lines that pass with them and came under another word before.
@@ -56,6 +57,11 @@ def _rarity(texts: DataFrame) -> str:
     return "cast(split('" + ",".join(str(int(8 * log2(counts.get(i, 1)))) for i in range(CELLS)) + "', ',') as array<smallint>)"
 
 
+def _parities(part: int) -> str:
+    """SQL for one of the four 64-bit parts of a set's bitmap of 256 word parities."""
+    return f"aggregate(h, 0L, (a, x) -> if(((x >> 6) & 3) = {part}, a ^ shiftleft(1L, cast(x & 63 as int)), a)) as b{part}"
+
+
 def _ranked(rarity: str) -> str:
     """SQL for the sorted set of a line's words: each is one number, rarity above hash, so no comparator is needed."""
     hashes = "transform(array_remove(split(line, ' '), ''), x -> xxhash64(x))"
@@ -104,13 +110,15 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = near.groupBy("f").agg(F.min(F.struct("w", "tp", "bits")).alias("one"))
     places = wanted.join(first.select("f", "first.row", "first.pos"), "f").select("row", "pos", "f", "one.*")
     # One small row for a place, evenly dealt: as the built side of a hash join it spares a sort of all lines' texts.
-    whole = stored(lines.join(places.hint("shuffle_hash"), ["row", "pos"]).select("f", "id", "pos", "w", "tp", "bits", ranked), "whole")
+    whole = stored(lines.join(places.hint("shuffle_hash"), ["row", "pos"]).select("f", "id", "pos", "w", "tp", "bits", ranked).selectExpr("*", *map(_parities, range(4))), "whole")
     earlier = "(b.id < a.id or b.id = a.id and b.pos < a.pos)"
-    exact = f"{cheap} and {earlier} and size(array_intersect(a.h, b.h)) >= {need}"
+    odd = " + ".join(f"bit_count(a.b{i} ^ b.b{i})" for i in range(4))
+    cheap = f"{cheap} and {earlier} and {odd} <= {ta} + {tb} - 2 * {need}"
+    exact = f"{cheap} and size(array_intersect(a.h, b.h)) >= {need}"
     once = stored(whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("f"), "once")
     # Pairs under one word have been compared: if they match, their first common word is the first of either that passed.
-    again = f"{cheap} and {earlier} and a.w1 <> b.w1"
-    words = near.join(whole.select("f", "id", "pos", F.col("w").alias("w1")), "f")
+    again = f"{cheap} and a.w1 <> b.w1"
+    words = near.join(whole.select("f", "id", "pos", F.col("w").alias("w1"), "b0", "b1", "b2", "b3"), "f")
     open_ = stored(words.join(once, "f", "left_anti").alias("a").join(words.alias("b"), F.expr(again), "left_semi"), "open")
     other = words.alias("b").join(open_.alias("a"), F.expr(again), "left_semi")
     sets = whole.select("f", "h")
