@@ -218,6 +218,20 @@ def test_licenses(spark, none):
     assert licenses.license_notices(odd(spark)).count() == 0
 
 
+#: All wordings of notices in the given documents.
+GIVEN = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+         "All rights reserved.": "All rights reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+
+
+def test_licenses_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = sorted((r.doc_id, r.first_line, r.end_line, r.license) for r in licenses.license_notices(docs).collect())
+    telling = [(r.doc_id, at, line) for r in docs.collect() for at, line in enumerate((r.text or "").split("\n")) if licenses.TELLING.search(line)]
+    assert {line for _, _, line in telling} == set(GIVEN)
+    assert found == sorted((i, at, at + 1, GIVEN[line]) for i, at, line in telling)
+    assert [x[2] for x in licenses.scan("Copyright 2020 Some One\nAll rights reserved.")] == ["All rights reserved"]
+
+
 def test_personal_data(spark, none):
     text = "mail a.b@x.com or a@b, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111 not 4111 1111 1111 1112, call +1 (555) 010-9999 password=abc123def456"
     base = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]

@@ -47,6 +47,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal Public Domain Dedication."),
     ("All rights reserved", "Copyright. All rights reserved."),
+    ("All rights reserved", "All rights reserved."),
 )
 
 #: A line without any of these can hold none of the notices, nor one within the allowed difference.
