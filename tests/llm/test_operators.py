@@ -232,6 +232,13 @@ def test_licenses_of_the_given_documents(spark):
     assert [x[2] for x in licenses.scan("Copyright 2020 Some One\nAll rights reserved.")] == ["All rights reserved"]
 
 
+def test_licenses_inside_long_lines():
+    for name, notice in licenses.TEMPLATES:
+        for before, after in ((30, 0), (50, 0), (200, 200)):
+            found = licenses.scan(f"{prose(5)}\n{prose(before)} {notice} {prose(after)}\n{prose(5)}")
+            assert [(x[:3], x[4:]) for x in found] == [((1, 2, name), (0, 0))], notice
+
+
 def test_personal_data(spark, none):
     text = "mail a.b@x.com or a@b, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111 not 4111 1111 1111 1112, call +1 (555) 010-9999 password=abc123def456"
     base = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]

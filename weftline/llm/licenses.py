@@ -1,18 +1,21 @@
-"""License notices found by conditional compression and confirmed by their wording.
+"""License notices found by telling words, confirmed by their wording and measured by conditional compression.
 
-A line that has any of the notices' telling words is a candidate block, alone and with the lines after it as far as a
-template is long. A block is compressed with each template as a raw zstandard dictionary: the more bytes that saves
-against compressing it with none, the more of the template it holds. The best templates by saving are then compared word
-for word, and the block is a match where the share of differing words is at most `differ` and all words that tell one
-license from another (names, numbers) are there and unopposed.
+Every notice has one of a few telling words, so a match goes through one of them, wherever in a line it stands and however
+many lines it takes. Around each, the template is aligned with the words of the text at the least number of words missing
+and added; the span is a match where their share is at most `differ` and all words that tell one license from another
+(names, numbers) are there and unopposed. `saving` is the share of bytes that the template as a raw zstandard dictionary saves
+on the words of the span, against compressing them with none.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +53,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("All rights reserved", "All rights reserved."),
 )
 
-#: A line without any of these can hold none of the notices, nor one within the allowed difference.
-TELLING = re.compile(r"(?i)licen[cs]e|copyright|copyleft|public domain|permission is|redistribut|free software|rights reserved|unencumbered|\bcc0?[ -](?:by|1)|\bgnu\b")
+#: Every notice, also one within the allowed difference, has one of these words; see anchors().
+TELLING_WORDS = ("license", "permission", "hereby", "granted", "documentation", "apache", "gnu", "redistribution", "binary", "modification", "permitted", "mozilla", "domain", "cc", "cc0", "reserved")
+TELLING = re.compile(rf"(?i)(?<![a-z0-9])(?:{'|'.join(TELLING_WORDS)})(?![a-z0-9])")
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words that tell licenses apart: changing one names another license.
 _NAMES = re.compile(r"^(?:mit|apache|gnu|lesser|affero|bsd|mozilla|isc|cc0?|by(?:-[a-z]+)*|[0-9][0-9a-z.-]*|version|v|domain)$")
@@ -66,57 +70,154 @@ def _coders():
     import zstandard
 
     plain = zstandard.ZstdCompressor(level=9)
-    return plain, [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
+    return plain, [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(" ".join(words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
 
 
-def savings(block: str) -> list[tuple[float, int]]:
-    """(share of bytes saved, template) for all templates, best first."""
+def saving_of(span: list[str], template: int) -> float:
+    """Share of bytes that the template as dictionary saves on the words of a span. Case and what stands between words do not count."""
     plain, coders = _coders()
-    data = block.encode("utf-8", "surrogatepass")
-    alone = len(plain.compress(data))
-    return sorted(((1 - len(c.compress(data)) / alone, -i) for i, c in enumerate(coders)), reverse=True)
-
-
-def differences(block: list[str], template: list[str]) -> tuple[int, int, int, int, bool]:
-    """(first word, end word, words missing, words added, names agree) of the best place of the template in the block."""
-    match = SequenceMatcher(None, block, template, autojunk=False)
-    same = [m for m in match.get_matching_blocks() if m.size]
-    if not same:
-        return 0, 0, len(template), len(block), False
-    first, end = same[0].a, same[-1].a + same[-1].size
-    kept = sum(m.size for m in same)
-    missing, added = len(template) - kept, end - first - kept
-    held = {w for m in same for w in template[m.b : m.b + m.size]}
-    extra = [w for i, w in enumerate(block[first:end], first) if not any(m.a <= i < m.a + m.size for m in same)]
-    return first, end, missing, added, all(w in held for w in template if _NAMES.match(w)) and not any(_NAMES.match(w) for w in extra)
-
-
-def scan(text: str | None, *, best: int = 4, saving: float = 0.15, differ: float = 0.15) -> list[tuple[int, int, str, float, int, int]]:
-    """(first line, end line, license, saving, words missing, words added) of the notices in a text, lines from 0."""
-    out = []
+    data = " ".join(span).encode()
+    return 1 - len(coders[template].compress(data)) / len(plain.compress(data))
+
+
+def allowed(template: list[str], differ: float) -> int:
+    """Words that may be missing or added."""
+    return int(differ * len(template) + 1e-9)
+
+
+@lru_cache(maxsize=8)
+def anchors(differ: float) -> dict[str, list[tuple[int, int]]]:
+    """Telling word: its places (template, word) in the templates.
+
+    A match keeps all names, and so many words that of one more telling words than may be missing, one is kept. So each
+    template has a name among the telling words or more of them than it may miss, and each match goes through a place given here.
+    """
+    out: dict[str, list[tuple[int, int]]] = {}
+    for i, (_, text) in enumerate(TEMPLATES):
+        w = words(text)
+        own = {x for x in w if x in TELLING_WORDS}
+        named = {x for x in own if _NAMES.match(x)}
+        if not named and len(own) <= allowed(w, differ):
+            raise ValueError(f"too few telling words for a difference of {differ}: {text}")
+        for at, x in enumerate(w):
+            if x in (named or own):
+                out.setdefault(x, []).append((i, at))
+    return out
+
+
+@lru_cache(maxsize=8)
+def _kept_names(template: int) -> list[frozenset[int]]:
+    """Places of the template that must be kept: each name once. Where a name occurs twice, either place will do."""
+    w = words(TEMPLATES[template][1])
+    return [frozenset(x) for x in product(*([at for at, x in enumerate(w) if x == name] for name in sorted({x for x in w if _NAMES.match(x)})))]
+
+
+def _half(template: list[str], must: list[bool], text: list[str], free: list[bool], most: int) -> tuple[int, list[int]] | None:
+    """(words missing and added, places in text kept) of the best alignment of the template with the beginning of text, at most `most` off.
+
+    Names are not added, words at must not missing, words of text that are not free not kept.
+    """
+    n, far = len(template), most + 1
+    cost = [{j: j for j in range(min(most, len(text)) + 1) if not any(_NAMES.match(x) for x in text[:j])}]
+    for i in range(1, n + 1):
+        last, row = cost[-1], {}
+        for j in range(max(0, i - most), min(i + most, len(text)) + 1):
+            best = far if must[i - 1] else last.get(j, far) + 1
+            if j and free[j - 1] and text[j - 1] == template[i - 1]:
+                best = min(best, last.get(j - 1, far))
+            if j and row.get(j - 1, far) + 1 < best and not _NAMES.match(text[j - 1]):
+                best = row[j - 1] + 1
+            if best <= most:
+                row[j] = best
+        if not row:
+            return None
+        cost.append(row)
+    j = min(cost[n], key=lambda j: (cost[n][j], j))
+    off, i, kept = cost[n][j], n, []
+    while i:
+        here = cost[i][j]
+        if j and free[j - 1] and text[j - 1] == template[i - 1] and cost[i - 1].get(j - 1) == here:
+            i, j = i - 1, j - 1
+            kept.append(j)
+        elif not must[i - 1] and cost[i - 1].get(j, far) + 1 == here:
+            i -= 1
+        else:
+            j -= 1
+    return off, kept
+
+
+class Text:
+    """The words of a text by their places, and which of them belong to a notice already."""
+
+    def __init__(self, text: str):
+        self.low, self.starts, self.ends, self.taken = text.lower(), array("q"), array("q"), set()
+        for m in _WORD.finditer(self.low):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def words(self, a: int, b: int) -> list[str]:
+        return [self.low[self.starts[i] : self.ends[i]] for i in range(max(a, 0), min(b, len(self.starts)))]
+
+    def match(self, at: int, template: int, place: int, differ: float) -> tuple[int, list[int]] | None:
+        """(words missing and added, places of the words kept) of the best match that has the template's word `place` at `at`."""
+        w = _template_words(template)
+        most = allowed(w, differ)
+        before, after = self.words(at - place - most, at)[::-1], self.words(at + 1, at + len(w) - place + most)
+        if at in self.taken or len(before) + most < place or len(after) + most < len(w) - place - 1:
+            return None
+        if not most and (before[::-1] != w[:place] or after != w[place + 1 :]):
+            return None
+        if sum(((Counter(before) + Counter(after)) & Counter(w)).values()) + 1 < len(w) - most:
+            return None
+        best = None
+        for kept in _kept_names(template):
+            must = [i in kept for i in range(len(w))]
+            left = _half(w[:place][::-1], must[:place][::-1], before, [at - 1 - i not in self.taken for i in range(len(before))], most)
+            right = left and _half(w[place + 1 :], must[place + 1 :], after, [at + 1 + i not in self.taken for i in range(len(after))], most - left[0])
+            if right and (best is None or left[0] + right[0] < best[0]):
+                best = left[0] + right[0], sorted([at - 1 - i for i in left[1]] + [at] + [at + 1 + i for i in right[1]])
+        return best
+
+
+@lru_cache(maxsize=None)
+def _template_words(template: int) -> list[str]:
+    return words(TEMPLATES[template][1])
+
+
+def scan(text: str | None, *, saving: float = 0.15, differ: float = 0.15) -> list[tuple[int, int, str, float, int, int]]:
+    """(first line, end line, license, saving, words missing, words added) of the notices in a text, lines from 0.
+
+    Of matches that share words the one with most words kept, less those added, stands, earlier templates on ties; the
+    others are sought again in the words left.
+    """
     if not text or not TELLING.search(text):
-        return out
-    lines, at, end = text.split("\n"), 0, 0
-    longest = max(len(words(t)) for _, t in TEMPLATES)
-    for at, line in enumerate(lines):
-        if at < end or not TELLING.search(line):
+        return []
+    doc, places, found, heap = Text(text), anchors(differ), [], []
+
+    def seek(at: int, template: int, place: int) -> None:
+        best = doc.match(at, template, place, differ)
+        if best:
+            heappush(heap, (best[0] - len(_template_words(template)), template, best[1][0], best[1][-1], at, place, best[1]))
+
+    for at, (a, b) in enumerate(zip(doc.starts, doc.ends, strict=True)):
+        for template, place in places.get(doc.low[a:b], ()):
+            seek(at, template, place)
+    while heap:
+        score, template, first, last, at, place, kept = heappop(heap)
+        if not doc.taken.isdisjoint(kept):
+            seek(at, template, place)
             continue
-        found = None
-        block, stop = line, at + 1
-        while True:
-            own = words(block)
-            for saved, i in savings(block)[:best]:
-                name, template = TEMPLATES[-i]
-                w = words(template)
-                first, last, missing, added, named = differences(own, w)
-                if saved >= saving and named and missing + added <= differ * len(w) and (found is None or (missing + added - len(w)) < found[0]):
-                    found = (missing + added - len(w), (at, stop, name, round(saved, 4), missing, added))
-            if stop >= len(lines) or len(own) >= 2 * longest or stop - at >= 8:
-                break
-            block, stop = f"{block}\n{lines[stop]}", stop + 1
-        if found:
-            out.append(found[1])
-            end = found[1][1]
+        saved = saving_of(doc.words(first, last + 1), template)
+        if saved >= saving:
+            doc.taken.update(kept)
+            missing = len(_template_words(template)) - len(kept)
+            found.append((first, last, TEMPLATES[template][0], round(saved, 4), missing, last + 1 - first - len(kept)))
+    found.sort()
+    out, line, at = [], 0, 0
+    for first, last, *rest in found:
+        line += doc.low.count("\n", at, doc.starts[first])
+        at = doc.starts[first]
+        out.append((line, line + doc.low.count("\n", at, doc.starts[last]) + 1, *rest))
     return out
 
 
@@ -136,8 +237,8 @@ def _scanned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each notice: id_col, first_line, end_line (exclusive), license, saving, words_missing, words_added.
 
-    Null and empty texts have none; repeated rows and rows with null ids are scanned like others. Of templates that fit
-    a block, the one with most words kept wins, earlier ones on ties. Other columns are not looked at.
+    Null and empty texts have none; repeated rows and rows with null ids are scanned like others. Of templates that
+    share words of a text, the one with most words kept wins, earlier ones on ties. Other columns are not looked at.
     """
     texts = docs.where(F.col(text_col).rlike(TELLING.pattern)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shape = "id long, first_line int, end_line int, license string, saving double, words_missing int, words_added int"
