@@ -239,6 +239,12 @@ def test_licenses_inside_long_lines():
             assert [(x[:3], x[4:]) for x in found] == [((1, 2, name), (0, 0))], notice
 
 
+def test_licenses_in_any_case():
+    for name, notice in licenses.TEMPLATES:
+        assert len({tuple(licenses.scan(x)) for x in (notice, notice.lower(), notice.upper())}) == 1
+        assert [x[2] for x in licenses.scan(notice.upper())] == [name]
+
+
 def test_personal_data(spark, none):
     text = "mail a.b@x.com or a@b, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111 not 4111 1111 1111 1112, call +1 (555) 010-9999 password=abc123def456"
     base = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]
