@@ -245,6 +245,18 @@ def test_licenses_in_any_case():
         assert [x[2] for x in licenses.scan(notice.upper())] == [name]
 
 
+def test_several_licenses_together():
+    for between in ("\n", " ", "\n\n", f" {prose(3)} "):
+        for _ in range(40):
+            some = [rng.choice(licenses.TEMPLATES) for _ in range(3)]
+            found = licenses.scan(between.join(t for _, t in some))
+            assert [x[2] for x in found] == [name for name, _ in some] and all(x[4:] == (0, 0) for x in found), some
+    dual = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    assert [x[:3] for x in licenses.scan(dual)] == [(0, 1, "MIT"), (1, 2, "Apache-2.0")]
+    inside = licenses.TEMPLATES[6][1].replace("redistribute it", "redistribute it. All rights reserved.")
+    assert [x[2] for x in licenses.scan(inside)] == ["GPL-3.0", "All rights reserved"]
+
+
 def test_personal_data(spark, none):
     text = "mail a.b@x.com or a@b, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111 not 4111 1111 1111 1112, call +1 (555) 010-9999 password=abc123def456"
     base = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]
