@@ -257,6 +257,28 @@ def test_several_licenses_together():
     assert [x[2] for x in licenses.scan(inside)] == ["GPL-3.0", "All rights reserved"]
 
 
+def test_wrapped_licenses(spark):
+    header = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed"
+    texts = [header, *(t.replace(" ", "\n") for _, t in licenses.TEMPLATES), *("\n# ".join(t.split()) for _, t in licenses.TEMPLATES)]
+    found = {r.doc_id: (r.license, r.first_line, r.end_line) for r in licenses.license_notices(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert found == {i: (name, 0, text.count("\n") + 1) for i, ((name, _), text) in enumerate(zip([("MPL-2.0", ""), *licenses.TEMPLATES, *licenses.TEMPLATES], texts, strict=True))}
+
+
+def test_changed_licenses():
+    """Every change within the allowed difference is found, wherever it strikes."""
+    for name, notice in licenses.TEMPLATES:
+        w = licenses.words(notice)
+        for _ in range(60):
+            changed, n = list(w), rng.randint(0, licenses.allowed(w, 0.15))
+            for _ in range(n):
+                if rng.random() < 0.5:
+                    changed.pop(rng.choice([i for i, x in enumerate(changed) if not licenses._NAMES.match(x)]))
+                else:
+                    changed.insert(rng.randint(1, len(changed) - 1), rng.choice(VOCABULARY))
+            (one,) = licenses.scan(f"{prose(20)}\n{' '.join(changed)}\n{prose(20)}")
+            assert one[2] == name and one[4] + one[5] <= n and one[3] >= 0.15
+
+
 def test_personal_data(spark, none):
     text = "mail a.b@x.com or a@b, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111 not 4111 1111 1111 1112, call +1 (555) 010-9999 password=abc123def456"
     base = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]
