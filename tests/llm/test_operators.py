@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from functools import cache
 
@@ -291,6 +292,19 @@ def test_personal_data(spark, none):
     assert pii.personal_data(none).count() == 0 and pii.personal_data(odd(spark)).count() == 5
 
 
+def test_secrets_in_any_case(spark):
+    for key in ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey"):
+        for name in (key, key.upper(), key.title()):
+            text = f'{prose(4)} {name} = "9233a8ec51f7" {prose(4)}'
+            assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.further_spans(text, [])] == [("secret", f'{name} = "9233a8ec51f7"')]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lower(text) rlike 'token = \"[0-9a-f]{40}\"'")
+    planted = [(r.doc_id, m.start(), m.end()) for r in docs.collect() for m in re.finditer('(?i)token = "[0-9a-f]{40}"', r.text)]
+    assert len(planted) == 166 and any(r.text and 'TOKEN = "' in r.text for r in docs.collect())
+    spans = [(r.doc_id, *map(int, x.split(":")[1:])) for r in pii.personal_data(docs).collect() for x in r.spans.split(",") if x.startswith("secret")]
+    for doc, s, e in planted:
+        assert any(doc == d and a <= s and e <= b for d, a, b in spans)
+
+
 def test_top_k(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(700)]
     rows += [(700, None), (701, [float("nan")] * 8), (702, [None] * 8), (703, rows[3][1]), (None, rows[0][1]), (704, [1e30] * 8)]

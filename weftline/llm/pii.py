@@ -30,7 +30,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]").search
-_SECRET = re.compile(r"\b(?:[Pp]assw(?:or)?d|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[^\s,;]+|\bAKIA[0-9A-Z]{12,20}\b")
+_SECRET = re.compile(r"\b(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[^\s,;]+|\bAKIA[0-9A-Z]{12,20}\b")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? (?:[A-Z][a-z]+ ){0,2}[A-Z][a-z]+")
 _NUMBER = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]([ -]?[0-9]){12,18}")
