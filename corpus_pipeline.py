@@ -36,9 +36,15 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a run of ten words of a benchmark item, or a whole shorter item, go."""
-    hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), span=10, gram=5).where("size(runs) > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a run of ten words of a benchmark item, or a whole shorter item, go; rows without a doc_id each by their own text."""
+    items = table(spark, sf_dir, "benchmark")
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        hit = decontam.contamination(rows, items, key, span=10, gram=5).where("size(runs) > 0").select(key).distinct()
+        return rows.join(hit, key, "left_anti").select(*docs.columns)
+
+    unnamed = stored(docs.where("doc_id is null").withColumn("unnamed", F.monotonically_increasing_id()), "unnamed")
+    return clean(docs.where("doc_id is not null"), "doc_id").unionByName(clean(unnamed, "unnamed"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

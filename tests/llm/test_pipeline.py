@@ -39,3 +39,12 @@ def test_stages(spark):
     lengths = {r.doc_id: len(tokens.ids(r.text)) // 4 + 1 for r in clean}
     assert {(r.doc_id, r.piece): (r.start, r.length) for r in rows} == {(i, p): x for i, n in lengths.items() for p, x in enumerate(packing.pieces_of(n, 2048))}
     assert {r.doc_id for r in pipeline.run(spark, SF).select("doc_id").distinct().collect()} == set(lengths)
+
+
+def test_contaminated_rows_without_id_go(spark):
+    item = max((r.text for r in table(spark, SF, "benchmark").collect() if r.text), key=len)
+    rows = [(None, f"before {item} after"), (None, "nothing of it"), (None, None), (1, item), (2, "nothing of it"), (None, "nothing of it"), (None, item)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], table(spark, SF, "documents").schema)
+    left = pipeline.benchmark_decontamination(spark, docs.repartition(3), SF)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "nothing of it"), (0, "nothing of it"), (2, "nothing of it")]
