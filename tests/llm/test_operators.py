@@ -210,6 +210,41 @@ def test_line_matches(spark, none):
     assert sorted(list(r.removed) for r in lines.line_matches(odd(spark)).collect()) == [[]] * 5
 
 
+def test_line_matches_of_rows_that_were_not_read_from_files(spark):
+    """A grouped input with a wide column and columns with names used inside, shuffled anew in each evaluation."""
+    from pyspark.sql import functions as F
+
+    pool = [prose(12) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(5))) for i in range(240)]
+    twice = spark.createDataFrame(rows + rows, SCHEMA).repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        docs = twice.groupBy("doc_id").agg(F.first("text").alias("text"), F.repeat(F.first("text"), 20).alias("removed"), F.count("*").alias("_row"), F.max("doc_id").alias("th"), F.max("doc_id").alias("f"))
+        expected = plain_lines(rows)
+        kept = lines.without_matches(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert kept[0].__fields__ == docs.columns
+    assert len(kept) == len(rows)
+    for r in kept:
+        text = dict(rows)[r.doc_id]
+        assert r.text == "\n".join(x for p, x in enumerate(text.split("\n")) if p not in expected[r.doc_id])
+        assert (r.removed, r._row, r.th, r.f) == (text * 20, 2, r.doc_id, r.doc_id)
+    assert {r.doc_id: list(r.removed) for r in lines.line_matches(docs).collect()} == expected
+
+
+def test_lines_of_repeated_rows_and_odd_ids(spark):
+    """Rows with one id and one text have one result; negative and very large ids keep their order."""
+    text = "one two three four five six"
+    rows = [(-5, text), (-5, text), (2**62, f"{text}\n{text}"), (2**62, f"{text}\n{text}"), (-(2**62), f"x\n{text}"), (None, text), (7, f"{text}\tseven"), (7, "")]
+    found = lines.line_matches(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_lines, list(r.removed)) for r in found if r.doc_id is not None) == sorted(
+        [(False, -5, 1, [0])] * 2 + [(False, 2**62, 2, [0, 1])] * 2 + [(False, -(2**62), 2, []), (False, 7, 1, [0]), (False, 7, 1, [])]
+    )
+    assert [list(r.removed) for r in found if r.doc_id is None] == [[]]
+
+
 def test_licenses(spark, none):
     texts = {1: "Released under the MIT License.", 2: "x\nThis work is licensed under the GNU General Public License, version 3.\ny", 3: "license to drive", 4: "Licensed under CC BY-NC 4.0.",
              5: "Licensed under CC BY 4.0.", 6: "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files", 7: None, 8: ""}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -30,21 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Removes the shuffle files of an execution at its end; without it they stay until the driver's collector finds them unreachable.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputing beyond it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    began = time.monotonic()
-    df.write.option("compression", "zstd").parquet(path)
-    # Spark removes the shuffle files of finished jobs when the driver's collector finds them unreachable; large jobs
-    # with an idle driver would keep them to the end. Events that are still to be delivered refer to a job's plan.
-    for _ in range(3 if time.monotonic() - began > 4 else 1):
-        spark.sparkContext._jvm.System.gc()
-        if time.monotonic() - began > 4:
-            time.sleep(1.5)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Empties tables of stored() that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = (x ^ (x >> U64(30))) * MIX_B

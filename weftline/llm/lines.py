@@ -9,137 +9,162 @@ A line is the set of its words. Lines with equal sets are one set, kept where it
   meet in the join.
 * Position and length. The join passes a pair only if the sizes and what is left behind the shared word allow the overlap.
 * A bitmap of 64 word parities bounds the symmetric difference from below and drops nearly all other pairs.
-* With the whole set at hand, the bitmap is one of 256 parities, which lets next to nothing but near misses through.
+* With the whole set at hand, the bitmap is one of 128 parities, which lets next to nothing but near misses through.
 * Verification, in two rounds of a join with order and exact Jaccard in its condition. First each line with any partner
   comes once, with its whole set, under the rarest of its words that passed. Then lines without an earlier match meet,
   under all their words, only those earlier lines that pass with them and came under another word before.
 
 All joins are semi joins: they say that a partner exists and never make a row for a pair, so a family of a thousand
 variants of a line costs comparisons, not rows. Sort-merge joins spill, and skewed words are split at run time.
+
+Rows are told apart by (id, 64-bit hash of the text), which is the same however often and in whatever order the input is
+read; nothing hangs on row numbers. Words are compared by 64-bit hashes and sets are named by 64 bits of hash and 64
+parities: two lines of 50 words that do not match are taken for matching with odds below 1e-15 a pair compared.
 """
 
 from __future__ import annotations
 
 from math import log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored
-
-#: Cells of the table of word counts.
-CELLS = 1 << 17
+from weftline.llm.common import dropped, stored
 
+#: Cells of the table of word counts: as many as the first, fast level of a hash aggregation holds.
+CELLS = 1 << 16
+#: Bits of a word's hash below the 7 bits for its rarity.
+HASH_BITS = 56
 
-#: Bits of a word's hash below the bits for its rarity.
-HASH_BITS = 48
 
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, text) with all white space inside lines as spaces."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _spaced(text) -> Column:
+    """Text with all white space inside lines as spaces."""
     odd = text.contains("\t") | text.contains("\r") | text.contains("\f") | text.contains("\x0b")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(odd, F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text).alias("text"))
-    return rows.where("id is not null")
-
-
-def _lines(texts: DataFrame) -> DataFrame:
-    """(id, row, pos, line) for the lines with words."""
-    # The test looks at the line, so that it does not repeat the work on its words.
-    return texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.ltrim("line") != "")
+    return F.when(odd, F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text)
 
 
 def _rarity(texts: DataFrame) -> str:
-    """SQL for a constant array: by cell, eight times the binary logarithm of how often its words occur."""
+    """SQL for a constant array: by cell, three times the binary logarithm of how often its words occur.
+
+    Other white space than spaces is left in words here: it shifts the order of words, which may be any, and spares a pass.
+    """
     cell = (F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")
     words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = dict(words.groupBy(cell).count().collect())  # CELLS rows at most
-    return "cast(split('" + ",".join(str(int(8 * log2(counts.get(i, 1)))) for i in range(CELLS)) + "', ',') as array<smallint>)"
+    return "cast(split('" + ",".join(str(min(127, int(3 * log2(counts.get(i, 1))))) for i in range(CELLS)) + "', ',') as array<tinyint>)"
 
 
-def _parities(part: int) -> str:
-    """SQL for one of the four 64-bit parts of a set's bitmap of 256 word parities."""
-    return f"aggregate(h, 0L, (a, x) -> if(((x >> 6) & 3) = {part}, a ^ shiftleft(1L, cast(x & 63 as int)), a)) as b{part}"
+#: The words of a line.
+_WORDS = "array_remove(split(line, ' '), '')"
 
 
 def _ranked(rarity: str) -> str:
     """SQL for the sorted set of a line's words: each is one number, rarity above hash, so no comparator is needed."""
-    hashes = "transform(array_remove(split(line, ' '), ''), x -> xxhash64(x))"
     # Every cell has a value; coalesce() tells the planner, which then sorts plain numbers.
-    one = f"shiftleft(cast(coalesce({rarity}[cast(x & {CELLS - 1} as int)], 0S) as bigint), {HASH_BITS}) | (x & {2**HASH_BITS - 1})"
-    return f"array_distinct(sort_array(transform({hashes}, x -> {one})))"
+    one = f"shiftleft(cast(coalesce({rarity}[cast(x & {CELLS - 1} as int)], 0Y) as bigint), {HASH_BITS}) | (x & {2**HASH_BITS - 1})"
+    return f"array_distinct(sort_array(transform(transform({_WORDS}, x -> xxhash64(x)), x -> {one})))"
 
 
-def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
-    """(id_col, row, n_lines, n_exact, n_near, removed) for each row of docs.
+def _place(id_col: str = "id", pos: str = "pos") -> str:
+    """SQL for (id, pos) as one number, whose minimum needs no sort."""
+    return f"cast(cast({id_col} as decimal(20,0)) * {1 << 31}BD + {pos} as decimal(32,0))"
 
-    Lines end with newlines; words are runs of anything but spaces, tabs, carriage returns, form feeds and vertical tabs.
-    A line is removed if an earlier line, by (id, place in its text), has the same words (n_exact) or, for the first line
-    with its words, words that match (n_near), whether that line is itself removed or not. removed has their places from 0.
-    Lines without words stay. Null and empty texts have one line without words. Rows with a null id keep all lines and
-    remove none. Rows with one id are ordered as one document; lines at the same place of them do not remove each other
-    unless equal words make them one set. `row` is monotonically_increasing_id() of docs as read. Other columns are
-    not looked at.
-    """
-    texts = _rows(docs, id_col, text_col)
-    lines = _lines(texts)
-    ranked = F.expr(_ranked(_rarity(texts))).alias("h")
+
+def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, n_lines) for the rows of docs, and (id, th, n_exact, n_near, removed) for those with lines to remove, once for rows with equal id and text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # The test looks at the line, so that it does not repeat the work on its words. The first line stands for its row.
+    lines = texts.withColumn("lines", F.split(_spaced(F.col("text")), "\n")).select("id", "th", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    lines = lines.where((F.col("id").isNotNull() & (F.ltrim("line") != "")) | (F.col("pos") == 0))
+    ranked = F.expr(_ranked(_rarity(texts)))
     kept = stored(
-        lines.select("id", "row", "pos", ranked).select(
-            "id", "row", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
+        lines.select("id", "th", "n_lines", "pos", ranked.alias("h")).select(
+            "id", "th", "n_lines", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
             F.expr(f"case when size(h) * {100 - percent} >= {percent} then slice(h, 1, size(h) - cast(ceil(size(h) * {percent} / 100) as int) + 1) end").alias("prefix"),
         ),
         "lines",
     )
+    rows = kept.where("pos = 0").select("id", "th", F.col("n_lines").cast("long").alias("n_lines"))
+    kept = kept.where("id is not null and t > 0")
+    # Each set once, with its first place as one number, (id, pos), so that its minimum needs no sort.
+    firsts = kept.withColumn("place", F.expr(_place())).groupBy("f", "bits", "t", "prefix")
+    sets = stored(firsts.agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.count("*").alias("n")), "sets")
     # Sets too small to match any but themselves have no prefix: t / (t + 1) is below the threshold.
-    # The prefix is the same for one set; with it among the keys, the rows need no sort.
-    one = kept.where("prefix is not null").select("f", "t", "bits", "prefix").distinct()
-    words = one.select(F.posexplode("prefix").alias("p", "w"), "f", "t", "bits").select("w", "f", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"), "bits")
-    size = "(cast({0}.tp as bigint) >> 32)"
-    ta, tb = size.format("a"), size.format("b")
-    need = f"cast(ceil(({ta} + {tb}) * {percent} / {100 + percent}) as bigint)"
+    words = sets.where("prefix is not null").select(F.posexplode("prefix").alias("p", "w"), "f", "t", "bits").select("w", "f", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"), "bits")
+    ta, tb = "(a.tp >> 32)", "(b.tp >> 32)"
+    # All in whole numbers. Sets of s words in all match if they share s * percent / (100 + percent) or more; d words that only
+    # one of them has leave (s - d) / 2. The most selective test comes first.
+    most = f"{100 - percent} * ({ta} + {tb})"
     cheap = (
-        f"a.w = b.w and a.f <> b.f and 100 * least({ta}, {tb}) >= {percent} * greatest({ta}, {tb})"
-        f" and least({ta} - (a.tp & 4294967295), {tb} - (b.tp & 4294967295)) >= {need}"
-        f" and bit_count(a.bits ^ b.bits) <= {ta} + {tb} - 2 * {need}"
+        f"a.w = b.w and {100 + percent} * bit_count(a.bits ^ b.bits) <= {most}"
+        f" and {100 + percent} * least({ta} - (a.tp & 4294967295), {tb} - (b.tp & 4294967295)) >= {percent} * ({ta} + {tb})"
+        f" and 100 * least({ta}, {tb}) >= {percent} * greatest({ta}, {tb}) and (a.f <> b.f or a.bits <> b.bits)"
     )
     near = stored(words.alias("a").join(words.alias("b"), F.expr(cheap), "left_semi"), "near")
 
-    first = kept.groupBy("f", "t", "bits").agg(F.min(F.struct("id", "pos", "row")).alias("first"), F.count("*").alias("n"))
     # The whole sets of lines with a partner, from the first line that has them, under the first of their words that passed.
-    wanted = near.groupBy("f").agg(F.min(F.struct("w", "tp", "bits")).alias("one"))
-    places = wanted.join(first.select("f", "first.row", "first.pos"), "f").select("row", "pos", "f", "one.*")
-    # One small row for a place, evenly dealt: as the built side of a hash join it spares a sort of all lines' texts.
-    whole = stored(lines.join(places.hint("shuffle_hash"), ["row", "pos"]).select("f", "id", "pos", "w", "tp", "bits", ranked).selectExpr("*", *map(_parities, range(4))), "whole")
-    earlier = "(b.id < a.id or b.id = a.id and b.pos < a.pos)"
-    odd = " + ".join(f"bit_count(a.b{i} ^ b.b{i})" for i in range(4))
-    cheap = f"{cheap} and {earlier} and {odd} <= {ta} + {tb} - 2 * {need}"
-    exact = f"{cheap} and size(array_intersect(a.h, b.h)) >= {need}"
-    once = stored(whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("f"), "once")
+    wanted = near.groupBy("f", "bits").agg(F.min("w").alias("w"), F.min_by("tp", "w").alias("tp"))
+    places = wanted.join(sets.select("f", "bits", "place", "th"), ["f", "bits"]).withColumn("pos", F.expr(f"cast(pmod(place, {1 << 31}BD) as int)"))
+    places = places.withColumn("id", F.expr(f"(place - pos) div {1 << 31}BD")).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "f", "bits", "w", "tp", "place")).alias("at"))
+    # One small row for a document: as the built side of a hash join it spares a sort of all texts. Lines are taken out of
+    # their text before the explosion, so that no row carries a whole text.
+    own = ("f", "bits", "w", "tp", "place")
+    parts = ", ".join(f"'{c}', x.{c}" for c in own)
+    taken = F.explode(F.expr(f"transform(at, x -> named_struct({parts}, 'line', get(lines, x.pos)))")).alias("at")
+    fetched = texts.join(places.hint("shuffle_hash"), ["id", "th"]).withColumn("lines", F.split("text", "\n")).select("id", "th", taken).select("id", "th", "at.*")
+    fetched = fetched.withColumn("line", _spaced(F.col("line"))).select("id", "th", *own, F.expr(f"array_distinct(transform({_WORDS}, x -> xxhash64(x)))").alias("h")).dropDuplicates(["id", "th", "f", "bits"])
+    # Parities of the words with an odd 64th part; with `bits`, of all words, they tell those of the other words.
+    half = F.expr("aggregate(h, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int))))")
+    whole = stored(fetched.select(*own, "h").withColumn("half", half), "whole")
+    odd = "bit_count(a.half ^ b.half) + bit_count(a.bits ^ a.half ^ b.bits ^ b.half)"
+    cheap = f"{cheap} and {100 + percent} * ({odd}) <= {most} and b.place < a.place"
+    exact = f"{cheap} and {100 + percent} * size(array_intersect(a.h, b.h)) >= {percent} * ({ta} + {tb})"
+    once = stored(whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("f", "bits"), "once")
     # Pairs under one word have been compared: if they match, their first common word is the first of either that passed.
     again = f"{cheap} and a.w1 <> b.w1"
-    words = near.join(whole.select("f", "id", "pos", F.col("w").alias("w1"), "b0", "b1", "b2", "b3"), "f")
-    open_ = stored(words.join(once, "f", "left_anti").alias("a").join(words.alias("b"), F.expr(again), "left_semi"), "open")
+    words = near.join(whole.select("f", "bits", "place", F.col("w").alias("w1"), "half"), ["f", "bits"])
+    open_ = stored(words.join(once, ["f", "bits"], "left_anti").alias("a").join(words.alias("b"), F.expr(again), "left_semi"), "open")
     other = words.alias("b").join(open_.alias("a"), F.expr(again), "left_semi")
-    sets = whole.select("f", "h")
-    twice = open_.join(sets, "f").alias("a").join(other.join(sets, "f").alias("b"), F.expr(exact), "left_semi").select("f").distinct()
-    later = once.union(stored(twice, "twice")).withColumn("near", F.lit(True))
-
-    marked = kept.select("id", "row", "pos", "f", "t", "bits").join(first.join(later, "f", "left").where("n > 1 or near"), ["f", "t", "bits"])
-    again = ~((F.col("id") == F.col("first.id")) & (F.col("pos") == F.col("first.pos")))
-    gone = marked.withColumn("again", again).where("again or near").select("row", "pos", "again")
-    gone = gone.groupBy("row").agg(F.count_if("again").alias("n_exact"), F.count_if(~F.col("again")).alias("n_near"), F.array_sort(F.collect_list("pos")).alias("removed"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    full = whole.select("f", "bits", "h")
+    twice = open_.join(full, ["f", "bits"]).alias("a").join(other.join(full, ["f", "bits"]).alias("b"), F.expr(exact), "left_semi").select("f", "bits").distinct()
+    twice = stored(twice, "twice")
+    dropped(near, whole, open_)
+
+    later = once.union(twice).withColumn("near", F.lit(True))
+    first = sets.select("f", "bits", "n", F.col("place").alias("first")).join(later, ["f", "bits"], "left").where("n > 1 or near")
+    marked = kept.select("id", "th", "pos", "f", "bits").join(first, ["f", "bits"])
+    # A place and whether its line is there again, as one number; rows with equal id and text say the same.
+    marked = marked.withColumn("again", F.expr(f"{_place()} <> first")).where("again or near").select("id", "th", F.expr("pos * 2L + cast(again as int)").alias("mark"))
+    gone = marked.groupBy("id", "th").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
+    n_exact = F.expr("cast(size(filter(marks, x -> x % 2 = 1)) as bigint)")
+    return rows, gone.select("id", "th", n_exact.alias("n_exact"), (F.size("marks") - n_exact).alias("n_near"), F.expr("transform(marks, x -> cast(x div 2 as int))").alias("removed"))
+
+
+def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
+    """(id_col, n_lines, n_exact, n_near, removed) for each row of docs; ids are read as 64-bit integers.
+
+    Lines end with newlines; words are runs of anything but spaces, tabs, carriage returns, form feeds and vertical tabs.
+    A line is removed if an earlier line, by (id, place in its text), has the same words (n_exact) or, for the first line
+    with its words, words that match (n_near), whether that line is itself removed or not. removed has their places from 0.
+    Lines without words stay. Null and empty texts have one line without words. Rows with a null id keep all lines and
+    remove none. Rows with one id are ordered as one document; lines at the same place of them do not remove each other
+    unless equal words make them one set, and rows with one id and one text have the same result. Other columns are not
+    looked at, whatever their names.
+    """
+    rows, gone = _gone(docs, id_col, text_col, percent)
     zero = F.lit(0).cast("long")
-    return rows.join(gone, "row", "left").select(
-        id_col, "row", "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
+    return rows.join(gone, ["id", "th"], "left").select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     )
 
 
-def without_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs with the matching lines taken out of text_col; null texts stay null, and all other columns stay."""
-    found = line_matches(docs, id_col, text_col, **parameters).where("size(removed) > 0").select(F.col("row").alias("_row"), "removed")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left")
-    return rows.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+def without_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
+    """docs with the matching lines taken out of text_col; null texts stay null, and all other columns stay, whatever their names."""
+    found = _gone(docs, id_col, text_col, percent)[1].select("id", "th", "removed")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")).join(found, ["id", "th"], "left")
+    own = F.col("doc").getField(text_col)
+    left = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    cut = F.when(F.col("removed").isNull(), own).otherwise(left)
+    return rows.select(*[(cut if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])

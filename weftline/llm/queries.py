@@ -90,7 +90,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_matches(table(spark, sf_dir, "documents"), percent=80).drop("row")
+    return lines.line_matches(table(spark, sf_dir, "documents"), percent=80)
 
 
 ORACLE_SQL["op6_line_dedup"] = """
