@@ -37,3 +37,18 @@ def test_url_classes(spark):
     cases = {"/category/x": "categories", "/tags/x/": "tags", "/author/x": "authors", "/a.PNG": "media", "/2024/05/x": "posts", "/about": "pages", "/a/b/c/d": "posts", "/a/": "pages", "/2024/": "posts", "": "pages"}
     for path, kind in cases.items():
         assert one(spark, U.url_class(F.col("u")), u="http://h" + path) == kind, path
+
+
+def test_dot_segments(spark):
+    """By RFC 3986, on references that the expression leaves to the batch function."""
+    cases = {("http://h/a/b", "../c.css"): "http://h/a/c.css", ("http://h/a/b", "./c.css"): "http://h/a/b/c.css", ("http://h/a", "x/../../c.png"): "http://h/c.png", ("http://h/a", "../../../c"): "http://h/c", ("http://h/a", "?q=1"): "http://h/a/?q=1", ("http://h/a", ""): ""}
+    rows = spark.createDataFrame(list(cases), "base string, ref string")
+    assert {(r.base, r.ref): r.u for r in rows.select("base", "ref", U.normalized_udf("base", "ref").alias("u")).collect()} == cases
+
+
+def test_command_line(spark, capsys):
+    from weftline.__main__ import main
+
+    assert main([]) == 0 and "page_titles" in capsys.readouterr().out
+    assert main(["no_such_query", "x"]) == 2
+    assert main(["page_titles", "/root/testdata/sf0.001"]) == 0 and "title" in capsys.readouterr().out

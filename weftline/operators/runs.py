@@ -52,16 +52,35 @@ same("compare_runs", _COMPARE, "Two one-row aggregates side by side.")
 same(
     "run_change_labels",
     f"""SELECT run, CASE WHEN before > 0 THEN round((n - before) * 100e0 / before, 4) ELSE 0e0 END AS change,
-  CASE WHEN before IS NULL OR n = before THEN 'SAME' WHEN n < before THEN 'FASTER' ELSE 'SLOWER' END AS label
-  FROM (SELECT run, n, lag(n) OVER (ORDER BY run) AS before FROM (SELECT run, count(*) AS n FROM {_RUNS} r GROUP BY run) c) l""",
-)
-same(
-    "best_worst",
-    f"""SELECT site, rate, up = 1 AS best FROM (SELECT site, rate, row_number() OVER (ORDER BY rate DESC, site) AS up, row_number() OVER (ORDER BY rate, site) AS down
-  FROM (SELECT site, round(100e0 * count(CASE WHEN success THEN 1 END) / count(*), 4) AS rate FROM {_RUNS} r GROUP BY site) s) t WHERE up = 1 OR down = 1""",
-    "Ties go to the smaller site.",
+  CASE WHEN before IS NULL OR n = before THEN 'SAME' WHEN n < before THEN 'FASTER' ELSE 'SLOWER' END AS label,
+  CASE WHEN ok_before IS NULL OR ok = ok_before THEN 'SAME' WHEN ok > ok_before THEN 'BETTER' ELSE 'WORSE' END AS success_label
+  FROM (SELECT run, n, lag(n) OVER (ORDER BY run) AS before, ok, lag(ok) OVER (ORDER BY run) AS ok_before FROM (SELECT run, count(*) AS n, round(100e0 * count(CASE WHEN success THEN 1 END) / count(*), 4) AS ok FROM {_RUNS} r GROUP BY run) c) l""",
 )
+@runs(f"""SELECT site, rate, up = 1 AS best FROM (SELECT site, rate, row_number() OVER (ORDER BY rate DESC, site) AS up, row_number() OVER (ORDER BY rate, site) AS down
+  FROM (SELECT site, round(100e0 * count(CASE WHEN success THEN 1 END) / count(*), 4) AS rate FROM {_RUNS} r GROUP BY site) s) t WHERE up = 1 OR down = 1""")
+def best_worst(spark, d):
+    """The sites with the highest and the lowest rate, ties to the smaller site; no window, so no task sees all sites."""
+    rows = spark.sql(_RUNS[1:-1].replace("FROM events", "FROM {events}"), events=read(spark, d, "events"))
+    rates = rows.groupBy("site").agg(F.round(100.0 * F.count_if("success") / F.count("*"), 4).alias("rate"))
+    both = rates.agg(F.max(F.struct("rate", (-F.col("site")).alias("key"))).alias("top"), F.min(F.struct("rate", F.col("site").alias("key"))).alias("low"))
+    best = both.select((-F.col("top.key")).alias("site"), F.col("top.rate").alias("rate"), F.lit(True).alias("best")).where("site is not null")
+    worst = both.where("low.key <> -top.key").select(F.col("low.key").alias("site"), F.col("low.rate").alias("rate"), F.lit(False).alias("best"))
+    return best.union(worst)
+
+
 same("export_csv", f"SELECT coalesce(category, '') AS category, duration, event_id, run, site, success FROM {_RUNS} r", "Columns in the order of their names; write with header=True.")
+_DOCUMENT = "SELECT run, count(*) AS total_experiments, count(CASE WHEN success THEN 1 END) AS successful, count(CASE WHEN NOT success THEN 1 END) AS failed FROM {0} r GROUP BY run"
+
+
+@runs(f"""SELECT run || '.json' AS filename, '{{"timestamp":"' || run || 'T00:00:00","total_experiments":' || total_experiments || ',"successful":' || successful || ',"failed":' || failed || '}}' AS metadata FROM ({_DOCUMENT.format(_RUNS)}) m""")
+def run_documents(spark, d):
+    """The metadata of each run's document as JSON; sources.files.write_run() writes whole documents."""
+    from weftline.sources.files import run_metadata
+
+    rows = spark.sql(_RUNS[1:-1].replace("FROM events", "FROM {events}"), events=read(spark, d, "events"))
+    return rows.groupBy("run").agg(*run_metadata(F.concat("run", F.lit("T00:00:00")), F.col("success"))).select(F.concat("run", F.lit(".json")).alias("filename"), F.to_json("metadata").alias("metadata"))
+
+
 same("union_schema", f"SELECT event_id, run, CAST(NULL AS STRING) AS page FROM {_RUNS} r UNION ALL SELECT doc_id, day, page FROM {_CAPTURES} c")
 same("batch_summary", f"SELECT success, count(*) AS n, round(sum(duration), 2) AS duration FROM {_RUNS} r GROUP BY success")
 same(
@@ -88,43 +107,38 @@ same(
 )
 _END = "(SELECT user_id AS job, min(event_id) AS stop FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)"
 same("log_stream", f"SELECT e.user_id, e.event_id FROM events e LEFT JOIN {_END} t ON e.user_id = t.job WHERE t.stop IS NULL OR e.event_id <= t.stop", "Messages of a job until its first terminal one.")
-same(
-    "monitor_stats",
-    "SELECT user_id, count(*) AS total, CASE WHEN count(*) > 0 THEN round(100e0 * count(CASE WHEN event_type <> 'error' THEN 1 END) / count(*), 4) ELSE 0e0 END AS success_rate FROM events GROUP BY user_id",
-)
+@runs("SELECT user_id, count(*) AS total, round(100e0 * count(*) FILTER (event_type <> 'error') / count(*), 4) AS success_rate, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS duration FROM events GROUP BY user_id")
+def monitor_stats(spark, d):
+    """Tries, share of good ones and whole seconds from first to last, by session."""
+    seconds = F.unix_timestamp(F.max(F.col("ts").cast("timestamp"))) - F.unix_timestamp(F.min(F.col("ts").cast("timestamp")))
+    rate = F.round(100.0 * F.count_if(F.col("event_type") != "error") / F.count("*"), 4)
+    return read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), rate.alias("success_rate"), seconds.alias("duration"))
+
+
 _OK = "(SELECT user_id, event_id, event_type, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM events)"
 same("monitor_sessions", f"SELECT user_id, count(*) AS tries, count(CASE WHEN event_type <> 'error' THEN 1 END) AS captures FROM {_OK} e WHERE coalesce(done, 0) < 5 GROUP BY user_id", "A session ends with its fifth successful capture; failures do not count.")
-same("last_errors", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error') e WHERE r <= 10")
-same("sse_frames", "SELECT event_id, concat('data: {\"type\":\"', event_type, '\",\"job\":', user_id, '}') AS frame FROM events")
+same("last_errors", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error') e WHERE r <= 10 ORDER BY user_id, ts, event_id", "The last ten errors of a job, oldest first.")
+@runs("SELECT event_id, 'data: ' || to_json({'type': event_type, 'job': user_id, 'message': event_type || ' \"' || user_id || '\"'}) || chr(10) || chr(10) AS frame FROM events")
+def sse_frames(spark, d):
+    """Server-sent frames: a JSON object, escaped, and an empty line."""
+    said = F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("job"), F.concat("event_type", F.lit(' "'), "user_id", F.lit('"')).alias("message"))
+    return read(spark, d, "events").select("event_id", F.concat(F.lit("data: "), F.to_json(said), F.lit("\n\n")).alias("frame"))
+
+
 same("progress_bar", "SELECT event_id, concat(repeat('#', CAST(event_id % 21 AS INT)), repeat('.', CAST(20 - event_id % 21 AS INT))) AS bar FROM events")
 
-same(
-    "detect_duplicates",
-    f"""SELECT doc_id, original FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY page, image ORDER BY doc_id) AS original FROM {_CAPTURES} c) t WHERE doc_id <> original""",
-    "Captures of a page whose image an earlier one has.",
-)
+@runs(f"SELECT doc_id, original FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY page, image ORDER BY doc_id) AS original FROM {_CAPTURES} c) t WHERE doc_id <> original")
+def detect_duplicates(spark, d):
+    """Captures of a page whose image an earlier one has; images go by their sha256, not as texts."""
+    rows = spark.sql(_CAPTURES[1:-1].replace("FROM documents", "FROM {documents}"), documents=read(spark, d, "documents"))
+    rows = rows.select("doc_id", "page", F.coalesce(F.sha2("image", 256), F.lit("")).alias("hash"))
+    first = rows.groupBy("page", "hash").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(first, ["page", "hash"]).where("doc_id <> original").select("doc_id", "original")
+
+
 same("storage_stats", f"SELECT count(*) AS files, sum(size) AS bytes, round(sum(size) / 1048576e0, 2) AS mb, count(DISTINCT page) AS pages FROM {_CAPTURES} c")
-same("screenshot_path", f"SELECT doc_id, concat('screenshots/', page, '/', day, '/', '20240130_', doc_id, '_', viewport, '.png') AS path, CASE WHEN viewport = 'fullpage' THEN NULL ELSE viewport END AS wh FROM {_CAPTURES} c")
 same("retention_expired", f"SELECT count(*) AS expired FROM {_CAPTURES} c WHERE CAST(day AS DATE) < DATE '2024-01-01'")
 same("gallery_stats", f"SELECT count(*) AS total, count(CASE WHEN day = '2024-01-30' THEN 1 END) AS today, count(DISTINCT page) AS pages, round(sum(size) / 1048576e0, 2) AS mb FROM {_CAPTURES} c")
-same(
-    "list_screenshots",
-    f"SELECT c.doc_id, c.page, c.day, m.n AS page_files FROM {_CAPTURES} c LEFT JOIN (SELECT page, count(*) AS n FROM {_CAPTURES} x WHERE size > 500 GROUP BY page) m ON c.page = m.page",
-)
-same("list_dir", f"SELECT page AS name, TRUE AS is_dir, count(*) AS entries FROM {_CAPTURES} c GROUP BY page UNION ALL SELECT concat(viewport, '.txt'), FALSE, count(*) FROM {_CAPTURES} c GROUP BY viewport")
-same("skip_cloned_today", "SELECT page_id FROM pages WHERE page_id % 7 IN (SELECT doc_id % 7 FROM documents WHERE doc_id % 14 < 3)", "Pages whose project has been made on the as-of day.")
-same("site_statistics", "SELECT CASE WHEN page_id % 3 = 0 THEN 'posts' WHEN page_id % 3 = 1 THEN 'pages' ELSE 'media' END AS category, count(*) AS n FROM pages GROUP BY 1")
-same("analysis_summary", "SELECT host, concat('Site: ', host, ' | URLs: ', n) AS summary FROM (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host, CAST(count(*) AS STRING) AS n FROM pages GROUP BY 1) t")
-same("enrich_titles", "SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) AS title FROM (SELECT * FROM pages WHERE page_id % 3 = 1 ORDER BY page_id LIMIT 50) p", "The first 50 without a title get theirs; the limit is the feature.")
-
-
-@runs("SELECT base64(encode(url)) AS name, url, page_id AS created FROM pages WHERE page_id % 4 > 0 UNION ALL SELECT concat('#', page_id) AS name, 'Unknown URL' AS url, page_id AS created FROM pages WHERE page_id % 4 = 0")
-def list_projects(spark, d):
-    """Folders with the URL that their name encodes, or none."""
-    from weftline.functions.urls import base64_url, from_base64
-
-    pages = read(spark, d, "pages").select(F.when(F.col("page_id") % 4 > 0, base64_url(F.col("url"))).otherwise(F.concat(F.lit("#"), F.col("page_id"))).alias("name"), F.col("page_id").alias("created"))
-    return pages.select("name", F.coalesce(from_base64(F.col("name")), F.lit("Unknown URL")).alias("url"), "created")
 
 
 @runs()
@@ -134,7 +148,7 @@ def file_scan(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime")
 
 
-#: The site catalogue: (name, tier, difficulty). Tier sizes 3, 4, 3, 3, 3, 4.
+#: A catalogue of sites by tier (tiers of 3, 4, 3, 3, 3, 4 sites); the names are made up.
 _TIERS = (("static", 3, "easy"), ("ssr", 4, "medium"), ("spa", 3, "hard"), ("hybrid", 3, "hard"), ("heavy_js", 3, "extreme"), ("special", 4, "medium"))
 _SITES = "(SELECT * FROM (VALUES " + ", ".join(f"('{tier}-{i}', '{tier}', '{level}', {i})" for tier, n, level in _TIERS for i in range(1, n + 1)) + ") AS v(name, category, difficulty, nth))"
 same("site_catalogue", f"SELECT * FROM {_SITES} s")
@@ -142,7 +156,6 @@ same("site_counts", f"SELECT category, difficulty, count(*) AS n FROM {_SITES} s
 same("sites_by_difficulty", f"SELECT name FROM {_SITES} s WHERE difficulty = 'hard'")
 same("custom_set", f"SELECT s.name, l.place FROM {_SITES} s JOIN (SELECT * FROM (VALUES ('SPA-2', 1), ('static-1', 2)) AS v(name, place)) l ON lower(s.name) = lower(l.name)", "Sites by name, whatever the case, with their place in the list.")
 same("union_sites", f"SELECT name FROM {_SITES} s WHERE category = 'static' UNION ALL SELECT name FROM {_SITES} s WHERE category = 'ssr'")
-same("viewport_dim", "SELECT * FROM (VALUES ('desktop', 1920, 1080), ('laptop', 1366, 768), ('tablet', 768, 1024), ('mobile', 375, 667)) AS v(name, width, height)")
 
 # Discovery: robots files, sitemaps and platforms, over text made from pages.
 
@@ -175,27 +188,6 @@ def sitemap_candidates(spark, d):
     return read(spark, d, "pages").select(F.expr(_SITE).alias("site")).distinct().select("site", F.explode(F.array(*map(F.lit, CANDIDATES))).alias("c")).select(F.concat("site", "c").alias("candidate"))
 
 
-_LINKS = """concat('<link rel="sitemap" type="x" href="/s', page_id, '.xml"><link href=''/t.xml'' rel=''sitemap''><link rel="icon" href="/i.ico">')"""
-_FORMS = ("(?i)<link[^>]*rel=[\"']sitemap[\"'][^>]*href=[\"']([^\"']+)[\"']", "(?i)<link[^>]*href=[\"']([^\"']+)[\"'][^>]*rel=[\"']sitemap[\"']")
-
-
-@runs(" UNION ".join(f"SELECT page_id, concat({_SITE}, l) AS sitemap FROM (SELECT page_id, url, unnest(regexp_extract_all({_LINKS}, '{f.replace(chr(39), chr(39) * 2)}', 1)) AS l FROM pages) t{i}" for i, f in enumerate(_FORMS)))
-def html_sitemap_links(spark, d):
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all(F.expr(_LINKS.replace("''", "\\'")), F.lit(f), 1) for f in _FORMS]))
-    return read(spark, d, "pages").select("page_id", F.expr(_SITE).alias("site"), F.explode(found).alias("l")).select("page_id", F.concat("site", "l").alias("sitemap"))
-
-
-_XML = """concat('<urlset xmlns="http://x"><url><loc>http://h/', page_id, '</loc><lastmod>2024-01-0', page_id % 9 + 1, '</lastmod></url><url><loc>http://h/b</loc></url></urlset>')"""
-
-
-@runs("SELECT page_id, concat('http://h/', page_id) AS loc, concat('2024-01-0', page_id % 9 + 1) AS lastmod FROM pages WHERE page_id % 10 > 0 UNION ALL SELECT page_id, 'http://h/b', NULL FROM pages WHERE page_id % 10 > 0")
-def parse_sitemap(spark, d):
-    """URLs of sitemaps; malformed ones give none (from_xml with a schema, permissive)."""
-    xml = F.expr(f"CASE WHEN page_id % 10 = 0 THEN '<urlset><url><loc>' ELSE {_XML} END")
-    row = F.from_xml(F.regexp_replace(xml, ' xmlns="[^"]*"', ""), "url array<struct<loc:string,lastmod:string>>", {"mode": "PERMISSIVE", "prefersDecimal": "false"})
-    return read(spark, d, "pages").select("page_id", F.inline(F.coalesce(row["url"], F.array().cast("array<struct<loc:string,lastmod:string>>")))).where("loc is not null")
-
-
 @runs("SELECT page_id, 'http://h/p' AS loc, concat('T', page_id) AS title, 'Mon' AS lastmod FROM pages")
 def parse_rss(spark, d):
     xml = F.expr("concat('<rss><channel><item><title>T', page_id, '</title><link>http://h/p</link><pubDate>Mon</pubDate></item></channel></rss>')")
@@ -210,37 +202,9 @@ def parse_atom(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(row["entry"]).alias("e")).select("page_id", F.col("e.link")[0]["_href"].alias("loc"), F.col("e.title").alias("title"))
 
 
-#: Which sitemap lists which: a tree of pages with links back to its root.
-_EDGES = "(SELECT page_id AS child, page_id DIV 3 AS parent FROM pages WHERE page_id > 0 UNION ALL SELECT 0 AS child, page_id AS parent FROM pages WHERE page_id % 5 = 1)"
-
-
-@runs(f"WITH RECURSIVE seen AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT e.child FROM {_EDGES.replace('DIV', '//')} e JOIN seen s ON e.parent = s.node) SELECT node FROM seen")
-def sitemap_bfs(spark, d):
-    """All sitemaps reached from the first, level by level; cycles end where nothing new is found. Levels are checkpointed."""
-    pages = read(spark, d, "pages")
-    edges = spark.sql(_EDGES[1:-1].replace("FROM pages", "FROM {pages}"), pages=pages)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # only where no folder is set, as in tests
-    seen = frontier = spark.range(1).select(F.col("id").alias("node"))
-    while True:
-        frontier = edges.join(frontier, edges.parent == frontier.node, "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier).checkpoint()
-
-
-same("sitemap_union", "SELECT url AS loc FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0")
-same("except_frontier", "SELECT page_id FROM pages WHERE page_id % 2 = 0 EXCEPT SELECT page_id FROM pages WHERE page_id % 3 = 0")
-
-_HTML = """concat(CASE WHEN page_id % 2 = 0 THEN '<link href="/wp-content/themes/astra/s.css">' ELSE '' END, CASE WHEN page_id % 3 = 0 THEN '<script src="/wp-includes/j.js">' ELSE '' END,
-  CASE WHEN page_id % 5 = 0 THEN '<meta name="generator" content="WordPress 6.4.2">' ELSE '' END, CASE WHEN page_id % 4 = 0 THEN '<a href="/wp-content/plugins/seo/x"><a href="/wp-content/plugins/cache/y">' ELSE '' END)"""
-_SCORE = "(CASE WHEN contains(h, '/wp-content/') THEN 3 ELSE 0 END + CASE WHEN contains(h, '/wp-includes/') THEN 3 ELSE 0 END + CASE WHEN contains(h, 'generator') THEN 4 ELSE 0 END + CASE WHEN page_id % 7 = 0 THEN 5 ELSE 0 END + CASE WHEN page_id % 11 = 0 THEN 2 ELSE 0 END)"
 same(
-    "wp_fingerprint",
-    f"""SELECT page_id, {_SCORE} >= 5 AS is_wordpress, least(10, {_SCORE}) AS confidence_tenths, regexp_extract(h, 'WordPress ([0-9.]+)', 1) AS version,
-  regexp_extract(h, '/wp-content/themes/([^/"]+)', 1) AS theme, CASE WHEN contains(h, '/plugins/cache/') THEN 'cache,seo' ELSE '' END AS plugins FROM (SELECT page_id, {_HTML} AS h FROM pages) t""",
-    "Signs of a platform add up in tenths; from five on it is that platform. Plugins are sorted, at most ten.",
+    "sitemap_union",
+    "SELECT url AS loc FROM pages WHERE url LIKE 'https:%' UNION SELECT concat(regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1), '/sitemap.xml') FROM pages UNION SELECT url FROM pages WHERE NOT url LIKE 'https:%'",
+    "Addresses that markup and the usual places give, each once.",
 )
+same("except_frontier", "SELECT url FROM pages EXCEPT SELECT url FROM pages WHERE length(html) > 2000", "The frontier less what has been processed: pages that were stored with some content.")

@@ -30,7 +30,7 @@ def _shapes(spark, d):
 def _from(spark, d, text: str, *tables: str):
     """The rows of a SQL table expression over tables of d."""
     frames = {t: read(spark, d, t) for t in tables or ("pages",)}
-    body = text.rsplit(" ", 1)[0].strip()[1:-1]
+    body = text.rsplit(" ", 1)[0].strip()[1:-1].replace("{", "{{").replace("}", "}}")
     for t in frames:
         body = body.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(body, **frames)
@@ -111,9 +111,9 @@ def url_filename(spark, d):
     return _from(spark, d, REFS).select("page_id", U.file_name(F.col("ref")).alias("file"))
 
 
-@web("SELECT doc_id, coalesce(nullif(trim(regexp_replace(substr(source, 1, 3) || ' ' || substr(text, 1, 20), '[^\\p{L}\\p{N} _-]', '', 'g')), ''), 'unnamed') AS page FROM documents")
+@web("SELECT doc_id, coalesce(nullif(trim(regexp_replace(source || ' ' || text, '[^\\p{L}\\p{N} _-]', '', 'g')), ''), 'unnamed') AS page FROM documents")
 def clean_page_name(spark, d):
-    return read(spark, d, "documents").select("doc_id", U.page_name(F.concat(F.substring("source", 1, 3), F.lit(" "), F.substring("text", 1, 20))).alias("page"))
+    return read(spark, d, "documents").select("doc_id", U.page_name(F.concat("source", F.lit(" "), "text")).alias("page"))
 
 
 @web(f"SELECT page_id, CASE WHEN regexp_matches(ref, '^https?://') THEN ref ELSE concat('https://', ref) END AS url FROM {REFS}")
@@ -138,21 +138,25 @@ def scan_pages(spark, d):
 
 # References to assets, in the order of their tags: link, img, srcset, script, meta.
 
-_MARKUP = """concat('<link rel="stylesheet" href="/css/', page_id % 7, '.css"><img src="img/', page_id % 5, '.png" srcset="a.png 1x, b.png 2x"><script src="//cdn.example.net/',
-  page_id % 3, '.js"></script><meta property="og:image" content="https://x.example.org/', page_id % 4, '.jpg"><meta name="d" content="words">')"""
-_KINDS = (("link", '(?i)<link[^>]* href="([^"]*)"'), ("img", '(?i)<img[^>]* src="([^"]*)"'), ("srcset", '(?i)<img[^>]* srcset="([^"]*)"'), ("script", '(?i)<script[^>]* src="([^"]*)"'), ("meta", '(?i)<meta[^>]* content="((?:https?://|/)[^"]*)"'))
+_MARKUP = """concat('<link rel="stylesheet" href="/css/', page_id % 7, '.css"><IMG alt="src" SRC = ''img/', page_id % 5, '.png'' srcset="a.png 1x, b.png 2x"><script async\tsrc="//cdn.example.net/',
+  page_id % 3, '.js"></script><meta property="og:image" content="https://x.example.org/', page_id % 4, '.jpg"><meta name="d" content="words"><img data-src="no.png">')"""
+_KINDS = (("link", "link", "href"), ("img", "img", "src"), ("srcset", "img", "srcset"), ("script", "script", "src"), ("meta", "meta", "content"))
 
 
 def asset_refs(html):
-    """array<struct<kind, ref>> of a page's references."""
+    """array<struct<kind, ref>> of a page's references: attributes in either quotes, in any case, after any white space; contents of meta that look like addresses."""
 
-    def of(kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref")))
+    def of(kind: str, tag: str, name: str):
+        found = F.concat(*[F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*?\s{name}\s*=\s*{q}([^{q}]*){q}"), 1) for q in "\"'"])
+        if kind == "meta":
+            found = F.filter(found, lambda x: x.rlike("^(https?://|/)"))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref")))
 
-    return F.concat(*[of(k, p) for k, p in _KINDS])
+    return F.concat(*[of(*k) for k in _KINDS])
 
 
-@web("SELECT page_id, kind, ref FROM (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all({_MARKUP}, '{p}', 1)) AS ref FROM pages" for k, p in _KINDS) + ") t")
+@web("""SELECT page_id, 'link' AS kind, '/css/' || page_id % 7 || '.css' AS ref FROM pages UNION ALL SELECT page_id, 'img', 'img/' || page_id % 5 || '.png' FROM pages UNION ALL SELECT page_id, 'srcset', 'a.png 1x, b.png 2x' FROM pages
+  UNION ALL SELECT page_id, 'script', '//cdn.example.net/' || page_id % 3 || '.js' FROM pages UNION ALL SELECT page_id, 'meta', 'https://x.example.org/' || page_id % 4 || '.jpg' FROM pages""")
 def extract_assets(spark, d):
     return read(spark, d, "pages").select("page_id", F.inline(asset_refs(F.expr(_MARKUP))))
 
@@ -173,39 +177,46 @@ def css_urls(spark, d):
     return read(spark, d, "pages").select("page_id", found.alias("ref")).select("page_id", F.trim("ref").alias("ref")).where("not startswith(ref, 'data:')")
 
 
-@web(f"SELECT page_id, regexp_replace({_CSS}, 'url\\([\"'']?img/([0-9]+)\\.png[\"'']?\\)', 'url(local/\\1.png)', 'g') AS css FROM pages")
-def css_rewrite(spark, d):
-    """Each url() whose file is local becomes that file, by a fold over the distinct matches."""
-    css = F.expr(_CSS)
-    matches = F.array_distinct(F.regexp_extract_all(css, F.lit("(url\\([\"']?img/[0-9]+\\.png[\"']?\\))"), 1))
-    new = lambda m: F.concat(F.lit("url(local/"), F.regexp_extract(m, "img/([0-9]+)", 1), F.lit(".png)"))
-    return read(spark, d, "pages").select("page_id", F.aggregate(matches, css, lambda acc, m: F.replace(acc, m, new(m))).alias("css"))
-
-
 @web("SELECT page_id, unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS css FROM pages")
 def inline_css(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<style[^>]*>(.*?)</style>"), 1)).alias("css"))
 
 
-@web(f"SELECT page_id, replace({_MARKUP}, concat('/css/', page_id % 7, '.css'), concat('css/', page_id % 7, '.css')) AS html FROM pages")
-def rewrite_html(spark, d):
-    local = F.expr("concat('css/', page_id % 7, '.css')")
-    return read(spark, d, "pages").select("page_id", F.replace(F.expr(_MARKUP), F.concat(F.lit("/"), local), local).alias("html"))
+def selected(html, selector):
+    """The first element for a selector: a tag, .class or #id as CSS, //tag as XPath; empty where there is none. An element ends with the first end tag of its kind."""
+    css = F.when(selector.startswith("."), F.concat(F.lit(r'(?is)<(\w+)\b[^>]*\bclass="[^"]*\b'), F.substring(selector, 2, 1 << 20), F.lit(r'\b[^"]*"[^>]*>.*?</\1>')))
+    css = css.when(selector.startswith("#"), F.concat(F.lit(r'(?is)<(\w+)\b[^>]*\bid="'), F.substring(selector, 2, 1 << 20), F.lit(r'"[^>]*>.*?</\1>')))
+    tag = F.regexp_replace(selector, "^//", "")
+    pattern = css.otherwise(F.concat(F.lit("(?is)<"), tag, F.lit(r"\b[^>]*>.*?</"), tag, F.lit(">")))
+    return F.call_function("regexp_extract", html, pattern, F.lit(0))
+
+
+def text_of(markup):
+    """The text of markup: what is between tags, each piece without white space at its ends."""
+    return F.array_join(F.transform(F.split(markup, "(?s)<[^>]*>"), U.stripped), "")
 
 
-@web("SELECT page_id, concat('<html><body>', regexp_extract(html, '(?is)(<article>.*?</article>)', 1), '</body></html>') AS content FROM pages WHERE contains(html, '<article>')")
+_CHOICE = "CASE page_id % 4 WHEN 0 THEN 'article' WHEN 1 THEN '.ad' WHEN 2 THEN '//footer' ELSE '#none' END"
+_PART = """CASE page_id % 4 WHEN 0 THEN regexp_extract(html, '(?is)<article>.*?</article>') WHEN 1 THEN regexp_extract(html, '(?is)<div class="ad">.*?</div>') WHEN 2 THEN regexp_extract(html, '(?is)<footer>.*?</footer>') ELSE '' END"""
+
+
+@web(f"""SELECT page_id, CASE WHEN part = '' THEN NULL WHEN page_id % 4 = 2 THEN 'xpath' ELSE 'css' END AS kind, CASE WHEN part = '' THEN NULL ELSE '<html><body>' || part || '</body></html>' END AS content FROM (SELECT page_id, {_PART} AS part FROM pages) t""")
 def extract_content(spark, d):
-    part = F.regexp_extract("html", "(?is)(<article>.*?</article>)", 1)
-    return read(spark, d, "pages").where(F.col("html").contains("<article>")).select("page_id", F.concat(F.lit("<html><body>"), part, F.lit("</body></html>")).alias("content"))
+    """A page cut down to one element, and how its selector was read; null where the selector finds nothing."""
+    pages = read(spark, d, "pages").withColumn("selector", F.expr(_CHOICE)).withColumn("part", F.nullif(selected(F.col("html"), F.col("selector")), F.lit("")))
+    kind = F.when(F.col("part").isNotNull(), F.when(F.col("selector").startswith("//"), "xpath").otherwise("css"))
+    return pages.select("page_id", kind.alias("kind"), F.concat(F.lit("<html><body>"), "part", F.lit("</body></html>")).alias("content"))
 
 
-_TEXT = "regexp_replace(regexp_replace(regexp_extract(html, '(?is)<nav>(.*?)</nav>', 1), '(?is)<[^>]*>', '', 'g'), '\\s+', '', 'g')"
+_PLAIN = "array_to_string(list_transform(string_split_regex(regexp_extract(html, '{0}'), '(?s)<[^>]*>'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '')"
 
 
-@web(f"SELECT page_id, length({_TEXT}) AS n, length({_TEXT}) > 100 AS detected FROM pages")
+@web("SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN length({_PLAIN.format(p)}) > 100 THEN '{n}' END" for n, p in (("article", "(?is)<article\\b[^>]*>.*?</article>"), ("nav", "(?is)<nav\\b[^>]*>.*?</nav>"), (".ad", '(?is)<div class="ad">.*?</div>'))) + "], lambda x: x IS NOT NULL), ',') AS found FROM pages")
 def detect_selector(spark, d):
-    text = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?is)<nav>(.*?)</nav>", 1), "(?is)<[^>]*>", ""), r"\s+", "")
-    return read(spark, d, "pages").select("page_id", F.length(text).alias("n"), (F.length(text) > 100).alias("detected"))
+    """Of some selectors those that find an element with more than 100 characters of text."""
+    names = F.array(*map(F.lit, ("article", "nav", ".ad", "#none")))
+    found = F.filter(names, lambda s: F.length(text_of(selected(F.col("html"), s))) > 100)
+    return read(spark, d, "pages").select("page_id", F.array_join(found, ",").alias("found"))
 
 
 # Filters on references.
@@ -216,16 +227,6 @@ def filter_data_uri(spark, d):
     return _from(spark, d, REFS).where("not startswith(ref, 'data:') and length(trim(ref)) > 0").select("page_id", "ref")
 
 
-#: The extensions that count as resources.
-RESOURCES = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "woff", "woff2", "ttf", "eot", "otf", "mp4", "webm", "mp3", "pdf", "json")
-
-
-@web(f"SELECT page_id, regexp_matches(lower(string_split(ref, '?')[1]), '\\.({'|'.join(RESOURCES)})$') AND NOT starts_with(ref, 'data:') AND ref <> '' AS valid FROM {REFS}")
-def valid_resource(spark, d):
-    ok = F.lower(F.substring_index("ref", "?", 1)).rlike(rf"\.({'|'.join(RESOURCES)})$") & ~F.col("ref").startswith("data:") & (F.col("ref") != "")
-    return _from(spark, d, REFS).select("page_id", ok.alias("valid"))
-
-
 @web("SELECT page_id, contains(lower(CASE page_id % 3 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'image/png' ELSE 'application/xhtml+xml' END), 'html') AS is_html FROM pages")
 def is_html(spark, d):
     kind = F.expr("CASE page_id % 3 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'image/png' ELSE 'application/xhtml+xml' END")
@@ -263,14 +264,26 @@ _HOSTS = "(SELECT DISTINCT concat('https://log.example.net/get?f=', page_id % 13
 
 @web(f"SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM {_HOSTS} l WHERE contains(l.logged, concat(p.page_id % 20, '.png')))")
 def network_theta(spark, d):
-    """File names that occur anywhere in a logged URL: distinct names against distinct URLs, then an equality join.
+    """File names that occur anywhere in a logged URL."""
+    pages = read(spark, d, "pages").select("page_id", F.expr("concat(page_id % 20, '.png')").alias("name"))
+    log = read(spark, d, "pages").select(F.expr("concat('https://log.example.net/get?f=', page_id % 13, '.png')").alias("logged"))
+    return pages.join(contained(pages, log), "name", "left_semi").select("page_id")
+
+
+def contained(names, log, width: int = 8):
+    """The distinct names (name) that are part of a logged URL (logged).
 
-    The nested loop is over the distinct values of both sides, not over the pages.
+    Every name begins somewhere in the URL that holds it: its first `width` characters, all of a shorter one, meet the
+    runs of as many characters of the URLs in an equality join, and what meets is compared as a whole. The rows are in
+    proportion to the characters of the log, and nothing is broadcast unless Spark finds it small.
     """
-    pages = read(spark, d, "pages").select("page_id", F.expr("concat(page_id % 20, '.png')").alias("name"))
-    log = read(spark, d, "pages").select(F.expr("concat('https://log.example.net/get?f=', page_id % 13, '.png')").alias("logged")).distinct()
-    found = pages.select("name").distinct().join(log, F.col("logged").contains(F.col("name")), "left_semi")
-    return pages.join(found, "name", "left_semi").select("page_id")
+    names = names.select("name").where("name is not null").distinct().withColumn("start", F.substring("name", 1, width))
+    log = log.select("logged").where("logged is not null").distinct()
+    # Runs for which there is a name at all: the lengths in use are asked for within the query.
+    sizes = names.agg(F.collect_set(F.length("start"))).scalar()
+    runs = F.expr("flatten(transform(sizes, n -> transform(sequence(1, greatest(length(logged) - n + 1, 1)), i -> substr(logged, i, n))))")
+    grams = log.withColumn("sizes", sizes).where("size(sizes) > 0").select("logged", F.explode(F.array_distinct(runs)).alias("start"))
+    return names.join(grams, "start").where(F.col("logged").contains(F.col("name"))).select("name").distinct()
 
 
 @web(f"""SELECT page_id, (SELECT count(*) FROM {_LOGGED} l) = 0 OR {_NORMAL} IN (SELECT logged FROM {_LOGGED} l2)
@@ -278,11 +291,16 @@ def network_theta(spark, d):
 def network_gate(spark, d):
     """A reference passes if nothing was logged, if its URL was, or if its file name is part of a logged URL."""
     refs = _normal(spark, d).withColumn("name", U.file_name(F.col("ref")))
-    log = refs.where("page_id % 5 < 3").select(F.col("absolute").alias("logged")).distinct()
-    names = refs.select("name").distinct().join(log, F.col("logged").contains(F.col("name")), "left_semi").withColumn("by_name", F.lit(True))
-    none = log.limit(1).count() == 0
-    out = refs.join(log.withColumn("by_url", F.lit(True)), F.col("absolute") == F.col("logged"), "left").join(names, "name", "left")
-    return out.select("page_id", (F.lit(none) | F.coalesce("by_url", F.lit(False)) | F.coalesce("by_name", F.lit(False))).alias("passes"))
+    return gate(refs, refs.where("page_id % 5 < 3").select(F.col("absolute").alias("logged"))).select("page_id", "passes")
+
+
+def gate(refs, log):
+    """refs (absolute, name) with `passes`; log has (logged)."""
+    log = log.where("logged is not null").distinct()
+    none = log.agg(F.count("*") == 0).scalar()
+    by_name = contained(refs, log).withColumn("by_name", F.lit(True))
+    out = refs.join(log.withColumn("by_url", F.lit(True)), F.col("absolute") == F.col("logged"), "left").join(by_name, "name", "left")
+    return out.withColumn("passes", none | F.coalesce("by_url", F.lit(False)) | F.coalesce("by_name", F.lit(False)))
 
 
 # Fetch outcomes.
@@ -320,52 +338,13 @@ def rewrite_lookup(spark, d):
     return refs.join(by.select("absolute", F.expr("concat('assets/', length(absolute), '.bin')").alias("local")), "absolute", "left").select("page_id", "absolute", "local")
 
 
-@web(f"""SELECT page_id, CASE WHEN nth = 0 THEN {_FILE} ELSE concat(string_split({_FILE}, '.')[1], nth, substr({_FILE}, length(string_split({_FILE}, '.')[1]) + 1)) END AS name
-  FROM (SELECT page_id, ref, CAST(row_number() OVER (PARTITION BY {_FILE} ORDER BY page_id) - 1 AS INTEGER) AS nth FROM {REFS}) t""")
-def unique_filenames(spark, d):
-    """The n-th use of a name gets n before its first dot. A window over each name; unique_filenames_exact also minds names made up earlier."""
-    from pyspark.sql import Window
-
-    refs = _from(spark, d, REFS).withColumn("file", U.file_name(F.col("ref")))
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("page_id")) - 1
-    stem = F.substring_index("file", ".", 1)
-    return refs.withColumn("nth", nth).select("page_id", F.when(F.col("nth") == 0, F.col("file")).otherwise(F.concat(stem, F.col("nth"), F.expr("substr(file, length(substring_index(file, '.', 1)) + 1)"))).alias("name"))
-
-
-@web()
-def unique_filenames_exact(spark, d):
-    """Names as given out one after the other in a folder, upward until one is free."""
-    refs = _from(spark, d, REFS).select((F.col("page_id") % 8).alias("folder"), "page_id", U.file_name(F.col("ref")).alias("file"))
-
-    def give(pdf):
-        used, out = {}, []
-        for name in pdf.sort_values("page_id")["file"]:
-            stem, dot, rest = name.partition(".")
-            new, n = name, used.get(name, 0)
-            while new in used:
-                n += 1
-                new = f"{stem or '0'}{n}{dot}{rest}"
-            used[name] = n
-            used.setdefault(new, 0)
-            out.append(new)
-        return pdf.sort_values("page_id").assign(name=out)[["folder", "page_id", "name"]]
-
-    return refs.groupBy("folder").applyInPandas(give, "folder long, page_id long, name string")
-
-
 @web(f"""SELECT page_id % 10 AS project, count(*) AS n_ok, sum(size) AS bytes, min(absolute) AS first_url FROM {_FETCHED} f WHERE size > 100 GROUP BY 1""")
 def download_manifest(spark, d):
-    """A manifest document for each project, folded into the numbers that it states; manifest_json() has the document."""
+    """A manifest document for each project, folded into the numbers that it states; sources.files.manifests() has the document."""
     rows = _from(spark, d, OUTCOMES).where("length(trim(ref)) > 0 and not startswith(ref, 'data:') and size > 100").withColumn("absolute", U.normalized(F.col("url"), F.col("ref")))
     return rows.groupBy((F.col("page_id") % 10).alias("project")).agg(F.count("*").alias("n_ok"), F.sum("size").alias("bytes"), F.min("absolute").alias("first_url"))
 
 
-def manifest_json(rows, project: str):
-    """One JSON manifest for each project of rows (project, absolute, local, method, size)."""
-    item = F.struct(F.col("absolute").alias("url"), F.col("local").alias("local_path"), "method", "size")
-    return rows.groupBy(project).agg(F.to_json(F.struct(F.count("*").alias("success"), F.collect_list(item).alias("successful_downloads"))).alias("manifest"))
-
-
 @web(f"SELECT page_id, CASE WHEN length(concat(url, '/', ref)) > 80 THEN concat(substr(concat(url, '/', ref), 1, 80), '...') ELSE concat(url, '/', ref) END AS shown FROM {REFS}")
 def failed_short(spark, d):
     whole = F.concat("url", F.lit("/"), "ref")

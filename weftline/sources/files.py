@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "site_name string, site_url string, site_category string, success boolean, duration_seconds double, total_resources long, file_types map<string,bigint>"
@@ -28,3 +28,28 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, length, modificationTime) of all files below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length", "modificationTime")
+
+
+def run_metadata(timestamp: Column, success: Column) -> list[Column]:
+    """Aggregates for a run document's metadata: when, how many, how many of them good and bad; rows without success count as bad."""
+    good = F.count_if(F.coalesce(success, F.lit(False)))
+    return [F.struct(F.min(timestamp).alias("timestamp"), F.count("*").alias("total_experiments"), good.alias("successful"), (F.count("*") - good).alias("failed")).alias("metadata")]
+
+
+def write_run(rows: DataFrame, folder: str, timestamp: str) -> None:
+    """One run as a folder of two documents: metadata.json, and results.json with a line for each row, however many there are."""
+    rows.agg(*run_metadata(F.lit(timestamp), F.col("success"))).select("metadata.*").coalesce(1).write.mode("overwrite").json(f"{folder}/metadata.json")
+    rows.write.mode("overwrite").json(f"{folder}/results.json")
+
+
+def manifests(fetched: DataFrame, project: str, timestamp: str) -> DataFrame:
+    """(project, manifest): a JSON document of each project's downloads, good and failed; fetched has (absolute, local, method, size, ok).
+
+    A project's downloads come together in one document, as in the file it stands for; projects are never put together.
+    """
+    done = F.struct(F.col("absolute").alias("url"), F.col("local").alias("local_path"), "method", "size")
+    lost = F.struct(F.col("absolute").alias("url"), "method")
+    stats = F.struct(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"))
+    body = F.struct(F.lit(timestamp).alias("timestamp"), F.col(project).cast("string").alias("url"), stats.alias("statistics"),
+                    F.array_sort(F.collect_list(F.when(F.col("ok"), done))).alias("successful_downloads"), F.array_sort(F.collect_list(F.when(~F.col("ok"), lost))).alias("failed_downloads"))
+    return fetched.groupBy(project).agg(F.to_json(body).alias("manifest"))
