@@ -340,6 +340,58 @@ def test_secrets_in_any_case(spark):
         assert any(doc == d and a <= s and e <= b for d, a, b in spans)
 
 
+def plain_base(text):
+    """The base patterns as they are given, by the regular expression engine alone."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        twice = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and twice % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_patterns():
+    own = random.Random(11)
+    bits = ["a@b.c", "@", ".", "..", "-", "1.2.3.4", "255", "256", "+1 (555) 123-4567", "378282246310005", "4111 1111 1111 1111", "x_y%z@q-r.s.t", "é", " ", "\n", "12", "0001.2.3.4", "+", "(", "a", "7-7"]
+    for _ in range(4000):
+        text = "".join(own.choice(bits) for _ in range(own.randint(0, 9)))
+        assert pii.base_spans(text) == plain_base(text), text
+    for _ in range(4000):
+        text = "".join(own.choice("1230.@a-+ (") for _ in range(own.randint(0, 40)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "1." * 500_000, "1" * 500_000 + "...1.1.1", "a@b." * 250_000, "+1(" * 300_000, "378282246310005 " * 60_000):
+        began = time.monotonic()
+        pii.further_spans(text, pii.base_spans(text))
+        assert time.monotonic() - began < 10
+
+
+def test_redaction_of_spans_that_share_characters(spark):
+    rows = [(1, "+378282246310005 tail text"), (1, "mail a@b.example.org now"), (None, "1.2.3.4"), (2, None), (3, "")]
+    found = pii.redacted(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted("-" if r.text is None else r.text for r in found) == sorted(["<phone> tail text", "mail <email> now", "<ip>", "-", ""])
+    assert pii.redacted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_base_spans_in_the_query(spark):
+    from weftline.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in QUERIES["op8_pii"](spark, "/root/testdata/sf0.001").collect():
+        base = plain_base(docs[r.doc_id])
+        joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert set(joined.split(",")) <= set(r.spans.split(","))
+
+
 def test_top_k(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(700)]
     rows += [(700, None), (701, [float("nan")] * 8), (702, [None] * 8), (703, rows[3][1]), (None, rows[0][1]), (704, [1e30] * 8)]

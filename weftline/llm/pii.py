@@ -4,9 +4,9 @@ Base spans (email, ip, card, phone) follow fixed patterns and always stay. Furth
 numbers, names after a title, numbers that miss a base pattern) are judged: labelers that look at form, at word lists
 and at the words around vote for, against or not at all; how often each pattern of votes occurs is counted over all
 documents; expectation-maximisation (Dawid and Skene, 1979) estimates from these counts how reliable each labeler is and how
-likely each pattern is right; a logistic model of votes, kind and length is fitted to that and decides. The counts are
-bounded by kinds times vote patterns, whatever the corpus is. Base spans vote too, so that labelers are known from
-many spans.
+likely each pattern is right; a logistic model of kind, votes and what the text is like (length, digits, case, the characters
+around, the word before) is fitted to that and decides. The counts are bounded by kinds times votes times classes of
+text, whatever the corpus is. Base spans vote too, so that labelers are known from many spans.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ CHUNK = 2_000_000
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "name", "number")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Numbers between single dots, as many as there are; each four of them make an address. One number alone is taken too: a search that failed there would start again at each digit.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]").search
@@ -35,10 +38,18 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? (?:[A-Z][a-z]+ ){0,2}[A-Z][a-z]+")
 _NUMBER = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]([ -]?[0-9]){12,18}")
 
-#: Word lists of the gazetteer and context labelers.
-_DOMAINS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "it", "uk", "info", "biz", "eu", "co"}
-_GIVEN = {"James", "Mary", "John", "Anna", "Peter", "Maria", "Paul", "Laura", "Michael", "Sarah", "David", "Julia", "Thomas", "Emma", "Robert", "Sophie"}
+#: Generic top-level domains; those of countries have two letters.
+_DOMAINS = frozenset("com org net edu gov mil int info biz name pro dev app io ai online site shop blog cloud tech example test".split())
+#: Given names that are common in the languages of the corpus. Names a labeler does not list it does not vote on.
+_GIVEN = frozenset(
+    "James Mary John Anna Peter Maria Paul Laura Michael Sarah David Julia Thomas Emma Robert Sophie William Elizabeth Richard Jennifer Joseph Linda Charles Barbara "
+    "Daniel Susan Matthew Jessica Anthony Karen Mark Nancy Steven Lisa Andrew Margaret George Sandra Kevin Emily Brian Olivia Edward Grace Henry Alice Jack Charlotte "
+    "Hans Ursula Klaus Monika Stefan Sabine Andreas Petra Wolfgang Claudia Christian Katrin Jens Heike Markus Birgit Lukas Lena Felix Hannah "
+    "Jean Marie Pierre Nathalie Michel Isabelle Philippe Catherine Nicolas Camille Julien Chloe Antoine Manon Louis Lea Hugo Ines "
+    "Jose Carmen Antonio Ana Manuel Isabel Francisco Dolores Juan Pilar Javier Lucia Carlos Marta Miguel Elena Pablo Sofia Diego Rosa".split()
+)
 _CUES = re.compile(r"(?:mail|contact|write|ip|host|server|login|address|card|visa|credit|pay|phone|tel|call|fax|mobile|pass|user|key|secret|ssn|social|name|dear)\W*$", re.I)
+_LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
 _DOUBTS = re.compile(r"(?:[#$€£%]|version|ver\.|v|no\.|page|isbn|order|example)\s*$", re.I)
 
 
@@ -50,13 +61,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, leftmost and without overlaps, in one pass."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            end = host.end()
+            yield start, end
+        at = text.find("@", max(end, at + 1))
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of four numbers up to 255 with dots between, leftmost and without overlaps, in one pass."""
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        numbers = list(_DIGITS.finditer(text, run.start(), run.end()))
+        for i in range(0, len(numbers) - 3, 4):
+            four = [m[0].lstrip("0") for m in numbers[i : i + 4]]
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in four):
+                yield numbers[i].start(), numbers[i + 3].end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all base matches that hold, sorted; kinds as places in KINDS."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+    """(start, kind, end) of all base matches that hold, sorted; kinds as places in KINDS. Linear in the text."""
+    out = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+        out += [(a, 1, b) for a, b in _addresses(text)]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
                 out.append((m.start(), 2, m.end()))
@@ -65,6 +100,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans that share characters as one, of the kind of the first."""
+    out: list[tuple[int, int, int]] = []
+    for s, k, e in sorted(spans):
+        if out and s < out[-1][2]:
+            out[-1] = (*out[-1][:2], max(out[-1][2], e))
+        else:
+            out.append((s, k, e))
+    return out
+
+
 def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that touch no base span and not each other, leftmost first."""
     found = []
@@ -75,10 +121,11 @@ def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         found += [(m.start(), 7, m.end()) for m in _NUMBER.finditer(text)]
     if any(t in text for t in ("Mr", "Ms", "Dr", "Prof")):
         found += [(m.start(), 6, m.end()) for m in _NAME.finditer(text)]
-    out, busy = [], sorted((s, e) for s, _, e in base)
-    end = 0
+    out, busy, at, end = [], merged(base), 0, 0
     for s, k, e in sorted(found):
-        if s >= end and not any(a < e and s < b for a, b in busy):
+        while at < len(busy) and busy[at][2] <= s:
+            at += 1
+        if s >= end and (at == len(busy) or busy[at][0] >= e):
             out.append((s, k, e))
             end = e
     return out
@@ -103,7 +150,7 @@ def _form(kind: int, span: str) -> int:
 
 def _listed(kind: int, span: str) -> int:
     if kind == 0:
-        return 1 if span.rsplit(".", 1)[-1].lower() in _DOMAINS else -1
+        return 1 if len(last := span.rsplit(".", 1)[-1].lower()) == 2 and last.isalpha() or last in _DOMAINS else -1
     if kind == 1:
         return -1 if span.startswith(("0.", "127.", "255.")) else 1
     if kind == 2:
@@ -127,24 +174,40 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     return (_form(kind, text[start:end]), _listed(kind, text[start:end]), 1 if _CUES.search(before) else 0, -1 if _DOUBTS.search(before) else 0, 1 if free else -1)
 
 
-VOTERS, SIZES = 5, 4
+VOTERS = 5
+#: Classes of what the text of a span is like; see looks().
+LOOKS = (4, 4, 4, 3, 3, 8)
 
 
-def pattern(kind: int, cast: tuple[int, ...], length: int) -> int:
-    """One number for kind, votes and length class."""
+def looks(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Classes of length, share of digits, case, the characters before and after, and the word before (by a hash of its letters)."""
+    span = text[start:end]
+    digits = sum(c.isdigit() for c in span)
+    case = 2 * any(c.isupper() for c in span) + any(c.islower() for c in span)
+    side = lambda c: 0 if not c or c.isspace() else 1 if c.isalnum() else 2
+    before = _LAST_WORD.search(text, max(0, start - 24), start)
+    return (min(3, len(span) // 12), min(3, 4 * digits // len(span)), case, side(text[start - 1 : start]), side(text[end : end + 1]), sum(map(ord, before[1].lower())) % 7 + 1 if before else 0)
+
+
+def pattern(kind: int, cast: tuple[int, ...], look: tuple[int, ...]) -> int:
+    """One number for kind, votes and looks."""
     out = kind
     for v in cast:
         out = out * 3 + v + 1
-    return out * SIZES + min(SIZES - 1, length // 12)
+    for v, n in zip(look, LOOKS, strict=True):
+        out = out * n + v
+    return out
 
 
-def parts(code: int) -> tuple[int, list[int], int]:
-    code, size = divmod(code, SIZES)
-    cast = []
+def parts(code: int) -> tuple[int, list[int], list[int]]:
+    cast, look = [], []
+    for n in reversed(LOOKS):
+        code, v = divmod(code, n)
+        look.insert(0, v)
     for _ in range(VOTERS):
         code, v = divmod(code, 3)
         cast.insert(0, v - 1)
-    return code, cast, size
+    return code, cast, look
 
 
 def reliabilities(cast: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +230,10 @@ def accepted(codes: list[int], counts: list[int], threshold: float = 0.5, rounds
     if not codes:
         return set()
     split = [parts(c) for c in codes]
-    kinds, cast, sizes = np.array([k for k, _, _ in split]), np.array([v for _, v, _ in split], dtype=float), np.array([s for _, _, s in split])
+    kinds, cast, look = np.array([k for k, _, _ in split]), np.array([v for _, v, _ in split], dtype=float), np.array([s for _, _, s in split])
     weight = np.array(counts, dtype=float)
     _, p = reliabilities(cast, kinds, weight)
-    x = np.hstack([np.ones((len(codes), 1)), cast == 1, cast == -1, np.eye(len(KINDS))[kinds], np.eye(SIZES)[sizes]])
+    x = np.hstack([np.ones((len(codes), 1)), cast == 1, cast == -1, np.eye(len(KINDS))[kinds], *(np.eye(n)[look[:, i]] for i, n in enumerate(LOOKS))])
     w, weight = np.zeros(x.shape[1]), np.sqrt(weight)  # a common pattern must not drown all others
     for _ in range(rounds):  # damped Newton steps on the weighted log loss with a small penalty
         q = 1 / (1 + np.exp(-x @ w))
@@ -190,7 +253,7 @@ def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             full = base + further_spans(text, base)
             spans.append([x for span in full for x in span])
-            codes.append([pattern(k, votes(text, s, k, e), e - s) for s, k, e in full])
+            codes.append([pattern(k, votes(text, s, k, e), looks(text, s, e)) for s, k, e in full])
             n_base.append(len(base))
         yield pa.record_batch(
             [batch.column(0).slice(a, b - a), pa.array(spans, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64())), pa.array(n_base, pa.int64())], names=["id", "spans", "codes", "n_base"]
@@ -215,6 +278,15 @@ def _decided(taken: set[int]):
     return run
 
 
+_FOUND = "id long, spans array<long>, codes array<long>, n_base long"
+
+
+def _learned(found: DataFrame) -> set[int]:
+    """The patterns to take, from the counts over all documents: at most kinds x votes x looks rows."""
+    counted = found.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy("code").collect()
+    return accepted([r["code"] for r in counted], [r["count"] for r in counted])
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base, spans) for each row of docs; spans are kind:start:end in code points.
 
@@ -222,20 +294,33 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives no rows. Other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stored(texts.mapInArrow(_candidates, "id long, spans array<long>, codes array<long>, n_base long"), "candidates")
-    counted = found.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy("code").collect()  # at most kinds x 3^voters x sizes rows
-    taken = accepted([r["code"] for r in counted], [r["count"] for r in counted])
+    found = stored(texts.mapInArrow(_candidates, _FOUND), "candidates")
+    taken = _learned(found)
     return found.mapInArrow(_decided(taken), "id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string").withColumnRenamed("id", id_col)
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids and texts with each span replaced by its kind in angle brackets. Ids have to be unique and not null."""
-    spans = personal_data(docs, id_col, text_col).select(id_col, "spans")
+def _redacting(taken: set[int]):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b in batches(rows, CHUNK):
+            out = []
+            for text in batch.column(1).slice(a, b - a).to_pylist():
+                base = base_spans(text or "")
+                more = [(s, k, e) for s, k, e in further_spans(text or "", base) if pattern(k, votes(text, s, k, e), looks(text, s, e)) in taken]
+                left, at = [], 0
+                for s, k, e in merged(base + more):
+                    left += [text[at:s], f"<{KINDS[k]}>"]
+                    at = e
+                out.append(text if text is None else "".join(left) + text[at:])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(out, pa.string())], names=["id", "text"])
 
-    @F.udf("string")
-    def put(text, spans):
-        for kind, s, e in (x.split(":") for x in reversed(spans.split(","))) if text and spans else ():
-            text = f"{text[: int(s)]}<{kind}>{text[int(e) :]}"
-        return text
+    return run
 
-    return docs.select(id_col, text_col).join(spans, id_col).select(id_col, put(text_col, "spans").alias(text_col))
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_col) for each row of docs, with each span replaced by its kind in angle brackets; spans that share characters go as one, of the kind of the first.
+
+    Null texts stay null. Rows are taken as they are, whatever their ids.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    taken = _learned(stored(texts.mapInArrow(_candidates, _FOUND), "candidates"))
+    return texts.mapInArrow(_redacting(taken), "id long, text string").select(F.col("id").alias(id_col), F.col("text").alias(text_col))
