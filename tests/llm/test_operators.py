@@ -411,12 +411,51 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.vec_id % 50 == 0).count() == 0
 
 
-def test_contamination(spark, docs, none):
-    items = {"b1": " ".join(corpus()[0][1].split()[10:25]), "b2": "one two", "b3": "", "b4": prose(30)}
-    table = spark.createDataFrame([*items.items(), ("b5", None)], "item_id string, text string")
-    expected = {i: decontam.brute(t, items) for i, t in corpus()}
-    for most in (10**6, 20):
-        rows = decontam.digest(decontam.contamination(docs, table, block_words=most)).collect()
-        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows} == expected
-    assert decontam.contamination(none, table).count() == 0
-    assert decontam.contamination(odd(spark), table.limit(0)).where("size(runs) > 0").count() == 0
+def plain_hits(text, items, span=10):
+    """(n_words, n_hit, n_items, digest of the items) of one document, window by window."""
+    parted = lambda t: [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+    words, hit, own = parted(text), set(), []
+    for item, body in items.items():
+        w = parted(body)
+        size = min(span, len(w))
+        windows = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if size else set()
+        at = [p for p in range(len(words) - size + 1) if tuple(words[p : p + size]) in windows] if size else []
+        hit.update(x for p in at for x in range(p, p + size))
+        own += [item] * bool(at)
+    return len(words), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("most", [10**6, 25])
+def test_contamination(spark, docs, none, most):
+    """With one block for all workers, and with many blocks joined by a shuffle, parts of them small."""
+    base = corpus()[0][1].split()
+    items = {"b1": " ".join(base[10:25]), "b2": "one two", "b3": "", "b4": prose(30), "b5": " ".join(base[:80]), "b6": "a " * 40, "b7": " ".join(base[10:25]).upper(), "b8": "w1", "b9": "É\tÀ x ist gut"}
+    table = spark.createDataFrame([*items.items(), ("b5", None), (None, base[0]), ("b4", "w7 w9")], "item_id string, text string")
+    assert "w7 w9" not in items["b4"]
+    rows = corpus() + [(200, "x " + "a " * 30), (201, "a " * 9), (202, " ".join(base[15:22] + ["q"] + base[22:25])), (203, "é à x IST gut"), (204, "É À x ist gut")]
+    rows += [(300 + i, f"{i} " + " ".join(base[i : i + 9 + i % 3]) + " end") for i in range(0, 100, 3)]
+    expected = {i: plain_hits(t, items) for i, t in rows}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    extra = {i for i, t in rows if re.search(r"(?<!\S)w7 w9(?!\S)", t or "")}
+    found = decontam.digest(decontam.contamination(frame, table, block_words=most, part=5)).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in found if r.doc_id not in extra} == {i: x for i, x in expected.items() if i not in extra}
+    assert decontam.contamination(none, table, block_words=most).count() == 0
+    assert decontam.contamination(odd(spark), table.limit(0), block_words=most).where("size(runs) > 0").count() == 0
+    twice = decontam.contamination(odd(spark).union(odd(spark)), spark.createDataFrame([("i", "words here again")], "item_id string, text string"), block_words=1 if most == 25 else most)
+    assert sorted(r.runs for r in twice.collect()) == [[]] * 4 + [[1, 4]] * 6
+
+
+def test_fingerprints_on_random_words():
+    """Every window that is shared is found, whatever repeats there are."""
+    own = random.Random(5)
+    for _ in range(400):
+        letters = "ab" if own.random() < 0.5 else "abcdef"
+        items = {f"i{k}": " ".join(own.choice(letters) for _ in range(own.randint(0, 25))) for k in range(4)}
+        index = decontam.Items(list(items.items()), 6, 3)
+        for _ in range(5):
+            text = " ".join(own.choice(letters) for _ in range(own.randint(0, 40)))
+            words = decontam.words_of(text)
+            runs, names = index.hits(words, decontam.WordHashes().of(words)) if words else ([], set())
+            plain = plain_hits(text, items, 6)
+            assert (sum(b - a for a, b in runs), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()) == (plain[1], plain[3])

@@ -32,7 +32,7 @@ def test_stages(spark):
     assert not any(linked(i, j) for i in ids for j in ids if i < j)
 
     items = {str(r.item_id): r.text for r in table(spark, SF, "benchmark").collect()}
-    assert {r.doc_id for r in clean} == {r.doc_id for r in single if decontam.brute(r.text, items)[1] == 0}
+    assert {r.doc_id for r in clean} == {r.doc_id for r in single if plain.plain_hits(r.text, items)[1] == 0}
 
     tokens = packing.Tokens(tokenizer_file())
     rows = docs.collect()
