@@ -411,6 +411,22 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.vec_id % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("n", "lot", "scale"), [(3, 1 << 20, 1), (900, 1 << 20, 1), (900, 300, 1), (400, 1 << 20, 2**24), (120, 1 << 20, 2.0**200)])
+def test_top_k_in_lots_with_ties_and_repeated_rows(spark, monkeypatch, n, lot, scale):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    own = random.Random(n)
+    rows = [(i, [own.choice([-1.0, 0.0, 0.5, 2.0]) * scale for _ in range(own.randint(3, 4))]) for i in range(n)] + [(0, [float(scale)] * 3), (n // 2, [0.5 * scale] * 4), (n // 2, [0.5 * scale] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for r in topk.top_k(vectors, vectors.vec_id % 50 == 0, k=5, lot=lot).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ints = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        clamped = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+        pairs = sorted((-clamped(sum(a * b for a, b in zip(u, v))), i) for j, u in ints if j == q for i, v in ints if i != q)[:5]
+        assert sorted(found.get(q, [])) == [(r + 1, i, -s) for r, (s, i) in enumerate(pairs)], q
+
+
 def plain_hits(text, items, span=10):
     """(n_words, n_hit, n_items, digest of the items) of one document, window by window."""
     parted = lambda t: [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
