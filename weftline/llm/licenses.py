@@ -1,10 +1,12 @@
-"""License notices found by telling words, confirmed by their wording and measured by conditional compression.
+"""License notices by conditional compression, confirmed by their wording.
 
 Every notice has one of a few telling words, so a match goes through one of them, wherever in a line it stands and however
-many lines it takes. Around each, the template is aligned with the words of the text at the least number of words missing
-and added; the span is a match where their share is at most `differ` and all words that tell one license from another
-(names, numbers) are there and unopposed. `saving` is the share of bytes that the template as a raw zstandard dictionary saves
-on the words of the span, against compressing them with none.
+many lines it takes. The words around each that a template could take up, as many more as it allows, are a candidate
+block if enough of the template's words are among them at all. Each block is compressed with none and with its template as
+raw zstandard dictionary; candidates are ranked by the bytes that saves, whatever template and place they are of. From the
+first on, a candidate is confirmed by aligning the template with the words at the least number of words missing and
+added: it stands where their share is at most `differ`, all words that tell one license from another (names, numbers) are
+there and unopposed, and no better candidate has the words. `saving` is the share of bytes saved on the span found.
 """
 
 from __future__ import annotations
@@ -73,11 +75,12 @@ def _coders():
     return plain, [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(" ".join(words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
 
 
-def saving_of(span: list[str], template: int) -> float:
-    """Share of bytes that the template as dictionary saves on the words of a span. Case and what stands between words do not count."""
+def saved(span: list[str], template: int) -> tuple[int, int]:
+    """Bytes that the template as dictionary saves on the words of a span, and bytes without. Case and what stands between words do not count."""
     plain, coders = _coders()
     data = " ".join(span).encode()
-    return 1 - len(coders[template].compress(data)) / len(plain.compress(data))
+    whole = len(plain.compress(data))
+    return whole - len(coders[template].compress(data)), whole
 
 
 def allowed(template: list[str], differ: float) -> int:
@@ -158,17 +161,26 @@ class Text:
     def words(self, a: int, b: int) -> list[str]:
         return [self.low[self.starts[i] : self.ends[i]] for i in range(max(a, 0), min(b, len(self.starts)))]
 
-    def match(self, at: int, template: int, place: int, differ: float) -> tuple[int, list[int]] | None:
-        """(words missing and added, places of the words kept) of the best match that has the template's word `place` at `at`."""
+    def around(self, at: int, template: int, place: int, differ: float) -> tuple[list[str], list[str]] | None:
+        """The words before and after `at` that a match with the template's word `place` there could have; None where too few of the template's are among them."""
         w = _template_words(template)
         most = allowed(w, differ)
-        before, after = self.words(at - place - most, at)[::-1], self.words(at + 1, at + len(w) - place + most)
-        if at in self.taken or len(before) + most < place or len(after) + most < len(w) - place - 1:
+        before, after = self.words(at - place - most, at), self.words(at + 1, at + len(w) - place + most)
+        if len(before) + most < place or len(after) + most < len(w) - place - 1:
             return None
-        if not most and (before[::-1] != w[:place] or after != w[place + 1 :]):
+        if not most and (before != w[:place] or after != w[place + 1 :]):
             return None
         if sum(((Counter(before) + Counter(after)) & Counter(w)).values()) + 1 < len(w) - most:
             return None
+        return before, after
+
+    def match(self, at: int, template: int, place: int, differ: float) -> tuple[int, list[int]] | None:
+        """(words missing and added, places of the words kept) of the best match that has the template's word `place` at `at`, in words not taken."""
+        w = _template_words(template)
+        most, near = allowed(w, differ), self.around(at, template, place, differ)
+        if near is None or at in self.taken:
+            return None
+        before, after = near[0][::-1], near[1]
         best = None
         for kept in _kept_names(template):
             must = [i in kept for i in range(len(w))]
@@ -187,31 +199,29 @@ def _template_words(template: int) -> list[str]:
 def scan(text: str | None, *, saving: float = 0.15, differ: float = 0.15) -> list[tuple[int, int, str, float, int, int]]:
     """(first line, end line, license, saving, words missing, words added) of the notices in a text, lines from 0.
 
-    Of matches that share words the one with most words kept, less those added, stands, earlier templates on ties; the
-    others are sought again in the words left.
+    Of candidates that share words the one whose block its template saves most bytes of stands if its wording confirms it,
+    earlier templates on ties; the others have the words left.
     """
     if not text or not TELLING.search(text):
         return []
     doc, places, found, heap = Text(text), anchors(differ), [], []
-
-    def seek(at: int, template: int, place: int) -> None:
-        best = doc.match(at, template, place, differ)
-        if best:
-            heappush(heap, (best[0] - len(_template_words(template)), template, best[1][0], best[1][-1], at, place, best[1]))
-
     for at, (a, b) in enumerate(zip(doc.starts, doc.ends, strict=True)):
         for template, place in places.get(doc.low[a:b], ()):
-            seek(at, template, place)
+            near = doc.around(at, template, place, differ)
+            if near:
+                gain, _ = saved([*near[0], doc.low[a:b], *near[1]], template)
+                heappush(heap, (-gain, template, at, place))
     while heap:
-        score, template, first, last, at, place, kept = heappop(heap)
-        if not doc.taken.isdisjoint(kept):
-            seek(at, template, place)
+        _, template, at, place = heappop(heap)
+        best = doc.match(at, template, place, differ)
+        if not best:
             continue
-        saved = saving_of(doc.words(first, last + 1), template)
-        if saved >= saving:
+        kept = best[1]
+        gain, size = saved(doc.words(kept[0], kept[-1] + 1), template)
+        if gain >= saving * size:
             doc.taken.update(kept)
             missing = len(_template_words(template)) - len(kept)
-            found.append((first, last, TEMPLATES[template][0], round(saved, 4), missing, last + 1 - first - len(kept)))
+            found.append((kept[0], kept[-1], TEMPLATES[template][0], round(gain / size, 4), missing, kept[-1] + 1 - kept[0] - len(kept)))
     found.sort()
     out, line, at = [], 0, 0
     for first, last, *rest in found:
@@ -238,7 +248,7 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row for each notice: id_col, first_line, end_line (exclusive), license, saving, words_missing, words_added.
 
     Null and empty texts have none; repeated rows and rows with null ids are scanned like others. Of templates that
-    share words of a text, the one with most words kept wins, earlier ones on ties. Other columns are not looked at.
+    share words of a text, the one that saves most bytes wins, earlier ones on ties. Other columns are not looked at.
     """
     texts = docs.where(F.col(text_col).rlike(TELLING.pattern)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shape = "id long, first_line int, end_line int, license string, saving double, words_missing int, words_added int"
