@@ -127,6 +127,29 @@ def test_sharding(spark, docs, none):
     assert sharding.assign_shards(odd(spark), shards=2).count() == 5
 
 
+def test_sharding_law(spark):
+    """Rows in the order of their ids; a row belongs to the shard in which the middle of its bytes falls."""
+    rows = [(i, prose(rng.choice([0, 1, 3, 40, 400]))) for i in rng.sample(range(-500, 5000), 300)]
+    found = {r.doc_id: (r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.assign_shards(spark.createDataFrame(rows, SCHEMA).repartition(4), shards=16).collect()}
+    total, at, slots = sum(len(t.encode()) + 1 for _, t in rows), 0, [0] * 16
+    for i, text in sorted(rows):
+        size = len(text.encode()) + 1
+        shard = int((at + size / 2) * 16 // total)
+        assert found[i] == (size, zlib.crc32(text.encode()), shard, slots[shard])
+        slots[shard] += 1
+        at += size
+
+
+def test_quality_is_repeatable(spark):
+    """One id on two texts, with labels that differ, in any order of rows; and trees walked one document at a time."""
+    rows = [(i, ("good words in a row, said well. " * (3 + i % 5)) if i % 2 else "x# 9$ " * (2 + i % 7)) for i in range(200)]
+    rows += [(i, "another text of the same id") for i in range(0, 200, 9)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(4, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    one = quality.scored(spark.createDataFrame(rows, SCHEMA).repartition(3), labels).collect()
+    two = quality.scored(spark.createDataFrame(rows[::-1], SCHEMA).repartition(5), labels).collect()
+    assert sorted((r.doc_id, r.text, r.score) for r in one) == sorted((r.doc_id, r.text, r.score) for r in two)
+
+
 def test_quality(spark, none):
     texts = [(i, prose(60) if i % 3 else " ".join(w.upper() + "!!" for w in prose(60).split())) for i in range(400)]
     docs, labels = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
@@ -163,6 +186,16 @@ def test_repeated_spans(spark, docs, none, span):
     assert repeats.repeated_spans(odd(spark)).count() == 5
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 15])
+def test_common_phrases_of_a_part(spark, most):
+    """A passage that all documents have, in any order of ids, whatever is remembered of it."""
+    shared = prose(40)
+    rows = [(i, prose(12) + " " + shared[i % 7 :] + " " + "de " * (i % 50)) for i in range(80)]
+    rng.shuffle(rows)
+    found = repeats.repeated_spans(spark.createDataFrame(rows, SCHEMA).coalesce(2), chunk=700, common=most).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == plain_spans(rows, 50)
+
+
 def test_long_texts_are_parsed_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 300)
     rows = [(1, prose(200)), (2, prose(50) + prose(10))]
@@ -315,6 +348,58 @@ def test_changed_licenses():
             assert one[2] == name and one[4] + one[5] <= n and one[3] >= 0.15
 
 
+def test_notices_in_odd_places():
+    """Wrapped one word to a line, amid long lines, over a first line without telling words, and with words moved or parted."""
+    first = next(t for n, t in licenses.TEMPLATES if t.startswith("Permission is hereby"))
+    assert [x[:3] for x in licenses.scan(first.replace(" ", "\n"))] == [(0, len(first.split()), "MIT")]
+    assert [x[:3] for x in licenses.scan("\n".join(" ".join(first.split()[i : i + 2]) for i in range(0, 40, 2)))] == [(0, -(-len(first.split()) // 2), "MIT")]
+    for text in (f"{prose(300)} Released under the MIT License.", f"Released under the MIT License. {prose(300)}"):
+        assert [x[2] for x in licenses.scan(text)] == ["MIT"]
+    assert [x[:3] for x in licenses.scan("This work is\nlicensed under the GNU General Public License, version 3.")] == [(0, 2, "GPL-3.0")]
+    assert [x[2] for x in licenses.scan(first.replace("is hereby", "hereby is"))] == ["MIT"]
+    assert [x[2] for x in licenses.scan("Re-distribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met")] == ["BSD-3-Clause"]
+
+
+def matches(words, template, differ=0.15):
+    """Whether any window is the template but for few words missing or added, all names kept: every window, by longest common subsequences."""
+    w = licenses.words(template)
+    most = int(differ * len(w) + 1e-9)
+    names = sorted(x for x in w if licenses._NAMES.match(x))
+    for size in range(max(1, len(w) - most), len(w) + most + 1):
+        for at in range(len(words) - size + 1):
+            window = words[at : at + size]
+            if sorted(x for x in window if licenses._NAMES.match(x)) != names:
+                continue
+            row = [0] * (size + 1)
+            for x in w:
+                last, row = row, [0]
+                for j, y in enumerate(window):
+                    row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+            if len(w) + size - 2 * row[-1] <= most:
+                return True
+    return False
+
+
+def test_no_notice_is_lost():
+    own = random.Random(8)
+    for _ in range(120):
+        name, template = own.choice(licenses.TEMPLATES)
+        w = licenses.words(template)
+        for _ in range(own.randint(0, 3)):
+            at = own.randrange(len(w))
+            if own.random() < 0.5 and len(w) > 1 and not licenses._NAMES.match(w[at]):
+                w.pop(at)
+            else:
+                w.insert(at, own.choice(["zeta", "the", "of", "eta"]))
+        text = [own.choice(["alpha", "beta", "the", "license", "of"]) for _ in range(own.randint(0, 6))] + w + [own.choice(["alpha", "beta"]) for _ in range(own.randint(0, 6))]
+        found = licenses.scan(" ".join(text))
+        if matches(text, template):
+            assert found, (text, template)
+        for *_, missing, added in found:
+            assert missing + added <= 0.15 * 60
+    assert matches(licenses.words("x " + licenses.TEMPLATES[2][1]), licenses.TEMPLATES[2][1]) and not matches(["license"] * 9, licenses.TEMPLATES[0][1])
+
+
 def test_personal_data(spark, none):
     text = "mail a.b@x.com or a@b, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111 not 4111 1111 1111 1112, call +1 (555) 010-9999 password=abc123def456"
     base = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]

@@ -8,7 +8,8 @@ the tail included that belongs to the next phrases of the parse, so no order bey
 1. Triggers are counted, as short hashes in blobs for each part of the input and bucket; those that occur once in the
    whole corpus cannot be in a repeated string, and nothing more is done about them. A part sends a trigger once.
 2. Phrases whose triggers recur go to the bucket of the trigger. Equal phrases are one entry of the dictionary, owned by
-   the least document that has it; in all later documents they are removed whole, and a part sends only the owner's.
+   the least document that has it; in all later documents they are removed whole. A part keeps the phrases that its documents
+   share and sends them for documents before the least it has seen only, so a phrase that all have does not fill a bucket.
 3. The suffixes of the dictionary of a bucket, `span` bytes deep, are sorted; each run of equal ones belongs to its least
    document, and owners of larger id lose it.
 4. The removed ranges of a document are merged beside its text.
@@ -24,15 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MIX_A, U64, batches, mixed, stored
+from weftline.llm.common import MIX_A, U64, batches, dropped, mixed, stored
 
 GRAM = 24
 #: Bytes parsed together, and what a bucket of triggers should hold.
-CHUNK, BUCKET_TRIGGERS = 1 << 20, 1 << 19
+CHUNK, BUCKET_TRIGGERS = 1 << 19, 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -77,16 +77,17 @@ def parse(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np
     return starts, stops - starts, grams[trigger[starts]]
 
 
-def _laid(texts: list[str | None], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, ends, text, offset) of texts laid end to end, about CHUNK bytes at a time; a long text comes in pieces that overlap by span - 1."""
+def _laid(texts: list[str | None], span: int, chunk: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, ends, text, offset) of texts laid end to end, about `chunk` bytes (0: CHUNK) at a time; a long text comes in pieces that overlap by span - 1."""
+    chunk = chunk or CHUNK
     kept, owner, offset, size = [], [], [], 0
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
-        for at in range(0, max(1, len(data) - span + 1), CHUNK - span):
-            piece = data[at : at + CHUNK - 1]
+        for at in range(0, max(1, len(data) - span + 1), chunk - span):
+            piece = data[at : at + chunk - 1]
             if len(piece) < span:
                 continue
-            if size + len(piece) > CHUNK:
+            if size + len(piece) > chunk:
                 yield np.frombuffer(b"".join(kept), dtype=np.uint8), np.cumsum([len(x) for x in kept]), np.array(owner), np.array(offset)
                 kept, owner, offset, size = [], [], [], 0
             kept.append(piece)
@@ -102,13 +103,9 @@ def _short(trigger: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (trigger >> U64(32)).astype(np.int64) % buckets, trigger.astype(np.uint32)
 
 
-def _check(ids: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(mixed(ids.astype(np.uint64) * MIX_A + U64(len(ids) and 1))).astype(np.int64)) if len(ids) else 0
-
-
 def _count_triggers(span: int, buckets: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, ids = TaskContext.get().partitionId(), [], []
+        part, found = -1, []
         once: list[np.ndarray] = []
         more: list[np.ndarray] = []
 
@@ -120,27 +117,35 @@ def _count_triggers(span: int, buckets: int):
             twice = np.unique(np.concatenate([*more, new[times > 1]]))
             once[:], more[:], found[:] = [new], [twice], []
 
-        for batch, a, b in batches(rows, CHUNK):
-            ids.append(np.asarray(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)))
-            for data, ends, _, _ in _laid(batch.column(1).slice(a, b - a).to_pylist(), span):
-                _, _, trigger = parse(data, ends, span)
-                bucket, short = _short(trigger, buckets)
-                found.append(bucket.astype(np.uint64) << U64(32) | short)
-            if sum(map(len, found)) > 3_000_000:
-                fold()
-        fold()
-        yield pa.record_batch([pa.array([-1]), pa.array([part]), pa.array([_check(np.concatenate(ids)) if ids else 0]), pa.array([b""]), pa.array([b""])], names=_BLOBS)
-        if once:
-            bucket = (once[0] >> U64(32)).astype(np.int64)
-            for b, lo, hi in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
-                own = once[0][lo:hi]
-                again = np.isin(own, more[0], assume_unique=True)
-                yield pa.record_batch([pa.array([b]), pa.array([part]), pa.array([0]), pa.array([own[~again].astype(np.uint32).tobytes()]), pa.array([own[again].astype(np.uint32).tobytes()])], names=_BLOBS)
+        def said() -> Iterator[pa.RecordBatch]:
+            fold()
+            if once:
+                bucket = (once[0] >> U64(32)).astype(np.int64)
+                for b, lo, hi in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
+                    own = once[0][lo:hi]
+                    again = np.isin(own, more[0], assume_unique=True)
+                    yield pa.record_batch([pa.array([b]), pa.array([part]), pa.array([own[~again].astype(np.uint32).tobytes()]), pa.array([own[again].astype(np.uint32).tobytes()])], names=_BLOBS)
+            once.clear()
+            more.clear()
+
+        for whole in rows:
+            for p, lo, hi in zip(*(x.tolist() for x in _runs(whole.column(2).to_numpy())), strict=True):
+                if p != part:
+                    yield from said()
+                    part = p
+                for batch, a, b in batches(iter([whole.slice(lo, hi - lo)]), CHUNK):
+                    for data, ends, _, _ in _laid(batch.column(1).slice(a, b - a).to_pylist(), span):
+                        _, _, trigger = parse(data, ends, span)
+                        bucket, short = _short(trigger, buckets)
+                        found.append(bucket.astype(np.uint64) << U64(32) | short)
+                    if sum(map(len, found)) > 3_000_000:
+                        fold()
+        yield from said()
 
     return run
 
 
-_BLOBS = ["bucket", "part", "sum", "once", "more"]
+_BLOBS = ["bucket", "part", "once", "more"]
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,64 +173,89 @@ def _groups(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
 def _recurring(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket and part, which of the part's triggers occur elsewhere or twice in it."""
     for bucket, blobs in _groups(rows):
-        if bucket < 0:
-            for row in blobs:
-                yield pa.record_batch([pa.array([row["part"]]), pa.array([-1]), pa.array([row["sum"]]), pa.array([b""])], names=["part", "bucket", "sum", "again"])
-            continue
         own = [np.frombuffer(r["once"], dtype=np.uint32) for r in blobs]
         twice = [np.frombuffer(r["more"], dtype=np.uint32) for r in blobs]
         seen, times = np.unique(np.concatenate([*own, *twice, *twice]), return_counts=True)
         again = seen[times > 1]
         for row, x, y in zip(blobs, own, twice, strict=True):
-            hit = np.union1d(x[np.isin(x, again, assume_unique=True)], y)
+            hit = np.union1d(x[np.isin(x, again)], y)
             if len(hit):
-                yield pa.record_batch([pa.array([row["part"]]), pa.array([bucket]), pa.array([0]), pa.array([hit.tobytes()])], names=["part", "bucket", "sum", "again"])
+                yield pa.record_batch([pa.array([row["part"]]), pa.array([bucket]), pa.array([hit.tobytes()])], names=["part", "bucket", "again"])
 
 
-def _phrases(span: int, buckets: int):
+def _phrases(span: int, buckets: int, chunk: int, most: int):
     """Reads, for each part, its recurring triggers and then its texts; gives phrases for the buckets and ranges that are settled here."""
     width = 2 * span - GRAM  # bytes of the longest phrase
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, again, ids, copies, check = None, [], [], set(), 0
-        keys = np.zeros(0, dtype=np.uint64)
-
-        def settle() -> None:
-            if part is not None and _check(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)) != check:
-                raise RuntimeError("the input was not dealt to the same parts in both passes")
-
+        part, again, copies = None, [], set()
+        keys, common = np.zeros(0, dtype=np.uint64), Common(width, most)
         for batch in rows:
             of = batch.column(0).to_numpy()
             for p, lo, hi in zip(*(x.tolist() for x in _runs(of)), strict=True):
                 if p != part:
-                    settle()
-                    part, again, ids, copies, check, keys = p, [], [], set(), 0, np.zeros(0, dtype=np.uint64)
+                    part, again, copies, keys, common = p, [], set(), np.zeros(0, dtype=np.uint64), Common(width, most)
                 some = batch.slice(lo, hi - lo)
                 kind = some.column(1).to_numpy()
                 copies.update(some.column(2).to_numpy()[kind == -1].tolist())
                 for i in np.flatnonzero(kind == 0).tolist():
-                    if (bucket := some.column(2)[i].as_py()) < 0:
-                        check = some.column(3)[i].as_py()
-                    else:
-                        again.append(np.uint64(bucket) << U64(32) | np.frombuffer(some.column(4)[i].as_py(), dtype=np.uint32))
+                    again.append(np.uint64(some.column(2)[i].as_py()) << U64(32) | np.frombuffer(some.column(3)[i].as_py(), dtype=np.uint32))
                 texts = some.filter(pa.array(kind == 1))
                 if not texts.num_rows:
                     continue
                 if again:
-                    keys, again = np.sort(np.concatenate(again)), []
-                text = pa.record_batch([texts.column(2), texts.column(5)], names=["id", "text"])
-                for piece, a, b in batches(iter([text]), CHUNK):
+                    keys, again = np.unique(np.concatenate(again)), []
+                text = pa.record_batch([texts.column(2), texts.column(4)], names=["id", "text"])
+                for piece, a, b in batches(iter([text]), chunk):
                     doc = piece.column(0).slice(a, b - a).to_numpy()
-                    ids.append(doc)
                     lines = [None if d in copies else t for t, d in zip(piece.column(1).slice(a, b - a).to_pylist(), doc.tolist(), strict=True)]
-                    for data, ends, owner, offset in _laid(lines, span) if len(keys) else ():
-                        yield from _emit(data, ends, doc[owner], offset, keys, span, buckets, width)
-        settle()
+                    for data, ends, owner, offset in _laid(lines, span, chunk) if len(keys) else ():
+                        yield from _emit(data, ends, doc[owner], offset, keys, span, buckets, width, common)
 
     return run
 
 
-def _emit(data, ends, doc, offset, keys, span, buckets, width) -> Iterator[pa.RecordBatch]:
+class Common:
+    """Phrases that several documents of a part share, each with the least document seen: later ones need not be sent again and again.
+
+    It holds a fixed number of phrases; those beyond go to their buckets like others.
+    """
+
+    def __init__(self, width: int, most: int):
+        self.most = most
+        self.hash, self.doc, self.strings = (np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64))
+        self.body = np.zeros((0, width), dtype=np.uint8)
+
+    def later(self, body: np.ndarray, strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which phrases a smaller document of the part is known to have."""
+        out = np.zeros(len(doc), dtype=bool)
+        if len(self.hash):
+            h = self._hash(body, strings)
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            met = np.flatnonzero((self.hash[at] == h) & (doc > self.doc[at]))
+            same = (self.strings[at[met]] == strings[met]) & (self.body[at[met]] == body[met]).all(axis=1)
+            out[met[same]] = True
+        return out
+
+    def learn(self, body: np.ndarray, strings: np.ndarray, doc: np.ndarray) -> None:
+        """Phrases with the least document that has them."""
+        if not len(doc) or len(self.hash) >= self.most:
+            return
+        h = np.concatenate([self.hash, self._hash(body, strings)])
+        body, strings, doc = np.vstack([self.body, body]), np.concatenate([self.strings, strings]), np.concatenate([self.doc, doc])
+        order = np.lexsort([doc, h])
+        order = order[np.append(True, h[order][1:] != h[order][:-1])][: self.most]
+        self.hash, self.body, self.strings, self.doc = h[order], body[order], strings[order], doc[order]
+
+    @staticmethod
+    def _hash(body: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        out = mixed(strings.astype(np.uint64) * MIX_A)
+        for word in _words(body):
+            out = mixed(out ^ word) * MIX_A
+        return out
+
+
+def _emit(data, ends, doc, offset, keys, span, buckets, width, common) -> Iterator[pa.RecordBatch]:
     start, strings, trigger = parse(data, ends, span)
     bucket, short = _short(trigger, buckets)
     key = bucket.astype(np.uint64) << U64(32) | short
@@ -240,14 +270,18 @@ def _emit(data, ends, doc, offset, keys, span, buckets, width) -> Iterator[pa.Re
     padded = np.concatenate([data, np.zeros(width, dtype=np.uint8)])
     body = sliding_window_view(padded, width)[start]
     body[np.arange(width) >= (strings + span - 1)[:, None]] = 0
-    settled, rest = _owned(body, strings, own)
+    settled = common.later(body, strings, own)
+    left = np.flatnonzero(~settled)
+    again, shared = _owned(body[left], strings[left], own[left])
+    settled[left[again]] = True
+    common.learn(body[left[shared]], strings[left[shared]], own[left[shared]])
     if settled.any():
         d, a, b = own[settled], place[settled], place[settled] + strings[settled] + span - 1
         new = np.ones(len(d), dtype=bool)  # phrases in a row make one range; their starts and ends go up together
         new[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])
         first = np.flatnonzero(new)
         yield _ranges(d[first], a[first], b[np.append(first[1:], len(d)) - 1])
-    keep = np.flatnonzero(rest)
+    keep = np.flatnonzero(~settled)
     order = keep[np.argsort(bucket[keep], kind="stable")]
     for b, lo, hi in zip(*(x.tolist() for x in _runs(bucket[order])), strict=True):
         i = order[lo:hi]
@@ -284,11 +318,13 @@ def _sorted_classes(columns: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndar
 
 
 def _owned(body: np.ndarray, strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which phrases a smaller document here has too, and which are left."""
-    order, _, least = _sorted_classes([*_words(body), strings.astype(np.uint64)], doc)
+    """Which phrases a smaller document here has too, and places of phrases that others have, each once, with its least document."""
+    order, new, least = _sorted_classes([*_words(body), strings.astype(np.uint64)], doc)
     later = np.zeros(len(doc), dtype=bool)
     later[order] = doc[order] > least
-    return later, ~later
+    first = np.flatnonzero(new)
+    shared = first[np.add.reduceat(later[order].astype(np.int64), first) > 0] if len(first) else first
+    return later, order[shared]
 
 
 def _dictionary(span: int):
@@ -384,42 +420,46 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = 50, chunk: int = CHUNK, common: int = 1 << 15) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row of docs.
 
     Texts are UTF-8 bytes. Each byte is removed that is covered by a string of `span` bytes that also starts in a
     document of smaller id; `removed` has the removed runs [from, to), flattened. Null and empty texts have no bytes.
     Rows with one id are one document's: none removes from another, though what a run removes is said for each of
     them, so ids should be unique. Rows with a null id take no part and lose nothing. `span` is more than 24. Other
-    columns are not looked at.
+    columns are not looked at. `chunk` bytes are parsed together; a part remembers `common` phrases; neither changes the result.
     """
     if span <= GRAM:
         raise ValueError(f"span has to be more than {GRAM}")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # Stored, so that both passes see a row in the same part, in whatever order the input is read.
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
+    texts = stored(read, "texts")
     known = texts.where("id is not null")
 
-    part = F.spark_partition_id().cast("long")
-    prints = stored(known.select("id", part.alias("part"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").cast("long").alias("size")), "prints")
+    prints = stored(known.select("id", "part", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").cast("long").alias("size")), "prints")
     least = prints.groupBy("h", "g", "size").agg(F.min("id").alias("owner"))
     copies = stored(prints.where(F.col("size") >= span).join(least, ["h", "g", "size"]).where("id > owner").select("id", "part").distinct(), "copies")
-    total = prints.agg(F.sum("size")).first()[0] or 0
+    total, parts = prints.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
     buckets = max(1, int(2 * total / (span - GRAM + 2)) // BUCKET_TRIGGERS)
 
-    counted = known.mapInArrow(_count_triggers(span, buckets), "bucket long, part long, sum long, once binary, more binary")
-    again = counted.repartition(max(n, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_recurring, "part long, bucket long, sum long, again binary")
+    # Parts and buckets are numbered from 0, and each is a partition of its own.
+    counted = known.select("id", "text", "part").mapInArrow(_count_triggers(span, buckets), "bucket long, part long, once binary, more binary")
+    again = counted.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_recurring, "part long, bucket long, again binary")
     none, blob = F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("again")
-    marks = again.select("part", F.lit(0).alias("kind"), F.col("bucket").alias("x"), F.col("sum").alias("y"), "again", none)
-    marks = marks.union(copies.select("part", F.lit(-1), F.col("id"), F.lit(0).cast("long"), blob, none))
-    body = known.select(part.alias("part"), F.lit(1).alias("kind"), F.col("id").alias("x"), F.lit(0).cast("long").alias("y"), blob, "text")
-    dealt = marks.unionByName(body).repartition(n, "part").sortWithinPartitions("part", "kind")
-    phrases = stored(dealt.mapInArrow(_phrases(span, buckets), "bucket long, id long, start long, stop long, blob binary"), "phrases")
-    more = phrases.where("bucket >= 0").repartition(max(n, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_dictionary(span), "bucket long, id long, start long, stop long, blob binary")
+    marks = again.select("part", F.lit(0).alias("kind"), F.col("bucket").alias("x"), "again", none)
+    marks = marks.union(copies.select("part", F.lit(-1), F.col("id"), blob, none))
+    body = known.select("part", F.lit(1).alias("kind"), F.col("id").alias("x"), blob, "text")
+    dealt = marks.unionByName(body).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "kind")
+    phrases = stored(dealt.mapInArrow(_phrases(span, buckets, min(chunk, CHUNK), common), "bucket long, id long, start long, stop long, blob binary"), "phrases")
+    more = phrases.where("bucket >= 0").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    more = more.mapInArrow(_dictionary(span), "bucket long, id long, start long, stop long, blob binary")
     ranges = stored(phrases.where("bucket < 0").union(more).select("id", "start", "stop"), "ranges")
+    dropped(prints, phrases)
 
     marked = copies.select("id").distinct().withColumn("copy", F.lit(True))
-    rows = texts.join(marked, "id", "left").select("id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    rows = texts.select("id", "text").join(marked, "id", "left").select("id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.coalesce("copy", F.lit(False)).alias("copy"), "text")
     cuts = ranges.select("id", F.lit(0).alias("kind"), "start", "stop", F.lit(False).alias("copy"), F.lit(None).cast("string").alias("text"))
     done = cuts.unionByName(rows).repartition(n, "id").sortWithinPartitions("id", "kind", "start")
     return done.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").withColumnRenamed("id", id_col)
