@@ -7,8 +7,8 @@
    after m matches of n the similarity has a Beta(m+1, n-m+1) posterior, and a pair goes as soon as the chance
    that it reaches the threshold is below `miss`. What survives joins its members to a family; a bucket reports
    a spanning forest, not its pairs.
-3. The sets of a family's members are made again from the texts, and all pairs of the family that are not yet
-   connected are checked exactly. Families and buckets beyond a block are split into pairs of blocks, so that no
+3. The sets of a family's members, as 64-bit hashes of shingles, are made again from the texts, and all pairs of the
+   family that are not yet connected are checked on the full sets. Families and buckets beyond a block are split into pairs of blocks, so that no
    task holds an unbounded group.
 4. Connected components of the exact links give the groups.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MIX_A, U64, WordHashes, batches, components, dealt_by, mixed, sorted_groups, stored
+from weftline.llm.common import MIX_A, U64, WordHashes, batches, components, dealt_by, dropped, mixed, sorted_groups, stored
 
 HASHES, ROWS, LOOK = 128, 4, 16
 BANDS = HASHES // ROWS
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = texts.join(family.select("id", "block"), "id").select("id", "text", "block")
     links = dealt_by(members.mapInArrow(_sets(k), "id long, block long, items binary"), "block", "id").mapInArrow(_exact_forests(percent), "a long, b long")
     groups = components(links, "groups")
+    dropped(met)
 
     class_of = classes.select(F.col("print"), F.col("id").alias("node")).join(groups, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = sketched.join(class_of, (sketched["print"] == class_of["print"]) & sketched["id"].isNotNull(), "left")

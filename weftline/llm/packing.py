@@ -37,7 +37,7 @@ class Tokens(dict):
     times faster; the ids are the same. Everything else goes through `tokenizers` as a whole text.
     """
 
-    LIMIT = 250_000  # words in each of two generations
+    LIMIT, LONG = 250_000, 64  # words in each of two generations, and characters of the longest word that is kept
 
     def __init__(self, path: str):
         import json
@@ -75,10 +75,11 @@ class Tokens(dict):
             else:
                 ids = self.coder(" " + word)
             found = array("I", ids).tobytes()
-        if len(self) >= self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
+        if len(word) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -162,8 +163,12 @@ class Plan:
             if 2 * a <= size:
                 pairs[2 * a] -= 1
 
+        #: By sum: lengths that are left with pairs that are left; made anew when a length has run out since.
+        triples: np.ndarray | None = None
+
         def gone(length: int) -> None:
-            live[length] = False
+            nonlocal triples
+            live[length], triples = False, None
             for b in np.flatnonzero(live[: size + 1 - length]):
                 pairs[length + b] -= 2
 
@@ -186,7 +191,11 @@ class Plan:
                     found = [gap]
                 elif gap > 1:
                     found = pair(gap, left)
-                if not found and gap > 2:
+                if not found and gap > 2 and triples is None:
+                    triples = np.convolve(live.astype(np.int64), pairs)[: size + 1] > 0
+                    for x in np.flatnonzero(live):  # twice or three times the same length, which the pairs above leave out
+                        triples[2 * x : size + 1] |= live[: size + 1 - 2 * x] if 2 * x <= size else False
+                if not found and gap > 2 and triples[gap]:
                     for a in np.flatnonzero((left[1 : gap - 1] > 0) & ((pairs[gap - 1 : 1 : -1] > 0) | (left[np.arange(gap - 1, 1, -1) // 2] > 1)))[::-1] + 1:
                         left[a] -= 1
                         two = pair(gap - int(a), left)

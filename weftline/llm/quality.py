@@ -123,12 +123,13 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = 20_000, **parameters) -> Trees:
     """Trees fitted to labelled documents that are not held out, at most `sample` of them, those of least hash.
 
-    A document with several labels has their majority, ties counting as 1; null labels and ids are left out.
+    A document with several labels has their majority, ties counting as 1; null labels and ids are left out. Of several
+    texts of one id the one with the least statistics counts.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     chosen = usable.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = texts.mapInPandas(_features, "id long, label int, x array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
+    found = texts.mapInPandas(_features, "id long, label int, x array<double>").groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("id")
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(NAMES))
     return fit(x, found["label"].to_numpy(dtype=np.float64), **parameters)
 

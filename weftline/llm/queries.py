@@ -120,3 +120,40 @@ SELECT l.doc_id, CAST(len(l.parts) AS BIGINT) AS n_lines, coalesce(s.n_exact, 0)
        coalesce(s.removed, CAST([] AS INTEGER[])) AS removed
 FROM line l LEFT JOIN summed s USING (doc_id)
 """
+
+
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+ORACLE_SQL["op1_minhash_near_dedup"] = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all({_lower('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS s FROM worded
+), sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sized m ON m.doc_id = x.doc_id JOIN sized n ON n.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+), reached AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT r.doc_id, l.b FROM reached r JOIN link l ON r.other = l.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.other), w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(min(r.other), w.doc_id)) AS kept
+FROM worded w LEFT JOIN sized n ON n.doc_id = w.doc_id LEFT JOIN reached r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+ORACLE_SQL["op10_benchmark_decontamination"] = f"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_lower('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_lower('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), item_window AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0) t
+), doc_window AS (
+  SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM item_window) s WHERE len(w) >= k) t
+), hit AS (SELECT d.r, d.i, d.k, b.item FROM doc_window d JOIN item_window b ON d.k = b.k AND d.win = b.win),
+place AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) t GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n, sha256(array_to_string(list_sort(list_distinct(list(item))), ',')) AS digest FROM hit GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, coalesce(m.digest, sha256('')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN place p ON p.r = d.r LEFT JOIN named m ON m.r = d.r
+"""
