@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, lines, near_dup, packing, quality
-from weftline.llm.common import stored
+from weftline.llm.common import dropped, stored
 from weftline.llm.queries import table, tokenizer_file
 
 #: The stages call Python code that SQL has no words for; tests hold them against plain versions.
@@ -63,7 +63,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs = last = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, before = stored(stage(spark, docs, sf_dir), name), docs
+        if before is not last:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
