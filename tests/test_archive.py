@@ -139,3 +139,20 @@ def test_manifests(spark):
     found = files.manifests(spark.createDataFrame(rows, "project string, absolute string, local string, method string, size long, ok boolean"), "project", "2024-01-31T00:00:00").first()
     assert json.loads(found.manifest) == {"timestamp": "2024-01-31T00:00:00", "url": "p", "statistics": {"total": 2, "success": 1, "failed": 1},
                                           "successful_downloads": [{"url": "u1", "local_path": "f1", "method": "requests", "size": 5}], "failed_downloads": [{"url": "u2", "method": "httpx"}]}
+
+
+def test_more_documents(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 1)], "page string, n int")
+    for _ in range(2):
+        files.append_metadata(rows, str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).count() == 2
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, css string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "d")], "id int, css string")
+    files.write_changed(old, new, "id", "css", str(tmp_path / "css"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "css")).collect())) == [(2, "c"), (4, "d")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.css").write_bytes("é".encode() + b"\xff")
+    assert [r.text for r in files.texts(spark, str(tmp_path / "t"), "*.css").collect()] == ["é�"]
+    report = files.batch_report(spark.createDataFrame([("b", False), ("a", None), ("c", True)], "site string, success boolean")).first().report
+    assert json.loads(report) == {"total": 3, "successful": 1, "failed": 2, "success_rate": 33.33, "failed_sites": ["a", "b"]}
+    assert json.loads(files.batch_report(spark.createDataFrame([], "site string, success boolean")).first().report)["success_rate"] == 0.0

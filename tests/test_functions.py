@@ -28,6 +28,7 @@ def test_names(spark):
     assert one(spark, U.domain(F.col("u")), u="https://a:b@h:8/p?q") == "https://a:b@h:8"
     assert one(spark, U.page_name(F.col("u")), u="**") == "unnamed"
     assert one(spark, U.from_base64(F.col("u")), u="no base64!") is None
+    assert one(spark, U.from_base64(F.col("u")), u="/////w==") is None
     long = "http://h/" + "x" * 100
     assert one(spark, U.from_base64(U.base64_url(F.col("u"))), u=long) == long
     assert one(spark, U.directory(F.col("u")), u="http://h/a//./b?/c.html") == "a/b"

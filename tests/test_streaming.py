@@ -33,3 +33,45 @@ def test_extension_windows(spark, tmp_path):
     seen = []
     jobs.drained(jobs.counts_by_window(jobs.event_stream(spark, str(tmp_path / "in"), events.schema)), str(tmp_path / "c"), lambda b, i: seen.append(b.count()))
     assert sum(seen) > 0
+
+
+def test_listeners_come_and_go(spark):
+    hub, heard = jobs.Listeners(), []
+    batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "event_type string, n int")
+    first = hub.on("a", lambda rows: heard.append(("a", rows.count())))
+    hub.once("b", lambda rows: heard.append(("b", rows.count())))
+    hub.on("*", lambda rows: heard.append(("*", rows.count())))
+    hub.on("c", lambda rows: heard.append("never"))
+
+    def bad(rows):
+        raise ValueError("no")
+
+    hub.on("a", bad)
+    assert (hub.count(), hub.count("a"), hub.count("x")) == (5, 2, 0)
+    hub(batch, 0)
+    hub(batch, 1)
+    assert sorted(heard) == [("*", 3)] * 2 + [("a", 2)] * 2 + [("b", 1)] and hub.stats == {"batches": 2, "heard": 5, "failed": 2}
+    hub.off("a", first)
+    assert hub.count("a") == 1
+    hub.off("a")
+    assert hub.count("a") == 0
+    hub.remove_all()
+    assert hub.count() == 0
+
+
+def test_first_events_are_heard_once(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = jobs.first_events(jobs.event_stream(spark, str(tmp_path / "in"), events.schema), "60 days")
+    jobs.drained(stream, str(tmp_path / "c"), lambda b, i: seen.extend((r.user_id, r.event_type) for r in b.collect()), "append")
+    assert sorted(seen) == sorted({(r.user_id, r.event_type) for r in events.collect()})
+
+
+def test_progress_and_levels(spark):
+    rows = [("x", "start", 1), ("x", "html_read", 5), ("x", "unknown", 9), ("y", "complete", 2), ("z", "unknown", 1), ("y", "assets_done", 1)]
+    found = jobs.progress(spark.createDataFrame(rows, "job string, stage string, at int")).collect()
+    assert {r.job: r.percentage for r in found} == {"x": 30, "y": 100, "z": 0}
+    logs = spark.createDataFrame([(x,) for x in ("debug", "info", "Success", "ERROR", "odd", None)], "level string")
+    assert [r.level for r in jobs.at_least(logs).collect()] == ["info", "Success", "ERROR"]
+    assert [r.level for r in jobs.at_least(logs, "ERROR").collect()] == ["ERROR"]

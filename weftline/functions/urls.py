@@ -86,8 +86,8 @@ def job_id(url: Column) -> Column:
 
 
 def from_base64(name: Column) -> Column:
-    """The text behind a base64 name; null where it is not base64."""
-    return F.decode(F.try_to_binary(name, F.lit("base64")), "UTF-8")
+    """The text behind a base64 name; null where it is not base64, or not of text."""
+    return F.try_validate_utf8(F.try_to_binary(name, F.lit("base64")).cast("string"))
 
 
 def sanitized(name: Column) -> Column:

@@ -53,3 +53,29 @@ def manifests(fetched: DataFrame, project: str, timestamp: str) -> DataFrame:
     body = F.struct(F.lit(timestamp).alias("timestamp"), F.col(project).cast("string").alias("url"), stats.alias("statistics"),
                     F.array_sort(F.collect_list(F.when(F.col("ok"), done))).alias("successful_downloads"), F.array_sort(F.collect_list(F.when(~F.col("ok"), lost))).alias("failed_downloads"))
     return fetched.groupBy(project).agg(F.to_json(body).alias("manifest"))
+
+
+def append_metadata(rows: DataFrame, folder: str) -> None:
+    """Adds rows to a folder of JSON lines; what is there stays."""
+    rows.write.mode("append").json(folder)
+
+
+def write_changed(old: DataFrame, new: DataFrame, key: str, text: str, path: str) -> None:
+    """Writes the rows of new whose text differs from old's, or that old does not have, and no others."""
+    before = old.select(F.col(key), F.col(text).alias("_before"), F.lit(True).alias("_there"))
+    changed = new.join(before, key, "left").where(F.col("_there").isNull() | ~F.col(text).eqNullSafe(F.col("_before")))
+    changed.select(*new.columns).write.mode("overwrite").parquet(path)
+
+
+def texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, text) of whole files below a folder; bytes that are no UTF-8 come as replacement characters."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def batch_report(results: DataFrame) -> DataFrame:
+    """One row, `report`: JSON with total, successful, failed, the rate in per cent, and the failed sites sorted; results has (site, success)."""
+    good = F.count_if(F.coalesce("success", F.lit(False)))
+    lost = F.array_sort(F.collect_set(F.when(~F.coalesce("success", F.lit(False)), F.col("site"))))
+    rate = F.when(F.count("*") > 0, F.round(good * 100.0 / F.count("*"), 2)).otherwise(0.0)
+    return results.agg(F.to_json(F.struct(F.count("*").alias("total"), good.alias("successful"), (F.count("*") - good).alias("failed"), rate.alias("success_rate"), lost.alias("failed_sites"))).alias("report"))
