@@ -154,18 +154,10 @@ def crawl(links: DataFrame, roots: DataFrame) -> DataFrame:
     level that lists it. Levels are checkpointed, each once, so a level costs one join with the links and one with what was seen.
     """
     shared_dir(links.sparkSession)
-    level = roots.select("source").distinct().checkpoint()
-    levels = [level]
-    while True:
+    level = reached = roots.select("source").distinct().checkpoint()
+    while not level.isEmpty():
         below = links.where("kind = 'sitemap'").join(level, "source", "left_semi").select(F.col("url").alias("source")).distinct()
-        for seen in levels:
-            below = below.join(seen, "source", "left_anti")
-        level = below.checkpoint()
-        if level.isEmpty():
-            break
-        levels.append(level)
-    reached = levels[0]
-    for level in levels[1:]:
+        level = below.join(reached, "source", "left_anti").checkpoint()
         reached = reached.union(level)
     return links.where("kind <> 'sitemap'").join(reached, "source", "left_semi").select("source", "url")
 
