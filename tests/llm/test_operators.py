@@ -150,6 +150,33 @@ def test_quality_is_repeatable(spark):
     assert sorted((r.doc_id, r.text, r.score) for r in one) == sorted((r.doc_id, r.text, r.score) for r in two)
 
 
+def test_trees_walked_one_by_one():
+    """Each tree followed from its root for each row, and each first cut against every other cut."""
+    import numpy as np
+
+    own = np.random.default_rng(4)
+    x = own.normal(size=(300, 6)).round(1)
+    y = (x[:, 2] + 0.3 * x[:, 4] > 0.2).astype(float)
+    model = quality.fit(x, y, trees=7, depth=3, least=1.0)
+    for row, score in zip(x, model.score(x), strict=True):
+        total = model.base
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+    p = y.mean()
+
+    def gain(f, c):
+        left = x[:, f] <= c
+        sums = [((y[s] - p).sum() ** 2 / (p * (1 - p) * s.sum() + 1.0)) for s in (left, ~left)]
+        return sum(sums)
+
+    cuts = [(f, c) for f in range(6) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) if 0 < (x[:, f] <= c).sum() < len(x)]
+    assert gain(int(model.feature[0][0]), model.cut[0][0]) >= max(gain(f, c) for f, c in cuts) - 1.0
+
+
 def test_quality(spark, none):
     texts = [(i, prose(60) if i % 3 else " ".join(w.upper() + "!!" for w in prose(60).split())) for i in range(400)]
     docs, labels = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
@@ -560,3 +587,24 @@ def test_fingerprints_on_random_words():
             runs, names = index.hits(words, decontam.WordHashes().of(words)) if words else ([], set())
             plain = plain_hits(text, items, 6)
             assert (sum(b - a for a, b in runs), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()) == (plain[1], plain[3])
+
+
+def test_very_long_texts(spark, tokenizer):
+    """One text of 600 kilobytes in one line, its copy, one without spaces, and lines by the thousand, through every operator."""
+    own = random.Random(2)
+    long = " ".join(own.choice(VOCABULARY) for _ in range(130_000))
+    rows = [(1, long), (2, long), (3, "x" * 300_000), (4, "\n".join(f"line {i % 900} of a text with words w{i % 7}" for i in range(6000))), (5, "7" * 200_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    near = {r.doc_id: (r.component_id, r.kept) for r in near_dup.near_duplicates(docs, k=4, percent=80).collect()}
+    assert near == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True), 5: (5, True)}
+    pieces = packing.packed(docs, tokenizer, size=2048, end=0).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3, 4, 5} and all(r.length <= 2048 for r in pieces)
+    assert {r.doc_id: list(r.removed) for r in lines.line_matches(docs).collect()} == plain_lines(rows)
+    assert licenses.license_notices(docs).count() == 0
+    assert {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}[1] == ""
+    hit = {r.doc_id: r.runs for r in decontam.contamination(docs, spark.createDataFrame([("i", long[3000:3200])], "item_id string, text string")).collect()}
+    assert len(hit[1]) == 2 and hit[1] == hit[2] and not hit[3] and not hit[4]
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeated_spans(docs).collect()}
+    assert gone[1] == (len(long), 0) and gone[2] == (len(long), len(long)) and gone[3][1] == gone[5][1] == 0
+    assert {r.doc_id: r["size"] for r in sharding.assign_shards(docs).collect()}[1] == len(long) + 1
+    assert all(0 <= r.score <= 1 for r in quality.scored(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).collect())

@@ -32,7 +32,7 @@ from weftline.llm.common import MIX_A, U64, batches, dropped, mixed, stored
 
 GRAM = 24
 #: Bytes parsed together, and what a bucket of triggers should hold.
-CHUNK, BUCKET_TRIGGERS = 1 << 19, 1 << 19
+CHUNK, BUCKET_TRIGGERS = 1 << 19, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -138,7 +138,7 @@ def _count_triggers(span: int, buckets: int):
                         _, _, trigger = parse(data, ends, span)
                         bucket, short = _short(trigger, buckets)
                         found.append(bucket.astype(np.uint64) << U64(32) | short)
-                    if sum(map(len, found)) > 3_000_000:
+                    if sum(map(len, found)) > 1_000_000:
                         fold()
         yield from said()
 
