@@ -36,11 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Empties tables of stored() that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
-            spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+    """Removes tables of stored() that nothing will read again. On a file system that Arrow does not know they stay, as scratch tables at the end do."""
+    from pyarrow import fs
+
+    for folder in {path.rsplit("/", 1)[0] for table in tables for path in table.inputFiles()}:
+        try:
+            files, path = fs.FileSystem.from_uri(folder)
+            files.delete_dir(path)
+        except (pa.ArrowInvalid, OSError):
+            continue
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
