@@ -40,7 +40,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     items = table(spark, sf_dir, "benchmark")
 
     def clean(rows: DataFrame, key: str) -> DataFrame:
-        hit = decontam.contamination(rows, items, key, span=10, gram=5).where("size(runs) > 0").select(key).distinct()
+        # Stored, so that its size is known: where it is small, no document is shuffled to be left out.
+        hit = stored(decontam.contamination(rows, items, key, span=10, gram=5).where("size(runs) > 0").select(key).distinct(), "hits")
         return rows.join(hit, key, "left_anti").select(*docs.columns)
 
     unnamed = stored(docs.where("doc_id is null").withColumn("unnamed", F.monotonically_increasing_id()), "unnamed")
