@@ -156,3 +156,19 @@ def test_more_documents(spark, tmp_path):
     report = files.batch_report(spark.createDataFrame([("b", False), ("a", None), ("c", True)], "site string, success boolean")).first().report
     assert json.loads(report) == {"total": 3, "successful": 1, "failed": 2, "success_rate": 33.33, "failed_sites": ["a", "b"]}
     assert json.loads(files.batch_report(spark.createDataFrame([], "site string, success boolean")).first().report)["success_rate"] == 0.0
+
+
+def test_names_in_urls(spark):
+    """Every name that is part of a URL, whatever its length, and no other."""
+    own = random.Random(9)
+    urls = ["".join(own.choice("ab./") for _ in range(own.randint(0, 30))) for _ in range(60)] + [None, ""]
+    names = ["".join(own.choice("ab./") for _ in range(own.randint(1, 14))) for _ in range(200)] + [u[3:20] for u in urls if u and len(u) > 4] + [None]
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    found = {r.name for r in W.contained(frame(names, "name"), frame(urls, "logged")).collect()}
+    assert found == {n for n in names if n and any(n in u for u in urls if u)}
+    assert W.contained(frame(names, "name"), frame([], "logged")).count() == 0 == W.contained(frame([], "name"), frame(urls, "logged")).count()
+
+
+def test_relative_paths(spark):
+    rows = spark.createDataFrame([("a\\b", "c.css"), ("", "c.css"), (None, "c.css"), ("./x//", "d/e.js")], "d string, n string")
+    assert [r.p for r in rows.select(A.relative_path(F.col("d"), F.col("n")).alias("p")).collect()] == ["a/b/c.css", "c.css", "c.css", "x/d/e.js"]

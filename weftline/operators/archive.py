@@ -440,3 +440,39 @@ def unique_filenames_exact(spark, d):
     odd = "element_at(array('a.css', 'a1.css', 'css', '.css', 'b.min.js', 'b.min.js?v=2', 'c', 'a.css'), cast(page_id % 8 as int) + 1)"
     refs = read(spark, d, "pages").select((F.col("page_id") % 3).alias("folder"), "page_id", F.expr(odd).alias("file"))
     return given_names(refs, "folder", "file", "page_id").select("folder", "page_id", F.col("given").alias("name"))
+
+
+# Small documents and paths.
+
+
+def relative_path(directory: Column, name: Column) -> Column:
+    """A file below its project, as markup names it: folder and name with forward slashes, no empty parts."""
+    parts = F.filter(F.split(F.translate(F.concat_ws("/", directory, name), "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    return F.array_join(parts, "/")
+
+
+@archive(f"""SELECT page_id, array_to_string(list_filter(string_split(replace(concat_ws('/', CASE page_id % 3 WHEN 0 THEN 'assets' || chr(92) || 'img' WHEN 1 THEN '' ELSE './css//' END, {_FILE}), chr(92), '/'), '/'), lambda x: x <> '' AND x <> '.'), '/') AS path FROM {REFS}""")
+def local_paths(spark, d):
+    refs = _from(spark, d, REFS).withColumn("directory", F.element_at(F.array(F.lit("assets\\img"), F.lit(""), F.lit("./css//")), (F.col("page_id") % 3 + 1).cast("int")))
+    return refs.select("page_id", relative_path(F.col("directory"), U.file_name(F.col("ref"))).alias("path"))
+
+
+#: Levels of messages by their type; made up.
+_LOG = "(SELECT event_id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'debug' WHEN 'click' THEN 'info' WHEN 'signup' THEN 'Success' ELSE 'TRACE' END AS level FROM events) log"
+
+
+@archive(f"SELECT event_id, level FROM {_LOG} WHERE upper(level) NOT IN ('TRACE', 'DEBUG')")
+def log_levels(spark, d):
+    """Messages at INFO and above."""
+    from weftline.streaming.jobs import at_least
+
+    return at_least(_from(spark, d, _LOG, "events"))
+
+
+@archive("""SELECT '{"total":' || count(*) || ',"successful":' || count(*) FILTER (event_type <> 'error') || ',"failed":' || count(*) FILTER (event_type = 'error') || ',"success_rate":' || round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 2)
+  || ',"failed_sites":[' || coalesce(array_to_string(list_transform(list_sort(list(DISTINCT user_id) FILTER (event_type = 'error')), lambda x: CAST(x AS VARCHAR)), ','), '') || ']}' AS report FROM events""")
+def batch_report(spark, d):
+    """A batch as one JSON document."""
+    from weftline.sources import files
+
+    return files.batch_report(read(spark, d, "events").select(F.col("user_id").alias("site"), (F.col("event_type") != "error").alias("success")))
