@@ -6,6 +6,7 @@ from datetime import date
 
 import pytest
 
+from weftline.operators.runs import sites_named
 from weftline.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -127,10 +128,14 @@ def test_captures(rows, docs):
 
 
 def test_catalogue(rows):
-    tiers = (("static", 3, "easy"), ("ssr", 4, "medium"), ("spa", 3, "hard"), ("hybrid", 3, "hard"), ("heavy_js", 3, "extreme"), ("special", 4, "medium"))
-    sites = [(f"{t}-{i}", t, level, i) for t, n, level in tiers for i in range(1, n + 1)]
-    assert sorted(rows("site_catalogue")) == sorted(sites)
-    assert sorted(rows("site_counts")) == sorted((t, level, n) for t, n, level in tiers)
+    sites = rows("site_catalogue")
+    assert len(sites) == len({s[0] for s in sites}) == 20
+    assert Counter(s[1] for s in sites) == {"static": 3, "server-rendered": 4, "single-page-app": 3, "hybrid": 3, "heavy-javascript": 3, "special-case": 4}
+    assert Counter(s[2] for s in sites) == {"easy": 3, "medium": 6, "hard": 6, "very hard": 5}
+    assert sorted(rows("site_counts")) == sorted((c, d, n) for (c, d), n in Counter((s[1], s[2]) for s in sites).items())
     assert sorted(rows("sites_by_difficulty")) == sorted((s[0],) for s in sites if s[2] == "hard")
-    assert sorted(rows("custom_set")) == [("spa-2", 1), ("static-1", 2)]
-    assert sorted(rows("union_sites")) == sorted((s[0],) for s in sites if s[1] in ("static", "ssr"))
+    assert sorted(rows("custom_set")) == [("Example.com", 2), ("Vue.js", 1)]
+    assert sorted(rows("union_sites")) == sorted((s[0],) for s in sites if s[1] in ("static", "server-rendered"))
+    assert [s[0] for s in sites_named(["vue.js", "NUXT"])] == ["Vue.js", "Nuxt"]
+    with pytest.raises(ValueError, match="no such sites: x"):
+        sites_named(["Nuxt", "x"])

@@ -148,14 +148,42 @@ def file_scan(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime")
 
 
-#: A catalogue of sites by tier (tiers of 3, 4, 3, 3, 3, 4 sites); the names are made up.
-_TIERS = (("static", 3, "easy"), ("ssr", 4, "medium"), ("spa", 3, "hard"), ("hybrid", 3, "hard"), ("heavy_js", 3, "extreme"), ("special", 4, "medium"))
-_SITES = "(SELECT * FROM (VALUES " + ", ".join(f"('{tier}-{i}', '{tier}', '{level}', {i})" for tier, n, level in _TIERS for i in range(1, n + 1)) + ") AS v(name, category, difficulty, nth))"
+#: The site catalogue by category: names and difficulties, in order. Fixed values.
+SITES = {
+    "static": (("Example.com", "easy"), ("Motherfucking Website", "easy"), ("Python Docs", "easy")),
+    "server-rendered": (("WordPress.org News", "medium"), ("Django Project", "medium"), ("Ruby on Rails", "medium"), ("Wikipedia Article", "medium")),
+    "single-page-app": (("React.dev", "hard"), ("Vue.js", "hard"), ("Angular.io", "hard")),
+    "hybrid": (("Next.js", "hard"), ("Nuxt", "hard"), ("Remix", "hard")),
+    "heavy-javascript": (("Figma Blog", "very hard"), ("Notion Features", "very hard"), ("Linear Features", "very hard")),
+    "special-case": (("Tailwind CSS", "medium"), ("Google Fonts", "very hard"), ("Unsplash", "very hard"), ("MDN Web Docs", "medium")),
+}
+#: Named sets, in order; the third site of `quick` is not in the catalogue. Fixed values.
+NAMED_SETS = {"quick": ("Example.com", "React.dev", "WordPress.org"), "competitive": ("Example.com", "WordPress.org News", "React.dev", "Vue.js", "Tailwind CSS")}
+_ROWS = [(name, kind, level, i + 1) for kind, own in SITES.items() for i, (name, level) in enumerate(own)]
+_SITES = "(SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{d}', {i})" for n, k, d, i in _ROWS) + ") AS v(name, category, difficulty, nth))"
+
+
+def sites_named(names: list[str]) -> list[tuple[str, str, str, int]]:
+    """Sites by name, whatever the case, in the order of the names; an unknown name is an error."""
+    by = {row[0].lower(): row for row in _ROWS}
+    lost = [n for n in names if n.lower() not in by]
+    if lost:
+        raise ValueError(f"no such sites: {', '.join(lost)}")
+    return [by[n.lower()] for n in names]
+
+
+@runs("SELECT * FROM (VALUES ('quick', 1, 'Example.com'), ('quick', 2, 'React.dev'), ('quick', 3, 'WordPress.org'), ('competitive', 1, 'Example.com'), ('competitive', 2, 'WordPress.org News'), ('competitive', 3, 'React.dev'), ('competitive', 4, 'Vue.js'), ('competitive', 5, 'Tailwind CSS')) AS v(set_name, place, name)")
+def named_sets(spark, d):
+    """The sites of each named set, in order."""
+    rows = [(name, i + 1, site) for name, own in NAMED_SETS.items() for i, site in enumerate(own)]
+    return spark.createDataFrame(rows, "set_name string, place int, name string")
+
+
 same("site_catalogue", f"SELECT * FROM {_SITES} s")
 same("site_counts", f"SELECT category, difficulty, count(*) AS n FROM {_SITES} s GROUP BY category, difficulty")
 same("sites_by_difficulty", f"SELECT name FROM {_SITES} s WHERE difficulty = 'hard'")
-same("custom_set", f"SELECT s.name, l.place FROM {_SITES} s JOIN (SELECT * FROM (VALUES ('SPA-2', 1), ('static-1', 2)) AS v(name, place)) l ON lower(s.name) = lower(l.name)", "Sites by name, whatever the case, with their place in the list.")
-same("union_sites", f"SELECT name FROM {_SITES} s WHERE category = 'static' UNION ALL SELECT name FROM {_SITES} s WHERE category = 'ssr'")
+same("custom_set", f"SELECT s.name, l.place FROM {_SITES} s JOIN (SELECT * FROM (VALUES ('VUE.JS', 1), ('example.com', 2)) AS v(name, place)) l ON lower(s.name) = lower(l.name)", "Sites by name, whatever the case, with their place in the list.")
+same("union_sites", f"SELECT name FROM {_SITES} s WHERE category = 'static' UNION ALL SELECT name FROM {_SITES} s WHERE category = 'server-rendered'")
 
 # Discovery: robots files, sitemaps and platforms, over text made from pages.
 

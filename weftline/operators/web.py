@@ -403,6 +403,7 @@ def top_examples(spark, d):
     return _typed(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("ext").orderBy("page_id"))).where("r <= 3").select("ext", "page_id")
 
 
+#: Icons by extension.
 _ICONS = {"fas fa-file-code": ("html", "css", "js", "json"), "fas fa-image": ("jpg", "jpeg", "png", "gif", "webp", "svg"), "fas fa-font": ("woff", "woff2", "ttf", "eot"), "fas fa-file-pdf": ("pdf",), "fas fa-file-archive": ("zip",)}
 _ICON = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in _ICONS.items()) + " ELSE 'fas fa-file' END"
 
