@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import archive as A
@@ -172,3 +173,14 @@ def test_names_in_urls(spark):
 def test_relative_paths(spark):
     rows = spark.createDataFrame([("a\\b", "c.css"), ("", "c.css"), (None, "c.css"), ("./x//", "d/e.js")], "d string, n string")
     assert [r.p for r in rows.select(A.relative_path(F.col("d"), F.col("n")).alias("p")).collect()] == ["a/b/c.css", "c.css", "c.css", "x/d/e.js"]
+
+
+def test_files_are_written(spark, tmp_path):
+    rows = [("index.html", "é<p>"), ("css/a/b.css", ""), ("css//./c.css", "x"), (None, "x"), ("no", None)]
+    frame = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    assert files.write_files(frame, f"file://{tmp_path}/out") == 3
+    assert sorted((r.path.split("/out/")[1], r.text) for r in files.texts(spark, str(tmp_path / "out")).collect()) == [("css/c.css", "x"), ("index.html", "é<p>")]
+    assert (tmp_path / "out/css/a/b.css").read_bytes() == b""
+    assert files.write_files(frame.limit(0), f"file://{tmp_path}/out") == 0
+    with pytest.raises(Exception, match="no path below the root"):
+        files.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), f"file://{tmp_path}/out")

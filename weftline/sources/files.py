@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +71,7 @@ def write_changed(old: DataFrame, new: DataFrame, key: str, text: str, path: str
 
 
 def texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, text) of whole files below a folder; bytes that are no UTF-8 come as replacement characters."""
+    """(path, text) of whole files below a folder; bytes that are no UTF-8 come as replacement characters. Spark's reader leaves empty files out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
@@ -79,3 +82,28 @@ def batch_report(results: DataFrame) -> DataFrame:
     lost = F.array_sort(F.collect_set(F.when(~F.coalesce("success", F.lit(False)), F.col("site"))))
     rate = F.when(F.count("*") > 0, F.round(good * 100.0 / F.count("*"), 2)).otherwise(0.0)
     return results.agg(F.to_json(F.struct(F.count("*").alias("total"), good.alias("successful"), (F.count("*") - good).alias("failed"), rate.alias("success_rate"), lost.alias("failed_sites"))).alias("report"))
+
+
+def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """Writes each row's bytes (or text, as UTF-8) as a file below root, a URI that all workers share, and returns how many.
+
+    Folders are made where they are missing; a file that is there is replaced, and of several rows with one path any may
+    be the last. Rows without a path or content are left out; a path that would leave root is an error.
+    """
+
+    def put(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in found:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = [x for x in name.replace("\\", "/").split("/") if x not in ("", ".")]
+                if not parts or ".." in parts:
+                    raise ValueError(f"no path below the root: {name}")
+                files.create_dir("/".join([base, *parts[:-1]]), recursive=True)
+                with files.open_output_stream("/".join([base, *parts])) as out:
+                    out.write(data)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    wanted = rows.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).where("path is not null and content is not null")
+    return wanted.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
