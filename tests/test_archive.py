@@ -184,3 +184,25 @@ def test_files_are_written(spark, tmp_path):
     assert files.write_files(frame.limit(0), f"file://{tmp_path}/out") == 0
     with pytest.raises(Exception, match="no path below the root"):
         files.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), f"file://{tmp_path}/out")
+
+
+def test_retries(spark):
+    """Against the tries one after the other."""
+    own = random.Random(6)
+    rows = [tuple(own.choice([None, None, 500, 404, 301, 204, 226]) if own.random() < 0.6 else None for _ in range(9)) for _ in range(300)] + [(None,) * 9, (500,) * 9]
+
+    def plain(tries):
+        n, waited = 0, 0.0
+        for way, name in enumerate(("requests", "urllib3", "httpx")):
+            for attempt in range(3):
+                status, n = tries[n], n + 1
+                if status is None:
+                    waited += 0.5 * 2**attempt if attempt < 2 else 0
+                elif status in (200, 201, 202, 203, 204, 206) if way == 0 else 200 <= status < 300:
+                    return name, n, waited
+        return None, n, waited
+
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"s{j} int" for j in range(9)))
+    found = {r.i: (r.method, r.attempts, r.waited) for r in frame.select("i", *W.retried([F.col(f"s{j}") for j in range(9)])).collect()}
+    wrong = {i: (found[i], plain(r)) for i, r in enumerate(rows) if found[i] != plain(r)}
+    assert not wrong
