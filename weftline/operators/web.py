@@ -63,7 +63,12 @@ def normalize_url(spark, d):
     return _from(spark, d, REFS).select("page_id", U.normalized(F.col("url"), F.col("ref")).alias("absolute"))
 
 
-@web()
+_FOLDER = "regexp_replace(CASE WHEN regexp_matches(url, '[?#]') THEN regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') ELSE regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) || '/' END, '/+', '/', 'g')"
+_ABOVE = f"regexp_replace(regexp_replace({_FOLDER}, '[^/]*/$', ''), '^$', '/')"
+
+
+@web(f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN {_DOMAIN} || {_ABOVE} || 'a.css' WHEN 1 THEN {_DOMAIN} || {_FOLDER} || 'b.js' WHEN 2 THEN {_DOMAIN} || {_ABOVE} || 'c.png'
+  WHEN 3 THEN {_DOMAIN} || regexp_extract(url || '/', '^[^:/?#]+://[^/?#]*([^?#]*)', 1) || '?q=1' ELSE regexp_replace(url || '/', '#.*$', '') || '#f' END AS absolute FROM pages""")
 def normalize_url_dots(spark, d):
     """Relative references with dot segments, by RFC 3986 in an Arrow batch function."""
     refs = read(spark, d, "pages").select("page_id", "url", F.expr("element_at(array('../a.css', './b.js', 'x/../../c.png', '?q=1', '#f'), cast(page_id % 5 as int) + 1)").alias("ref"))
