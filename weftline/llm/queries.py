@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, fim, licenses, lines, near_dup, packing, pii, quality, repeats, sharding, topk
+from weftline.llm import chat, decontam, fim, licenses, lines, near_dup, packing, pii, quality, repeats, replay, sharding, topk
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -147,6 +147,36 @@ FROM parts
 """
 
 
+#: Both rows of it say what is a control string of the template.
+_CONTROLS = "(SELECT CAST(-7 AS BIGINT) AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    messages = given.union(spark.sql(_CONTROLS[1:-1])).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digests(chat.formatted(messages))
+
+
+_ESCAPE = r"regexp_replace({0}, '([\[<])(\\*)(/?(?:SYS|INST|ROLE|TURN|IMAGE|AUDIO|DOCUMENT|FILE)\]|/?s>)', '\1\\\2\3', 'g')"
+_MARKED = f"CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length({_ESCAPE.format('role')}) END"
+ORACLE_SQL["op12_chat_formatting"] = f"""
+WITH message AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM {_CONTROLS} c) m
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_ESCAPE.format('text')}) + {_MARKED}) AS BIGINT) AS formatted_chars
+FROM message GROUP BY conv_id
+"""
+
+
+@query
+def op13_quarantine_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replayed(table(spark, sf_dir, "conversations"))
+
+
 def _lower(text: str) -> str:
     return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
