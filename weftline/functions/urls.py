@@ -75,6 +75,12 @@ def normalized_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([one(b, r) for b, r in zip(base, ref, strict=True)])
 
 
+def absolute(base: Column, ref: Column) -> Column:
+    """normalized() for every reference; only those that the expressions leave open go through Python."""
+    simple = normalized(base, ref)
+    return F.coalesce(simple, normalized_udf(F.when(simple.isNull(), base), F.when(simple.isNull(), ref)))
+
+
 def base64_url(url: Column) -> Column:
     """Standard base64 of the UTF-8 bytes, without the line breaks that Spark's base64 may put in."""
     return F.translate(F.base64(F.encode(url, "UTF-8")), "\r\n", "")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import html as H
 from weftline.functions import urls as U
-from weftline.operators.web import _CLASS, _FILE, _PATH, _SHAPES, _from, _shapes
+from weftline.operators.web import _CLASS, _FILE, _PATH, _SHAPES, _from, _shapes, srcset
 from weftline.plans.twin import REFS, Registry, read
 from weftline.session import shared_dir
 
@@ -228,33 +229,41 @@ def css_rewrite(spark, d):
     return rewritten(sheets, found, local, "css")
 
 
-_MARKUP = """(SELECT page_id, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS base, concat('<link rel="stylesheet"', CASE WHEN page_id % 2 = 0 THEN ' href="/css/' ELSE '	HREF = "/css/' END, page_id % 7, '.css"><img alt="src" src=''img/', page_id % 5, '.png'' srcset="a.png 1x, b.png 2x">',
-  '<script async src="//cdn.example.net/', page_id % 3, '.js"></script><meta property="og:image" content="https://x.example.org/', page_id % 4, '.jpg"><meta name="d" content="words"><img data-src="no.png" src="gone.gif">') AS h FROM pages) markup"""
-#: Tags and the attribute of each that holds an address.
-_HOLDERS = (("link", "href"), ("img", "src"), ("script", "src"), ("meta", "content"))
+#: Pages with references in their articles, and decoys; made up.
+_REFERRING = """(SELECT page_id, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS base, html, concat('<!-- <img src="img/', page_id % 5, '.png"> --><script>var t = "//cdn.example.net/', page_id % 3, '.js";</script>') AS decoy,
+  concat('<link rel="stylesheet"', CASE WHEN page_id % 2 = 0 THEN ' href="/css/' ELSE '	HREF = "/css/' END, page_id % 7, '.css"><img alt="src" src=''img/', page_id % 5, '.png'' srcset="a.png 1x 3w,b.png, gone.gif  2x">',
+  '<script async src="//cdn.example.net/', page_id % 3, '.js"></script><meta property="og:image" content="https://x.example.org/', page_id % 4, '.jpg"><meta name="d" content="words"><img data-src="no.png" src="gone.gif"><img src=bare.png>') AS markup FROM pages) referring"""
 
 
-@archive(f"""SELECT page_id, replace(replace(replace(replace(replace(replace(h, '"/css/' || page_id % 7 || '.css"', '"assets/' || page_id % 7 || '.css"'), '''img/' || page_id % 5 || '.png''', '''assets/' || page_id % 5 || '.png'''), '"a.png 1x, b.png 2x"', '"assets/a.png 1x, assets/b.png 2x"'),
-  '"//cdn.example.net/' || page_id % 3 || '.js"', '"assets/' || page_id % 3 || '.js"'), '"https://x.example.org/' || page_id % 4 || '.jpg"', '"assets/' || page_id % 4 || '.jpg"'), ' href = ', ' href = ') AS html FROM {_MARKUP}""")
+@archive(f"""SELECT page_id, replace(html, '<article>', '<article>' || decoy || replace(replace(replace(replace(replace(replace(markup, '"/css/' || page_id % 7 || '.css"', '"assets/' || page_id % 7 || '.css"'), '''img/' || page_id % 5 || '.png''', '''assets/' || page_id % 5 || '.png'''),
+  '"a.png 1x 3w,b.png, gone.gif  2x"', '"assets/a.png 1x, assets/b.png, gone.gif 2x"'), '"//cdn.example.net/' || page_id % 3 || '.js"', '"assets/' || page_id % 3 || '.js"'), '"https://x.example.org/' || page_id % 4 || '.jpg"', '"assets/' || page_id % 4 || '.jpg"'), 'src=bare.png', 'src=assets/bare.png')) AS html FROM {_REFERRING}""")
 def rewrite_html(spark, d):
-    """Addresses in tags, in either quotes and after any white space, become the files that were fetched, and so do those of srcset."""
-    pages = _from(spark, d, _MARKUP)
-    kind = "array<struct<tag:string,ref:string,q:string>>"
-    held = F.array().cast(kind)
-    for tag, name in _HOLDERS:
-        for q in "\"'":
-            tags = F.regexp_extract_all("h", F.lit(rf"(?is)<{tag}\b[^>]*?\s{name}\s*=\s*{q}([^{q}]*){q}"), 1)
-            held = F.concat(held, F.arrays_zip(F.array_repeat(F.lit(tag), F.size(tags)).alias("tag"), tags.alias("ref"), F.array_repeat(F.lit(q), F.size(tags)).alias("q")).cast(kind))
-    refs = pages.select("page_id", "base", F.inline(held)).where("trim(ref) <> '' and not startswith(ref, 'data:')").where(~((F.col("tag") == "meta") & ~F.col("ref").rlike("^(https?://|/)")))
-    one = refs.select("page_id", F.concat("q", "ref", "q").alias("piece"), F.col("q").alias("before"), U.normalized(F.col("base"), F.col("ref")).alias("absolute"), F.col("q").alias("after"))
-    # Entries of srcset, each with what goes before and after it.
-    sets = pages.select("page_id", "base", F.explode(F.regexp_extract_all("h", F.lit(r'(?is)<img\b[^>]*?\ssrcset\s*=\s*"([^"]*)"'), 1)).alias("set"))
-    entry = F.explode(F.transform(F.split("set", ","), U.stripped)).alias("entry")
-    many = sets.select("page_id", "base", entry).select("page_id", "base", "entry", F.regexp_extract("entry", r"^(\S+)", 1).alias("ref"))
-    many = many.select("page_id", F.col("entry").alias("piece"), F.lit("").alias("before"), U.normalized(F.col("base"), F.col("ref")).alias("absolute"), F.expr("substr(entry, length(ref) + 1)").alias("after"))
-    found = one.unionByName(many)
-    local = found.select("absolute").distinct().where("not endswith(absolute, '.gif')").select("absolute", F.concat(F.lit("assets/"), U.file_name(F.col("absolute"))).alias("local"))
-    return rewritten(pages, found, local, "h").withColumnRenamed("h", "html")
+    """Addresses in tags become the files that were fetched, where they stand: in any quotes or none, in srcset with their first descriptor; comments and scripts stay."""
+    pages = _from(spark, d, _REFERRING).select("page_id", "base", F.expr("replace(html, '<article>', concat('<article>', decoy, markup))").alias("html"))
+    absolute = U.absolute(F.col("base"), F.col("ref"))
+    local = linked(pages).select(absolute.alias("absolute")).distinct().where("not endswith(absolute, '.gif')").select("absolute", F.concat(F.lit("assets/"), U.file_name(F.col("absolute"))).alias("local"))
+    return localised(pages, local)
+
+
+def linked(pages: DataFrame) -> DataFrame:
+    """(page_id, base, kind, at, until, place, ref, descriptor) of the addresses in pages (page_id, base, html), those of srcset one by one; empty ones and data are none."""
+    refs = pages.select("page_id", "base", F.inline(H.asset_refs("html")))
+    sets = srcset(refs.where("kind = 'srcset'")).join(pages.select("page_id", "base"), "page_id").withColumn("kind", F.lit("srcset"))
+    one = refs.where("kind <> 'srcset'").withColumns({"place": F.lit(0), "descriptor": F.lit("")})
+    return one.unionByName(sets).where("trim(ref) <> '' and not startswith(ref, 'data:')")
+
+
+def localised(pages: DataFrame, local: DataFrame) -> DataFrame:
+    """(page_id, html) with the addresses of pages (page_id, base, html) replaced by their files in local (absolute, local); what has none keeps its address.
+
+    The references of a page come together, never those of several; page_id has to be unique.
+    """
+    found = linked(pages).withColumn("absolute", U.absolute(F.col("base"), F.col("ref"))).join(local, "absolute", "left").where("local is not null or kind = 'srcset'")
+    entry = F.struct("place", F.trim(F.concat(F.coalesce("local", "ref"), F.lit(" "), "descriptor")).alias("entry"))
+    by_value = found.groupBy("page_id", "at", "until").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    change = F.struct("at", "until", F.array_join(F.col("entries.entry"), ", ").alias("new"))
+    by_page = by_value.groupBy("page_id").agg(F.array_sort(F.collect_list(change)).alias("changes"))
+    return pages.join(by_page, "page_id", "left").select("page_id", H.spliced(F.col("html"), F.col("changes")).alias("html"))
 
 
 # Listings.

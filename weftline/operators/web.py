@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.functions import html as H
 from weftline.functions import urls as U
 from weftline.plans.twin import OUTCOMES, REFS, Registry, read
 
@@ -72,7 +73,7 @@ _ABOVE = f"regexp_replace(regexp_replace({_FOLDER}, '[^/]*/$', ''), '^$', '/')"
 def normalize_url_dots(spark, d):
     """Relative references with dot segments, by RFC 3986 in an Arrow batch function."""
     refs = read(spark, d, "pages").select("page_id", "url", F.expr("element_at(array('../a.css', './b.js', 'x/../../c.png', '?q=1', '#f'), cast(page_id % 5 as int) + 1)").alias("ref"))
-    return refs.select("page_id", U.normalized_udf("url", "ref").alias("absolute"))
+    return refs.select("page_id", U.absolute(F.col("url"), F.col("ref")).alias("absolute"))
 
 
 @web(f"SELECT page_id, {_DOMAIN} AS domain FROM pages")
@@ -141,35 +142,35 @@ def scan_pages(spark, d):
     return read(spark, d, "pages").where("html is not null").select("page_id", "url", F.length("html").alias("n_chars"))
 
 
-# References to assets, in the order of their tags: link, img, srcset, script, meta.
+# References and elements, by the structure of pages.
 
-_MARKUP = """concat('<link rel="stylesheet" href="/css/', page_id % 7, '.css"><IMG alt="src" SRC = ''img/', page_id % 5, '.png'' srcset="a.png 1x, b.png 2x"><script async\tsrc="//cdn.example.net/',
-  page_id % 3, '.js"></script><meta property="og:image" content="https://x.example.org/', page_id % 4, '.jpg"><meta name="d" content="words"><img data-src="no.png">')"""
-_KINDS = (("link", "link", "href"), ("img", "img", "src"), ("srcset", "img", "srcset"), ("script", "script", "src"), ("meta", "meta", "content"))
+#: Markup that the archive's pages lack, put into their articles: references, and decoys in a comment and a script.
+_DECOY = """concat('<!-- <img src="no', page_id % 5, '.png"><link href="no.css"> --><script>var t = ''<img src="img/', page_id % 5, '.png">'';</script>')"""
+_MARKUP = """concat('<link rel="stylesheet" href="/css/', page_id % 7, '.css"><IMG alt="src" SRC = ''img/', page_id % 5, '.png'' srcset="a', page_id, '.png 1x,  b.png 2x 9w , c.png"><script async	src="//cdn.example.net/',
+  page_id % 3, '.js"></script><meta property="og:image" content="https://x.example.org/', page_id % 4, '.jpg?a=1&amp;b=2"><meta name="d" content="words"><img data-src="no.png" srcset="no.png 1x"><script src=plain.js></script>')"""
+_FILLED = f"(SELECT page_id, url, replace(html, '<article>', concat('<article>', {_DECOY}, {_MARKUP})) AS html FROM pages) filled"
 
 
-def asset_refs(html):
-    """array<struct<kind, ref>> of a page's references: attributes in either quotes, in any case, after any white space; contents of meta that look like addresses."""
-
-    def of(kind: str, tag: str, name: str):
-        found = F.concat(*[F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*?\s{name}\s*=\s*{q}([^{q}]*){q}"), 1) for q in "\"'"])
-        if kind == "meta":
-            found = F.filter(found, lambda x: x.rlike("^(https?://|/)"))
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref")))
-
-    return F.concat(*[of(*k) for k in _KINDS])
+@web("""SELECT page_id, unnest(['link', 'img', 'srcset', 'script', 'script', 'meta']) AS kind, unnest(['/css/' || page_id % 7 || '.css', 'img/' || page_id % 5 || '.png', 'a' || page_id || '.png 1x,  b.png 2x 9w , c.png',
+  '//cdn.example.net/' || page_id % 3 || '.js', 'plain.js', 'https://x.example.org/' || page_id % 4 || '.jpg?a=1&b=2']) AS ref FROM pages""")
+def extract_assets(spark, d):
+    """References of link, img, script and meta elements; comments and scripts are no markup."""
+    return _from(spark, d, _FILLED).select("page_id", F.inline(H.asset_refs("html"))).select("page_id", "kind", "ref")
 
 
-@web("""SELECT page_id, 'link' AS kind, '/css/' || page_id % 7 || '.css' AS ref FROM pages UNION ALL SELECT page_id, 'img', 'img/' || page_id % 5 || '.png' FROM pages UNION ALL SELECT page_id, 'srcset', 'a.png 1x, b.png 2x' FROM pages
-  UNION ALL SELECT page_id, 'script', '//cdn.example.net/' || page_id % 3 || '.js' FROM pages UNION ALL SELECT page_id, 'meta', 'https://x.example.org/' || page_id % 4 || '.jpg' FROM pages""")
-def extract_assets(spark, d):
-    return read(spark, d, "pages").select("page_id", F.inline(asset_refs(F.expr(_MARKUP))))
+def srcset(refs):
+    """(page_id, at, until, place, ref, descriptor) for the entries of srcset attributes: an address and its first descriptor, empty where there is none. refs has (page_id, at, until, ref)."""
+    entries = refs.select("page_id", "at", "until", F.posexplode(F.split("ref", ",")).alias("place", "entry")).withColumn("entry", U.stripped(F.col("entry"))).where("entry <> ''")
+    return entries.select("page_id", "at", "until", "place", F.regexp_extract("entry", r"^(\S+)", 1).alias("ref"), F.regexp_extract("entry", r"^\S+\s+(\S+)", 1).alias("descriptor"))
 
 
-@web("SELECT page_id, array_to_string(list_transform(string_split(concat('a', page_id, '.png 1x,  b.png 2x , c.png'), ','), lambda x: string_split(trim(x), ' ')[1]), ', ') AS srcset FROM pages")
+@web("SELECT page_id, 'a' || page_id || '.png 1x, b.png 2x, c.png' AS srcset FROM pages")
 def srcset_parse(spark, d):
-    parts = F.split(F.expr("concat('a', page_id, '.png 1x,  b.png 2x , c.png')"), ",")
-    return read(spark, d, "pages").select("page_id", F.array_join(F.transform(parts, lambda x: F.split(F.trim(x), " ")[0]), ", ").alias("srcset"))
+    """The srcset of each image in its normal form: each address with the first of its descriptors."""
+    refs = _from(spark, d, _FILLED).select("page_id", F.inline(H.asset_refs("html"))).where("kind = 'srcset'")
+    entry = F.struct("place", F.trim(F.concat("ref", F.lit(" "), "descriptor")).alias("entry"))
+    by = srcset(refs).groupBy("page_id", "at").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return by.select("page_id", F.array_join(F.col("entries.entry"), ", ").alias("srcset"))
 
 
 _CSS = """concat('a{background:url("img/', page_id % 5, '.png")} b{src:URL(f.woff)} c{x:url(data:a)} d{y:url(''img/', page_id % 5, '.png'')}')"""
@@ -178,8 +179,11 @@ _URL = "(?i)url\\([\"'']?([^\"'')]+)[\"'']?\\)"
 
 @web(f"SELECT page_id, u AS ref FROM (SELECT page_id, unnest(regexp_extract_all({_CSS}, '{_URL}', 1)) AS u FROM pages) t WHERE NOT starts_with(u, 'data:')")
 def css_urls(spark, d):
-    found = F.explode(F.regexp_extract_all(F.expr(_CSS), F.lit(_URL.replace("''", "'")), 1))
-    return read(spark, d, "pages").select("page_id", found.alias("ref")).select("page_id", F.trim("ref").alias("ref")).where("not startswith(ref, 'data:')")
+    """Addresses in the stylesheets of pages, which get some more rules."""
+    styled = _from(spark, d, f"(SELECT page_id, replace(html, '</style>', concat({_CSS}, '</style>')) AS html FROM pages) styled")
+    css = F.array_join(F.regexp_extract_all("html", F.lit("(?is)<style[^>]*>(.*?)</style>"), 1), "\n")
+    found = styled.select("page_id", F.explode(F.regexp_extract_all(css, F.lit(_URL.replace("''", "'")), 1)).alias("ref"))
+    return found.select("page_id", U.stripped(F.col("ref")).alias("ref")).where("not startswith(ref, 'data:')")
 
 
 @web("SELECT page_id, unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS css FROM pages")
@@ -187,41 +191,29 @@ def inline_css(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<style[^>]*>(.*?)</style>"), 1)).alias("css"))
 
 
-def selected(html, selector):
-    """The first element for a selector: a tag, .class or #id as CSS, //tag as XPath; empty where there is none. An element ends with the first end tag of its kind."""
-    css = F.when(selector.startswith("."), F.concat(F.lit(r'(?is)<(\w+)\b[^>]*\bclass="[^"]*\b'), F.substring(selector, 2, 1 << 20), F.lit(r'\b[^"]*"[^>]*>.*?</\1>')))
-    css = css.when(selector.startswith("#"), F.concat(F.lit(r'(?is)<(\w+)\b[^>]*\bid="'), F.substring(selector, 2, 1 << 20), F.lit(r'"[^>]*>.*?</\1>')))
-    tag = F.regexp_replace(selector, "^//", "")
-    pattern = css.otherwise(F.concat(F.lit("(?is)<"), tag, F.lit(r"\b[^>]*>.*?</"), tag, F.lit(">")))
-    return F.call_function("regexp_extract", html, pattern, F.lit(0))
-
-
-def text_of(markup):
-    """The text of markup: what is between tags, each piece without white space at its ends."""
-    return F.array_join(F.transform(F.split(markup, "(?s)<[^>]*>"), U.stripped), "")
-
-
-_CHOICE = "CASE page_id % 4 WHEN 0 THEN 'article' WHEN 1 THEN '.ad' WHEN 2 THEN '//footer' ELSE '#none' END"
-_PART = """CASE page_id % 4 WHEN 0 THEN regexp_extract(html, '(?is)<article>.*?</article>') WHEN 1 THEN regexp_extract(html, '(?is)<div class="ad">.*?</div>') WHEN 2 THEN regexp_extract(html, '(?is)<footer>.*?</footer>') ELSE '' END"""
+#: Pages with an element inside another of its kind, and a selector for each.
+_NESTED = """(SELECT page_id, replace(html, '<div class="ad">', '<div class="ad"><div>in</div>') AS html, CASE page_id % 7 WHEN 0 THEN 'article' WHEN 1 THEN '.ad' WHEN 2 THEN '//footer' WHEN 3 THEN '#none'
+  WHEN 4 THEN 'body > nav ul' WHEN 5 THEN '//div[@class="ad"]/div[last()]' ELSE '???' END AS selector FROM pages) nested"""
+_PART = """CASE page_id % 7 WHEN 0 THEN regexp_extract(html, '(?is)<article>.*?</article>') WHEN 1 THEN regexp_extract(html, '(?is)<div class="ad"><div>in</div>.*?</div>') WHEN 2 THEN regexp_extract(html, '(?is)<footer>.*?</footer>')
+  WHEN 4 THEN regexp_extract(html, '(?is)<ul>.*?</ul>') WHEN 5 THEN '<div>in</div>' END"""
 
 
-@web(f"""SELECT page_id, CASE WHEN part = '' THEN NULL WHEN page_id % 4 = 2 THEN 'xpath' ELSE 'css' END AS kind, CASE WHEN part = '' THEN NULL ELSE '<html><body>' || part || '</body></html>' END AS content FROM (SELECT page_id, {_PART} AS part FROM pages) t""")
+@web(f"""SELECT page_id, CASE WHEN part IS NULL THEN NULL WHEN selector LIKE '//%' THEN 'xpath' ELSE 'css' END AS kind, '<html><body>' || part || '</body></html>' AS content,
+  CASE WHEN part IS NULL THEN 'Could not find element with selector ''' || selector || '''. Tried both CSS and XPath. Please check your selector.' END AS error FROM (SELECT page_id, selector, {_PART} AS part FROM {_NESTED}) t""")
 def extract_content(spark, d):
-    """A page cut down to one element, and how its selector was read; null where the selector finds nothing."""
-    pages = read(spark, d, "pages").withColumn("selector", F.expr(_CHOICE)).withColumn("part", F.nullif(selected(F.col("html"), F.col("selector")), F.lit("")))
-    kind = F.when(F.col("part").isNotNull(), F.when(F.col("selector").startswith("//"), "xpath").otherwise("css"))
-    return pages.select("page_id", kind.alias("kind"), F.concat(F.lit("<html><body>"), "part", F.lit("</body></html>")).alias("content"))
+    """A page cut down to the first element for its selector, read as CSS, else as XPath; what is said where neither finds one."""
+    return _from(spark, d, _NESTED).select("page_id", H.content(F.col("html"), F.col("selector")).alias("c")).select("page_id", "c.*")
 
 
-_PLAIN = "array_to_string(list_transform(string_split_regex(regexp_extract(html, '{0}'), '(?s)<[^>]*>'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '')"
+_PLAIN = "replace(replace(replace(array_to_string(list_transform(string_split_regex(regexp_extract(html, '{0}'), '(?s)<[^>]*>'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_SOUGHT = {"article": "(?is)<article\\b[^>]*>.*?</article>", "body nav": "(?is)<nav\\b[^>]*>.*?</nav>", "div.ad": '(?is)<div class="ad">.*?</div>', "footer, #none": "(?is)<footer>.*?</footer>"}
 
 
-@web("SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN length({_PLAIN.format(p)}) > 100 THEN '{n}' END" for n, p in (("article", "(?is)<article\\b[^>]*>.*?</article>"), ("nav", "(?is)<nav\\b[^>]*>.*?</nav>"), (".ad", '(?is)<div class="ad">.*?</div>'))) + "], lambda x: x IS NOT NULL), ',') AS found FROM pages")
+@web("SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN length({_PLAIN.format(p)}) > 100 THEN '{n}' END" for n, p in _SOUGHT.items()) + "], lambda x: x IS NOT NULL), '; ') AS found FROM pages")
 def detect_selector(spark, d):
     """Of some selectors those that find an element with more than 100 characters of text."""
-    names = F.array(*map(F.lit, ("article", "nav", ".ad", "#none")))
-    found = F.filter(names, lambda s: F.length(text_of(selected(F.col("html"), s))) > 100)
-    return read(spark, d, "pages").select("page_id", F.array_join(found, ",").alias("found"))
+    names = F.array(*map(F.lit, [*_SOUGHT, "#none", "a[", "script"]))
+    return read(spark, d, "pages").select("page_id", F.array_join(H.detected("html", names), "; ").alias("found"))
 
 
 # Filters on references.
