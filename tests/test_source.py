@@ -117,3 +117,45 @@ torn.write.format(archive.NAME).mode("append").save({str(tmp_path / "out")!r})
     os.makedirs(tmp_path / "out")
     subprocess.run([sys.executable, "-c", script], check=True, timeout=300, capture_output=True)
     assert there(tmp_path / "out") == {f"d{i % 7}/{i}.txt": (str(i) * 1000).encode() for i in range(200)}
+
+
+def test_fields_of_documents(spark, tmp_path):
+    """Documents with differing keys: the header is their sorted union, texts that need quotes come back, no documents are an error."""
+    from weftline.operators import folders
+
+    given = ['{"b": 1, "a": "x,\\"y\\"\\n"}', '{"c": {"k": [1, null]}, "b": "two"}', '{"it\'s": true}', "{}"]
+    documents = spark.createDataFrame([(x,) for x in given], "result string")
+    found = folders.variants(documents)
+    assert [f.name for f in folders.fields(found).fields] == ["a", "b", "c", "it's"]
+    folders.export_csv_to(found, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv"))
+    assert back.columns == ["a", "b", "c", "it's"]
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted([('x,"y"\n', "1", None, None), (None, "two", '{"k":[1,null]}', None), (None, None, None, "true"), (None,) * 4], key=repr)
+    for none in (found.where("false"), folders.variants(documents.where("result = '{}'"))):
+        with pytest.raises(ValueError, match="No results to export"):
+            folders.table_of(none)
+
+
+def test_two_runs(spark):
+    """By hand: a failed result counts, but not in means and sums; missing numbers are 0; a run that is not there has nothing."""
+    from weftline.operators import folders
+
+    rows = [("a", '{"success": true, "duration_seconds": 4, "success_rate": 50, "output_size_mb": 2}'), ("a", '{"success": true}'), ("a", '{"duration_seconds": 99}'), ("b", '{"success": true, "duration_seconds": 1.5, "success_rate": 25, "output_size_mb": 2}'), ("c", '{"success": false}')]
+    results = folders.variants(spark.createDataFrame(rows, "file string, result string"))
+    of = lambda one, two: tuple(folders.compared(results, one, two).first())
+    assert of("a", "b") == (3, 2, 2.0, 25.0, 2.0, 1, 1, 1.5, 25.0, 2.0, -0.5, 0.0, 0.0, -25.0, "FASTER", "SAME", 0.0)
+    assert of("b", "a")[10:] == (0.5, 0.0, 0.0, pytest.approx(100 / 3), "SLOWER", "SAME", 0.0)
+    assert of("c", "b") == (1, 0, 0.0, 0.0, 0.0, 1, 1, 1.5, 25.0, 2.0, 1.5, 25.0, 2.0, 0.0, "SLOWER", "BETTER", 0.0)
+    assert of("none", "none")[:10] == (0, 0, 0.0, 0.0, 0.0) * 2
+
+
+def test_table_functions(spark):
+    from weftline.functions import tables
+
+    tables.register(spark)
+    frame = spark.createDataFrame([(1, "<a><b><url><loc>u</loc></url></b></a>", "<img src=x><!-- <img src=y> -->"), (2, "<a>", ""), (3, None, None)], "id int, xml string, html string")
+    frame.createOrReplaceTempView("given")
+    assert [tuple(r) for r in spark.sql("SELECT g.id, s.kind, s.loc, s.title FROM given g, LATERAL sitemap_rows(g.xml) s").collect()] == [(1, "url", "u", None)]
+    assert [tuple(r) for r in spark.sql("SELECT g.id, a.* FROM given g, LATERAL asset_refs(g.html) a").collect()] == [(1, "img", "x", 9, 10)]
+    with pytest.raises(Exception, match="sitemap_rows takes a text, not int"):
+        spark.sql("SELECT * FROM sitemap_rows(5)").collect()

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import html as H
+from weftline.functions import tables
 from weftline.functions import urls as U
+from weftline.functions.feeds import sitemap_entries  # noqa: F401  offered here as well
 from weftline.operators.web import _CLASS, _FILE, _PATH, _SHAPES, _from, _shapes, srcset
 from weftline.plans.twin import REFS, Registry, read
 from weftline.session import shared_dir
@@ -110,42 +112,29 @@ def analysis_summary(spark, d):
 # Sitemaps and feeds.
 
 #: A document of each form for each page: sitemap, index, feed in two forms, and one that is broken; made up.
-_FEEDS = """(SELECT page_id, CASE page_id % 6 WHEN 0 THEN '<urlset><url><loc>' WHEN 1 THEN concat('<sitemapindex xmlns="http://x"><sitemap><loc>http://h/s', page_id, '.xml</loc></sitemap><sitemap><lastmod>2024</lastmod></sitemap></sitemapindex>')
+_FEEDS = """(SELECT page_id, CASE page_id % 8 WHEN 0 THEN '<urlset><url><loc>' WHEN 1 THEN concat('<sitemapindex xmlns="http://x"><sitemap><loc>http://h/s', page_id, '.xml</loc></sitemap><sitemap><lastmod>2024</lastmod></sitemap></sitemapindex>')
   WHEN 2 THEN concat('<rss><channel><item><title>T', page_id, '</title><link>http://h/p</link><pubDate>Mon</pubDate></item><item><title>none</title></item></channel></rss>')
   WHEN 3 THEN concat('<feed><entry><title>A', page_id, '</title><link href="http://h/a"/><link href="http://h/b"/><updated>2024-01-02</updated></entry></feed>')
   WHEN 4 THEN concat('<urlset xmlns="http://x"><url><loc>http://h/', page_id, '</loc><lastmod>2024-01-0', page_id % 9 + 1, '</lastmod><changefreq>daily</changefreq><priority>0.5</priority></url><url><loc>http://h/b</loc></url><url><priority>1</priority></url></urlset>')
-  ELSE '<urlset></urlset>' END AS xml FROM pages) feeds"""
-_ANY = (
-    "sitemap array<struct<loc:string>>, channel struct<item:array<struct<link:string,title:string,pubDate:string>>>,"
-    " entry array<struct<title:string,link:array<struct<_href:string>>,updated:string>>, url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>"
-)
-_ENTRY = "array<struct<kind:string,loc:string,title:string,lastmod:string,changefreq:string,priority:string>>"
-
-
-def sitemap_entries(xml: Column) -> Column:
-    """Entries of a sitemap, a sitemap index or a feed, whichever it is (index, then feeds, then URLs); none of broken documents, and none without an address."""
-    doc = F.from_xml(F.regexp_replace(xml, 'xmlns="[^"]+"', ""), _ANY, {"mode": "PERMISSIVE", "prefersDecimal": "false"})
-    none = F.lit(None).cast("string")
-
-    def entries(found: Column, kind: str, loc, title=lambda x: none, lastmod=lambda x: none, changefreq=lambda x: none, priority=lambda x: none) -> Column:
-        row = lambda x: F.struct(F.lit(kind).alias("kind"), loc(x).alias("loc"), title(x).alias("title"), lastmod(x).alias("lastmod"), changefreq(x).alias("changefreq"), priority(x).alias("priority"))
-        return F.when(F.size(found) > 0, F.transform(found, row))
-
-    forms = F.coalesce(
-        entries(doc["sitemap"], "sitemap", lambda x: x["loc"]),
-        entries(doc["channel"]["item"], "rss", lambda x: x["link"], lambda x: x["title"], lambda x: x["pubDate"]),
-        entries(doc["entry"], "atom", lambda x: F.get(x["link"], F.lit(0))["_href"], lambda x: x["title"], lambda x: x["updated"]),
-        entries(doc["url"], "url", lambda x: x["loc"], lastmod=lambda x: x["lastmod"], changefreq=lambda x: x["changefreq"], priority=lambda x: x["priority"]),
-        F.array().cast(_ENTRY),
-    )
-    return F.filter(forms, lambda x: x["loc"] != "")
-
-
-@archive("""SELECT page_id, 'sitemap' AS kind, 'http://h/s' || page_id || '.xml' AS loc, NULL AS title, NULL AS lastmod, NULL AS changefreq, NULL AS priority FROM pages WHERE page_id % 6 = 1
-  UNION ALL SELECT page_id, 'rss', 'http://h/p', 'T' || page_id, 'Mon', NULL, NULL FROM pages WHERE page_id % 6 = 2 UNION ALL SELECT page_id, 'atom', 'http://h/a', 'A' || page_id, '2024-01-02', NULL, NULL FROM pages WHERE page_id % 6 = 3
-  UNION ALL SELECT page_id, 'url', 'http://h/' || page_id, NULL, '2024-01-0' || (page_id % 9 + 1), 'daily', '0.5' FROM pages WHERE page_id % 6 = 4 UNION ALL SELECT page_id, 'url', 'http://h/b', NULL, NULL, NULL, NULL FROM pages WHERE page_id % 6 = 4""")
+  WHEN 6 THEN '<urlset><a><b><url><priority>0.1</priority><loc>http://h/deep</loc></url></b></a></urlset>'
+  WHEN 7 THEN concat('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"><channel/><item><title>R</title><link>', replace(url, '&', '&amp;'), '</link></item></rdf:RDF>') ELSE '<urlset></urlset>' END AS xml FROM pages) feeds"""
+
+@archive("""SELECT page_id, 'sitemap' AS kind, 'http://h/s' || page_id || '.xml' AS loc, NULL AS title, NULL AS lastmod, NULL AS changefreq, NULL AS priority FROM pages WHERE page_id % 8 = 1
+  UNION ALL SELECT page_id, 'rss', 'http://h/p', 'T' || page_id, 'Mon', NULL, NULL FROM pages WHERE page_id % 8 = 2 UNION ALL SELECT page_id, 'atom', 'http://h/a', 'A' || page_id, '2024-01-02', NULL, NULL FROM pages WHERE page_id % 8 = 3
+  UNION ALL SELECT page_id, 'url', 'http://h/' || page_id, NULL, '2024-01-0' || (page_id % 9 + 1), 'daily', '0.5' FROM pages WHERE page_id % 8 = 4 UNION ALL SELECT page_id, 'url', 'http://h/b', NULL, NULL, NULL, NULL FROM pages WHERE page_id % 8 = 4
+  UNION ALL SELECT page_id, 'url', 'http://h/deep', NULL, NULL, NULL, '0.1' FROM pages WHERE page_id % 8 = 6 UNION ALL SELECT page_id, 'rss', url, 'R', NULL, NULL, NULL FROM pages WHERE page_id % 8 = 7""")
 def parse_sitemap(spark, d):
-    return _from(spark, d, _FEEDS).select("page_id", F.inline(sitemap_entries(F.col("xml"))))
+    """The entries of sitemaps and feeds in every form, by a table function."""
+    tables.register(spark)
+    return spark.sql("SELECT f.page_id, e.* FROM {feeds} f, LATERAL sitemap_rows(f.xml) e", feeds=_from(spark, d, _FEEDS))
+
+
+@archive("SELECT kind, count(*) AS n, count(DISTINCT ref) AS refs FROM (SELECT page_id, unnest(['link', 'img', 'srcset', 'img', 'script', 'meta', 'img']) AS kind, unnest(['/css/' || page_id % 7 || '.css', 'img/' || page_id % 5 || '.png', 'a.png 1x 3w,b.png, gone.gif  2x', 'gone.gif', '//cdn.example.net/' || page_id % 3 || '.js', 'https://x.example.org/' || page_id % 4 || '.jpg', 'bare.png']) AS ref FROM pages) r GROUP BY kind")
+def asset_kinds(spark, d):
+    """References by kind, counted in SQL over a table function of pages."""
+    tables.register(spark)
+    pages = _from(spark, d, _REFERRING).select(F.expr("replace(html, '<article>', concat('<article>', decoy, markup))").alias("html"))
+    return spark.sql("SELECT a.kind, count(*) AS n, count(DISTINCT a.ref) AS refs FROM {pages} p, LATERAL asset_refs(p.html) a GROUP BY a.kind", pages=pages)
 
 
 def crawl(links: DataFrame, roots: DataFrame) -> DataFrame:

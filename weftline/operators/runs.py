@@ -34,7 +34,6 @@ def same(name: str, sql: str, doc: str = "") -> None:
 
 
 _AVG = "coalesce(round(avg({0}), 4), 0.0)"
-same("list_runs", f"SELECT run AS filename, count(*) AS total, sum(CASE WHEN success THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN success THEN 0 ELSE 1 END) AS failed FROM {_RUNS} r GROUP BY run")
 same("latest_run", f"SELECT run, count(*) AS total FROM {_RUNS} r WHERE run = (SELECT max(run) FROM {_RUNS} x) GROUP BY run")
 same("last_two_runs", f"SELECT run, nth FROM (SELECT run, CAST(row_number() OVER (ORDER BY run DESC) AS INT) AS nth FROM (SELECT DISTINCT run FROM {_RUNS} r) u) v WHERE nth <= 2")
 same(
@@ -46,9 +45,6 @@ same(
     "Sums and means are over successful rows; totals over all.",
 )
 same("stats_by_category", f"SELECT coalesce(category, 'unknown') AS category, count(*) AS n, {_AVG.format('duration')} AS avg_duration FROM {_RUNS} r WHERE success GROUP BY coalesce(category, 'unknown')")
-_ONE = "(SELECT count(*) AS n, count(CASE WHEN success THEN 1 END) AS ok, coalesce(avg(CASE WHEN success THEN duration END), 0.0) AS mean FROM {0} r WHERE run = '{1}')"
-_COMPARE = f"SELECT a.n AS n1, b.n AS n2, b.ok - a.ok AS ok_delta, round(b.mean - a.mean, 4) AS mean_delta FROM {_ONE.format(_RUNS, '2024-01-02')} a CROSS JOIN {_ONE.format(_RUNS, '2024-01-03')} b"
-same("compare_runs", _COMPARE, "Two one-row aggregates side by side.")
 same(
     "run_change_labels",
     f"""SELECT run, CASE WHEN before > 0 THEN round((n - before) * 100e0 / before, 4) ELSE 0e0 END AS change,
@@ -68,7 +64,6 @@ def best_worst(spark, d):
     return best.union(worst)
 
 
-same("export_csv", f"SELECT coalesce(category, '') AS category, duration, event_id, run, site, success FROM {_RUNS} r", "Columns in the order of their names; write with header=True.")
 _DOCUMENT = "SELECT run, count(*) AS total_experiments, count(CASE WHEN success THEN 1 END) AS successful, count(CASE WHEN NOT success THEN 1 END) AS failed FROM {0} r GROUP BY run"
 
 
@@ -187,20 +182,6 @@ same("union_sites", f"SELECT name FROM {_SITES} s WHERE category = 'static' UNIO
 
 # Discovery: robots files, sitemaps and platforms, over text made from pages.
 
-_ROBOTS = r"concat('# hi\nUser-agent: *\nDISALLOW: /a', page_id, '\nDisallow:\nallow: /b\n Sitemap: ', url, '/sitemap.xml\nSitemap:\n')"
-
-
-@runs(f"""SELECT page_id, kind, value FROM (SELECT page_id, lower(regexp_extract(line, '^(?i)(sitemap|disallow|allow):', 1)) AS kind, trim(substr(line, instr(line, ':') + 1)) AS value
-  FROM (SELECT page_id, trim(unnest(string_split({_ROBOTS.replace(chr(92) + "n", "' || chr(10) || '")}, chr(10)))) AS line FROM pages) l) t WHERE kind <> '' AND (value <> '' OR kind = 'sitemap')""")
-def robots_parse(spark, d):
-    """Directives by kind; groups and comments do not matter, empty paths are left out, empty sitemaps stay."""
-    from weftline.functions.urls import stripped
-
-    lines = read(spark, d, "pages").select("page_id", F.explode(F.split(F.expr(_ROBOTS), "\n")).alias("line")).withColumn("line", stripped(F.col("line")))
-    out = lines.select("page_id", F.lower(F.regexp_extract("line", "(?i)^(sitemap|disallow|allow):", 1)).alias("kind"), stripped(F.expr("substr(line, instr(line, ':') + 1)")).alias("value"))
-    return out.where("kind <> '' and (value <> '' or kind = 'sitemap')")
-
-
 #: Where sitemaps and feeds usually are.
 CANDIDATES = (
     "/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap.xml.gz", "/sitemap1.xml", "/sitemaps.xml", "/sitemap/sitemap.xml", "/sitemap/index.xml", "/wp-sitemap.xml",

@@ -367,11 +367,11 @@ def rewrite_lookup(spark, d):
     return refs.join(by.select("absolute", F.expr("concat('assets/', length(absolute), '.bin')").alias("local")), "absolute", "left").select("page_id", "absolute", "local")
 
 
-@web(f"""SELECT page_id % 10 AS project, count(*) AS n_ok, sum(size) AS bytes, min(absolute) AS first_url FROM {_FETCHED} f WHERE size > 100 GROUP BY 1""")
-def download_manifest(spark, d):
-    """A manifest document for each project, folded into the numbers that it states; sources.files.manifests() has the document."""
-    rows = _from(spark, d, OUTCOMES).where("length(trim(ref)) > 0 and not startswith(ref, 'data:') and size > 100").withColumn("absolute", U.normalized(F.col("url"), F.col("ref")))
-    return rows.groupBy((F.col("page_id") % 10).alias("project")).agg(F.count("*").alias("n_ok"), F.sum("size").alias("bytes"), F.min("absolute").alias("first_url"))
+def fetched(spark, d):
+    """(project, absolute, local, method, size, ok, n) of each URL of a project, which is ten pages; n references share it. A URL is good with a good answer of more than 100 bytes."""
+    refs = _from(spark, d, OUTCOMES).where("length(trim(ref)) > 0 and not startswith(ref, 'data:')").withColumn("absolute", U.normalized(F.col("url"), F.col("ref")))
+    by = refs.groupBy(F.expr("floor(page_id / 10)").alias("project"), "absolute").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min(F.expr(_METHOD)).alias("method"))
+    return by.withColumns({"ok": F.expr("size > 100 and method is not null"), "local": F.expr("concat('assets/', length(absolute), '.bin')")})
 
 
 @web(f"SELECT page_id, CASE WHEN length(concat(url, '/', ref)) > 80 THEN concat(substr(concat(url, '/', ref), 1, 80), '...') ELSE concat(url, '/', ref) END AS shown FROM {REFS}")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,15 +43,18 @@ def write_run(rows: DataFrame, folder: str, timestamp: str) -> None:
 
 
 def manifests(fetched: DataFrame, project: str, timestamp: str) -> DataFrame:
-    """(project, manifest): a JSON document of each project's downloads, good and failed; fetched has (absolute, local, method, size, ok).
+    """(project, manifest): a JSON document of each project's downloads; fetched has (absolute, local, method, size, ok, n), a row for each URL, which n references share.
 
-    A project's downloads come together in one document, as in the file it stands for; projects are never put together.
+    A good URL counts once and is skipped n - 1 times, a failed one fails n times. A project's downloads come together in
+    one document, as in the file it stands for; projects are never put together.
     """
     done = F.struct(F.col("absolute").alias("url"), F.col("local").alias("local_path"), "method", "size")
-    lost = F.struct(F.col("absolute").alias("url"), "method")
-    stats = F.struct(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"))
+    lost = F.struct(F.col("absolute").alias("url"), F.lit("All download methods failed").alias("reason"))
+    add = lambda c, good: F.coalesce(F.sum(F.when(F.col("ok") == good, c)), F.lit(0)).cast("long")
+    stats = F.struct(add(F.lit(1), True).alias("success"), add(F.col("n"), False).alias("failed"), add(F.col("n") - 1, True).alias("skipped"))
+    again = F.flatten(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.array_repeat(lost, F.col("n").cast("int"))))))
     body = F.struct(F.lit(timestamp).alias("timestamp"), F.col(project).cast("string").alias("url"), stats.alias("statistics"),
-                    F.array_sort(F.collect_list(F.when(F.col("ok"), done))).alias("successful_downloads"), F.array_sort(F.collect_list(F.when(~F.col("ok"), lost))).alias("failed_downloads"))
+                    F.array_sort(F.collect_list(F.when(F.col("ok"), done))).alias("successful_downloads"), again.alias("failed_downloads"))
     return fetched.groupBy(project).agg(F.to_json(body).alias("manifest"))
 
 
@@ -84,26 +84,12 @@ def batch_report(results: DataFrame) -> DataFrame:
     return results.agg(F.to_json(F.struct(F.count("*").alias("total"), good.alias("successful"), (F.count("*") - good).alias("failed"), rate.alias("success_rate"), lost.alias("failed_sites"))).alias("report"))
 
 
-def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
-    """Writes each row's bytes (or text, as UTF-8) as a file below root, a URI that all workers share, and returns how many.
+def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
+    """Writes each row's bytes (or text, as UTF-8) as a file below root, a URI that all workers share, when all tasks are done.
 
-    Folders are made where they are missing; a file that is there is replaced, and of several rows with one path any may
-    be the last. Rows without a path or content are left out; a path that would leave root is an error.
+    Folders are made where they are missing, a file that is there is replaced. Rows without a path or content are left
+    out; a path that would leave root, or one that comes with two contents, is an error and nothing is written.
     """
+    from weftline.sources import archive
 
-    def put(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(root)
-        for batch in found:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = [x for x in name.replace("\\", "/").split("/") if x not in ("", ".")]
-                if not parts or ".." in parts:
-                    raise ValueError(f"no path below the root: {name}")
-                files.create_dir("/".join([base, *parts[:-1]]), recursive=True)
-                with files.open_output_stream("/".join([base, *parts])) as out:
-                    out.write(data)
-            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    wanted = rows.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).where("path is not null and content is not null")
-    return wanted.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    archive.write(rows.select(F.col(path).alias("path"), F.col(content).alias("content")), root)
