@@ -188,17 +188,22 @@ def test_retries(spark):
     rows = [tuple(own.choice([None, None, 500, 404, 301, 204, 226]) if own.random() < 0.6 else None for _ in range(9)) for _ in range(300)] + [(None,) * 9, (500,) * 9]
 
     def plain(tries):
-        n, waited = 0, 0.0
+        n = 0
         for way, name in enumerate(("requests", "urllib3", "httpx")):
-            for attempt in range(3):
+            for _ in range(3):
                 status, n = tries[n], n + 1
-                if status is None:
-                    waited += 0.5 * 2**attempt if attempt < 2 else 0
-                elif status in (200, 201, 202, 203, 204, 206) if way == 0 else 200 <= status < 300:
-                    return name, n, waited
-        return None, n, waited
+                if status is not None and (status in (200, 201, 202, 203, 204, 206) if way == 0 else 200 <= status < 300):
+                    return name, n
+        return None, n
 
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"s{j} int" for j in range(9)))
-    found = {r.i: (r.method, r.attempts, r.waited) for r in frame.select("i", *W.retried([F.col(f"s{j}") for j in range(9)])).collect()}
+    found = {r.i: (r.method, r.attempts) for r in frame.select("i", *W.retried([F.col(f"s{j}") for j in range(9)])).collect()}
     wrong = {i: (found[i], plain(r)) for i, r in enumerate(rows) if found[i] != plain(r)}
     assert not wrong
+
+
+def test_titles(spark):
+    """Those without a title, null or empty, get it from the markup, the first `most` of them alone; where that has none they stay."""
+    rows = [(1, "<title>a</title>", "T"), (2, "<TITLE x> b </title>", None), (3, "<p>", ""), (4, "<title>d</title>", ""), (5, "<title>e</title>", None)]
+    urls = spark.createDataFrame(rows, "at int, html string, title string")
+    assert sorted(map(tuple, A.titled(urls, "at", 3).collect())) == [(1, "T"), (2, "b"), (3, ""), (4, "d"), (5, None)]

@@ -14,19 +14,6 @@ def test_streams_equal_batches(spark, tmp_path):
         assert last == {r[0]: r[1] for r in f(events).collect()}
 
 
-def test_listeners(spark, tmp_path):
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    events.write.parquet(str(tmp_path / "in"))
-    heard = []
-
-    def bad(batch):
-        raise ValueError("no")
-
-    sink = jobs.dispatched({"view": [bad, lambda b: heard.append(b.count())]})
-    jobs.drained(jobs.event_stream(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "c"), sink, "append")
-    assert sum(heard) == events.where("event_type = 'view'").count()
-
-
 def test_extension_windows(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
@@ -35,30 +22,6 @@ def test_extension_windows(spark, tmp_path):
     assert sum(seen) > 0
 
 
-def test_listeners_come_and_go(spark):
-    hub, heard = jobs.Listeners(), []
-    batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "event_type string, n int")
-    first = hub.on("a", lambda rows: heard.append(("a", rows.count())))
-    hub.once("b", lambda rows: heard.append(("b", rows.count())))
-    hub.on("*", lambda rows: heard.append(("*", rows.count())))
-    hub.on("c", lambda rows: heard.append("never"))
-
-    def bad(rows):
-        raise ValueError("no")
-
-    hub.on("a", bad)
-    assert (hub.count(), hub.count("a"), hub.count("x")) == (5, 2, 0)
-    hub(batch, 0)
-    hub(batch, 1)
-    assert sorted(heard) == [("*", 3)] * 2 + [("a", 2)] * 2 + [("b", 1)] and hub.stats == {"batches": 2, "heard": 5, "failed": 2}
-    hub.off("a", first)
-    assert hub.count("a") == 1
-    hub.off("a")
-    assert hub.count("a") == 0
-    hub.remove_all()
-    assert hub.count() == 0
-
-
 def test_first_events_are_heard_once(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -180,11 +180,22 @@ def html_sitemap_links(spark, d):
     return links.select("page_id", whole.alias("sitemap")).distinct()
 
 
-@archive(f"SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1, 'i')) AS title FROM (SELECT page_id, html FROM (SELECT page_id, html, {_CLASS} AS kind FROM (SELECT page_id, html, lower({_PATH}) AS p FROM pages) a) b WHERE kind <> 'posts' ORDER BY page_id LIMIT 50) c")
+#: URLs as feeds list them: some with titles, some with empty ones, some with none; made up.
+_TITLED = "(SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN concat('T', page_id) WHEN 1 THEN '' END AS title FROM pages) titled"
+
+
+@archive(f"""SELECT page_id, CASE WHEN nth <= 50 AND found <> '' THEN found ELSE title END AS title FROM (SELECT page_id, title, trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1, 'i')) AS found,
+  CASE WHEN coalesce(title, '') = '' THEN row_number() OVER (PARTITION BY coalesce(title, '') = '' ORDER BY page_id) END AS nth FROM {_TITLED}) t""")
 def enrich_titles(spark, d):
-    """Feeds have titles for posts alone: the first 50 other pages get theirs from the markup; the limit is the feature."""
-    untitled = read(spark, d, "pages").where(U.url_class(F.col("url")) != "posts").orderBy("page_id").limit(50)
-    return untitled.select("page_id", F.trim(F.regexp_extract("html", "(?i)<title[^>]*>([^<]+)</title>", 1)).alias("title"))
+    """URLs with their titles; the first 50 of those without one get it from the markup. The limit is the feature."""
+    return titled(_from(spark, d, _TITLED), "page_id", 50)
+
+
+def titled(urls: DataFrame, order: str, most: int) -> DataFrame:
+    """(order, title): titles of urls (order, html, title), with those of the first `most` without one, null or empty, from their markup; order has to be unique."""
+    few = urls.where("coalesce(title, '') = ''").orderBy(order).limit(most)
+    found = few.select(order, F.nullif(F.trim(F.regexp_extract("html", "(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit("")).alias("found"))
+    return urls.select(order, "title").join(F.broadcast(found), order, "left").select(order, F.coalesce("found", "title").alias("title"))
 
 
 # Markup and stylesheets with local files in the place of addresses.
@@ -372,9 +383,14 @@ def valid_resource(spark, d):
 VIEWPORTS = {"mobile": (375, 667), "tablet": (768, 1024), "desktop": (1920, 1080), "desktop_4k": (3840, 2160)}
 
 
-@archive("SELECT * FROM (VALUES ('mobile', 375, 667), ('tablet', 768, 1024), ('desktop', 1920, 1080), ('desktop_4k', 3840, 2160)) AS v(name, width, height)")
+@archive("""SELECT v.name, v.width, v.height, count(s.doc_id) AS captures, CAST(coalesce(sum(s.n_chars), 0) AS BIGINT) AS size FROM (VALUES ('mobile', 375, 667), ('tablet', 768, 1024), ('desktop', 1920, 1080), ('desktop_4k', 3840, 2160)) AS v(name, width, height)
+  LEFT JOIN (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 1 THEN 1920 WHEN 2 THEN 375 END AS width, CASE doc_id % 3 WHEN 1 THEN 1080 WHEN 2 THEN 667 END AS height FROM documents) s ON s.width = v.width AND s.height = v.height GROUP BY 1, 2, 3""")
 def viewport_dim(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in VIEWPORTS.items()], "name string, width int, height int")
+    """The views that captures are taken in, with the captures of each; whole pages are in none."""
+    shots = read(spark, d, "documents").select("doc_id", "n_chars", F.expr("CASE doc_id % 3 WHEN 1 THEN 1920 WHEN 2 THEN 375 END").alias("width"), F.expr("CASE doc_id % 3 WHEN 1 THEN 1080 WHEN 2 THEN 667 END").alias("height"))
+    by = shots.groupBy("width", "height").agg(F.count("doc_id").alias("captures"), F.sum("n_chars").alias("size"))
+    views = spark.createDataFrame([(k, *v) for k, v in VIEWPORTS.items()], "name string, width int, height int")
+    return views.join(by, ["width", "height"], "left").select("name", "width", "height", F.coalesce("captures", F.lit(0)).alias("captures"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
 def given_names(rows: DataFrame, folder: str, name: str, order: str) -> DataFrame:

@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.functions import urls as U
 from weftline.plans.twin import Registry, read
+from weftline.streaming.jobs import STAGES, progress
+from weftline.streaming.logs import IDLE, LAPSE, frames
+from weftline.streaming.pairing import LIMIT, paired
 
 runs = Registry()
 
 _DAY = "CAST(CAST(ts AS DATE) AS STRING)"
 _RUNS = f"""(SELECT event_id, {_DAY} AS run, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS category, user_id AS site,
-  event_type <> 'error' AS success, value AS duration FROM events)"""
+  event_type <> 'error' AS success, value AS duration, event_id % 101 AS success_rate FROM events)"""
 _CAPTURES = """(SELECT doc_id, source AS page, text AS image, n_chars AS size, CASE WHEN doc_id % 3 = 0 THEN 'fullpage' WHEN doc_id % 3 = 1 THEN '1920x1080' ELSE '375x667' END AS viewport,
   CASE WHEN doc_id % 2 = 0 THEN '2024-01-30' ELSE '2023-12-15' END AS day FROM documents)"""
 
@@ -44,13 +49,15 @@ same(
   min(CASE WHEN success THEN duration END) AS min_duration, max(CASE WHEN success THEN duration END) AS max_duration FROM {_RUNS} r""",
     "Sums and means are over successful rows; totals over all.",
 )
-same("stats_by_category", f"SELECT coalesce(category, 'unknown') AS category, count(*) AS n, {_AVG.format('duration')} AS avg_duration FROM {_RUNS} r WHERE success GROUP BY coalesce(category, 'unknown')")
+same("stats_by_category", f"SELECT coalesce(category, 'unknown') AS category, count(*) AS n, {_AVG.format('duration')} AS avg_duration, {_AVG.format('success_rate')} AS avg_success_rate FROM {_RUNS} r WHERE success GROUP BY coalesce(category, 'unknown')")
 same(
     "run_change_labels",
-    f"""SELECT run, CASE WHEN before > 0 THEN round((n - before) * 100e0 / before, 4) ELSE 0e0 END AS change,
-  CASE WHEN before IS NULL OR n = before THEN 'SAME' WHEN n < before THEN 'FASTER' ELSE 'SLOWER' END AS label,
-  CASE WHEN ok_before IS NULL OR ok = ok_before THEN 'SAME' WHEN ok > ok_before THEN 'BETTER' ELSE 'WORSE' END AS success_label
-  FROM (SELECT run, n, lag(n) OVER (ORDER BY run) AS before, ok, lag(ok) OVER (ORDER BY run) AS ok_before FROM (SELECT run, count(*) AS n, round(100e0 * count(CASE WHEN success THEN 1 END) / count(*), 4) AS ok FROM {_RUNS} r GROUP BY run) c) l""",
+    f"""SELECT run, CASE WHEN before > 0 THEN round((mean - before) / before * 100, 4) ELSE 0e0 END AS change,
+  CASE WHEN mean < before THEN 'FASTER' WHEN mean > before THEN 'SLOWER' ELSE 'SAME' END AS label,
+  CASE WHEN rate > rate_before THEN 'BETTER' WHEN rate < rate_before THEN 'WORSE' ELSE 'SAME' END AS success_label
+  FROM (SELECT run, mean, lag(mean) OVER (ORDER BY run) AS before, rate, lag(rate) OVER (ORDER BY run) AS rate_before
+  FROM (SELECT run, coalesce(avg(CASE WHEN success THEN duration END), 0e0) AS mean, coalesce(avg(CASE WHEN success THEN success_rate END), 0e0) AS rate FROM {_RUNS} r GROUP BY run) c) l""",
+    "Each run against the one before it: mean duration and mean success rate of its successful rows. One row a run is put in order.",
 )
 @runs(f"""SELECT site, rate, up = 1 AS best FROM (SELECT site, rate, row_number() OVER (ORDER BY rate DESC, site) AS up, row_number() OVER (ORDER BY rate, site) AS down
   FROM (SELECT site, round(100e0 * count(CASE WHEN success THEN 1 END) / count(*), 4) AS rate FROM {_RUNS} r GROUP BY site) s) t WHERE up = 1 OR down = 1""")
@@ -78,30 +85,71 @@ def run_documents(spark, d):
 
 same("union_schema", f"SELECT event_id, run, CAST(NULL AS STRING) AS page FROM {_RUNS} r UNION ALL SELECT doc_id, day, page FROM {_CAPTURES} c")
 same("batch_summary", f"SELECT success, count(*) AS n, round(sum(duration), 2) AS duration FROM {_RUNS} r GROUP BY success")
-same(
-    "batch_pairing",
-    """SELECT user_id, event_id, nxt FROM (SELECT user_id, event_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt,
-  lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) e WHERE event_type = 'view' AND after = 'purchase'""",
-    "A start and the completion that follows it at once in the same job.",
-)
+@runs(f"""SELECT job, start, CASE WHEN near THEN nxt END AS "end", CASE WHEN near AND after = 'purchase' THEN 'success' WHEN near AND after = 'error' THEN 'error' ELSE 'failed' END AS outcome FROM (SELECT user_id AS job, event_id AS start, event_type, nxt, after,
+  after IN ('purchase', 'error') AND epoch_us(at_next) - epoch_us(ts) <= {LIMIT * 1_000_000} AS near FROM (SELECT *, lead(event_id) OVER w AS nxt, lead(event_type) OVER w AS after, lead(ts) OVER w AS at_next FROM events WHERE event_type IN ('view', 'purchase', 'error')
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) e) f WHERE event_type = 'view'""")
+def batch_pairing(spark, d):
+    """Each start with the end that follows it at once in its job, and what that makes of it; streaming.pairing has the same on a stream."""
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'completed' ELSE event_type END")
+    return paired(read(spark, d, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), kind.alias("kind")))
+
+
 same("bulk_summary", "SELECT count(CASE WHEN event_type = 'purchase' THEN 1 END) AS completed, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type = 'view' THEN 1 END) AS skipped FROM events")
 same("bulk_progress", "SELECT event_id, CAST(floor(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 100 / count(*) OVER (PARTITION BY user_id)) AS INT) AS progress FROM events")
-same(
-    "bulk_status",
-    "SELECT j.user_id, j.n, l.last_event FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) j LEFT JOIN (SELECT user_id, max(event_id) AS last_event FROM events WHERE event_type = 'click' GROUP BY user_id) l ON j.user_id = l.user_id",
-)
+@runs("""SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS bulk, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status IS NULL) AS skipped
+  FROM (SELECT url, CASE page_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN NULL ELSE 'completed' END AS status FROM (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url) p) j GROUP BY 1""")
+def bulk_status(spark, d):
+    """Bulk jobs, one a host, with what became of the job of each of their URLs; a job goes by its URL in base64, and one that is not known was skipped."""
+    pages = read(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    jobs = pages.where("page_id % 4 <> 1").select(U.job_id(F.col("url")).alias("job"), F.expr("CASE page_id % 4 WHEN 0 THEN 'error' ELSE 'completed' END").alias("status"))
+    bulk = pages.select(F.regexp_extract("url", "^[^:/?#]+://([^/?#]*)", 1).alias("bulk"), U.job_id(F.col("url")).alias("job"))
+    return bulk.join(jobs, "job", "left").groupBy("bulk").agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "error").alias("failed"), F.count_if(F.col("status").isNull()).alias("skipped")
+    )
+
+
 _STATE = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'cancelled' ELSE 'cloning' END"
 _LAST = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)"
 same("job_status", f"SELECT user_id, {_STATE} AS status FROM {_LAST} e WHERE r = 1")
-same("progress_latest", f"SELECT user_id, CASE event_type WHEN 'purchase' THEN 100 WHEN 'click' THEN 70 WHEN 'view' THEN 30 ELSE 10 END AS percentage FROM {_LAST} e WHERE r = 1")
+#: The stages of a clone and the share done when each begins, in order; the twelfth is no stage.
+_STAGE = "CASE CAST(event_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STAGES)) + " ELSE 'unknown' END"
+_DONE = "CASE CAST(event_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(STAGES.values())) + " END"
+
+
+@runs(f"SELECT user_id AS job, coalesce(arg_max(done, (ts, event_id)) FILTER (done IS NOT NULL), 0) AS percentage FROM (SELECT *, {_DONE} AS done FROM events) e GROUP BY user_id")
+def progress_latest(spark, d):
+    """The share done of each job by the latest of its known stages."""
+    events = read(spark, d, "events").select("user_id", F.expr(_STAGE).alias("stage"), F.struct("ts", "event_id").alias("at"))
+    return progress(events, "user_id", "stage", "at")
+
+
 same("event_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 same(
     "event_dispatch",
     "SELECT l.listener, count(*) AS n FROM events e JOIN (SELECT 'view' AS kind, 'a' AS listener UNION ALL SELECT 'view', 'b' UNION ALL SELECT 'error', 'a') l ON e.event_type = l.kind GROUP BY l.listener",
     "Each event goes to every listener of its type.",
 )
-_END = "(SELECT user_id AS job, min(event_id) AS stop FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)"
-same("log_stream", f"SELECT e.user_id, e.event_id FROM events e LEFT JOIN {_END} t ON e.user_id = t.job WHERE t.stop IS NULL OR e.event_id <= t.stop", "Messages of a job until its first terminal one.")
+_END = "(SELECT user_id AS job, ts AS stop, event_id AS nth FROM (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('purchase', 'error')) x WHERE r = 1)"
+same("log_stream", f"SELECT e.user_id, e.event_id FROM events e LEFT JOIN {_END} t ON e.user_id = t.job WHERE t.stop IS NULL OR e.ts < t.stop OR (e.ts = t.stop AND e.event_id <= t.nth)", "Messages of a job until its first terminal one.")
+def messages(spark, d):
+    """Events as the log of their jobs: a purchase completes one, an error ends it."""
+    status = F.expr("CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' END")
+    return read(spark, d, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), status.alias("status"), F.concat("event_type", F.lit(' "'), "event_id", F.lit('"')).alias("message"))
+
+
+@runs(f"""WITH m AS (SELECT user_id AS job, epoch_us(ts) // 1000 - epoch_ms(TIMESTAMP '2024-01-01') AS ms, event_id AS n, event_type IN ('purchase', 'error') AS stops, event_type, ts FROM events),
+  b AS (SELECT *, lag(ms) OVER (PARTITION BY job ORDER BY ms, n) AS before FROM m), l AS (SELECT *, coalesce(ms - before > {LAPSE} * 1000, false) AS lapsed FROM b),
+  o AS (SELECT *, coalesce(sum(CASE WHEN stops OR lapsed THEN 1 ELSE 0 END) OVER (PARTITION BY job ORDER BY ms, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ends FROM l),
+  k AS (SELECT *, CASE WHEN lapsed THEN before + {LAPSE} * 1000 ELSE ms END AS shut FROM o WHERE ends = 0)
+  SELECT job, unnest(range(before + {IDLE} * 1000, shut, {IDLE} * 1000)) AS ms, CAST(NULL AS BIGINT) AS n, ': heartbeat' || chr(10) || chr(10) AS frame FROM k WHERE before IS NOT NULL
+  UNION ALL SELECT job, shut, CASE WHEN NOT lapsed THEN n END, 'data: ' || CASE WHEN lapsed THEN '{{"type":"status","status":"lapsed"}}' WHEN event_type = 'purchase' THEN '{{"type":"status","status":"completed"}}' WHEN stops THEN '{{"type":"status","status":"error"}}'
+  ELSE '{{"type":"log","message":"' || event_type || ' \\"' || n || '\\""}}' END || chr(10) || chr(10) FROM k""")
+def log_frames(spark, d):
+    """The log of each job as frames: messages until the end, heartbeats where nothing is said, the status at last."""
+    zero = F.unix_millis(F.lit("2024-01-01").cast("timestamp"))
+    return frames(messages(spark, d)).select("job", (F.unix_millis("at") - zero).alias("ms"), "n", "frame")
+
+
 @runs("SELECT user_id, count(*) AS total, round(100e0 * count(*) FILTER (event_type <> 'error') / count(*), 4) AS success_rate, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS duration FROM events GROUP BY user_id")
 def monitor_stats(spark, d):
     """Tries, share of good ones and whole seconds from first to last, by session."""
@@ -120,7 +168,21 @@ def sse_frames(spark, d):
     return read(spark, d, "events").select("event_id", F.concat(F.lit("data: "), F.to_json(said), F.lit("\n\n")).alias("frame"))
 
 
-same("progress_bar", "SELECT event_id, concat(repeat('#', CAST(event_id % 21 AS INT)), repeat('.', CAST(20 - event_id % 21 AS INT))) AS bar FROM events")
+@runs("""SELECT event_id, '[' || repeat('█', filled) || repeat('░', 40 - filled) || '] ' || lpad(printf('%.1f', share), 5, ' ') || '% - ' || rpad(event_type, 20, ' ') AS bar FROM (SELECT *, CAST(floor(40 * share / 100) AS INTEGER) AS filled
+  FROM (SELECT event_id, event_type, 100e0 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) / count(*) OVER (PARTITION BY user_id) AS share FROM events) s) f""")
+def progress_bar(spark, d):
+    """How far each job had come with each of its events, as a bar."""
+    by = Window.partitionBy("user_id")
+    share = 100.0 * F.row_number().over(by.orderBy("ts", "event_id")) / F.count("*").over(by)
+    return read(spark, d, "events").withColumn("share", share).select("event_id", bar(F.col("share"), F.col("event_type")).alias("bar"))
+
+
+def bar(share, stage, width: int = 40):
+    """[███░░░]  50.0% - stage, the stage to twenty characters. The signs and widths."""
+    filled = F.floor(share * width / 100).cast("int")
+    return F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), width - filled), F.lit("] "), F.format_string("%5.1f", F.bround(share, 1)), F.lit("% - "), F.rpad(stage, F.greatest(F.length(stage), F.lit(20)), F.lit(" ")))
+
+
 
 @runs(f"SELECT doc_id, original FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY page, image ORDER BY doc_id) AS original FROM {_CAPTURES} c) t WHERE doc_id <> original")
 def detect_duplicates(spark, d):
@@ -155,7 +217,7 @@ SITES = {
 #: Named sets, in order; the third site of `quick` is not in the catalogue. Fixed values.
 NAMED_SETS = {"quick": ("Example.com", "React.dev", "WordPress.org"), "competitive": ("Example.com", "WordPress.org News", "React.dev", "Vue.js", "Tailwind CSS")}
 _ROWS = [(name, kind, level, i + 1) for kind, own in SITES.items() for i, (name, level) in enumerate(own)]
-_SITES = "(SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{d}', {i})" for n, k, d, i in _ROWS) + ") AS v(name, category, difficulty, nth))"
+_SITES = "(SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{d}', {i}, {place})" for place, (n, k, d, i) in enumerate(_ROWS)) + ") AS v(name, category, difficulty, nth, place))"
 
 
 def sites_named(names: list[str]) -> list[tuple[str, str, str, int]]:
@@ -167,18 +229,22 @@ def sites_named(names: list[str]) -> list[tuple[str, str, str, int]]:
     return [by[n.lower()] for n in names]
 
 
-@runs("SELECT * FROM (VALUES ('quick', 1, 'Example.com'), ('quick', 2, 'React.dev'), ('quick', 3, 'WordPress.org'), ('competitive', 1, 'Example.com'), ('competitive', 2, 'WordPress.org News'), ('competitive', 3, 'React.dev'), ('competitive', 4, 'Vue.js'), ('competitive', 5, 'Tailwind CSS')) AS v(set_name, place, name)")
-def named_sets(spark, d):
-    """The sites of each named set, in order."""
-    rows = [(name, i + 1, site) for name, own in NAMED_SETS.items() for i, site in enumerate(own)]
-    return spark.createDataFrame(rows, "set_name string, place int, name string")
+#: Events as visits of the sites, by their user.
+_VISITED = f"(SELECT s.name, s.category, s.difficulty, s.nth, s.place, e.event_id, e.event_type FROM {_SITES} s LEFT JOIN events e ON e.user_id % 20 = s.place)"
+
+
+def visited(name: str, sql: str, doc: str) -> None:
+    """A query over sites and their visits; the 20 sites go to the events, not the events to the sites."""
+    same(name, sql.format(sites=_VISITED), doc)
 
 
-same("site_catalogue", f"SELECT * FROM {_SITES} s")
-same("site_counts", f"SELECT category, difficulty, count(*) AS n FROM {_SITES} s GROUP BY category, difficulty")
-same("sites_by_difficulty", f"SELECT name FROM {_SITES} s WHERE difficulty = 'hard'")
-same("custom_set", f"SELECT s.name, l.place FROM {_SITES} s JOIN (SELECT * FROM (VALUES ('VUE.JS', 1), ('example.com', 2)) AS v(name, place)) l ON lower(s.name) = lower(l.name)", "Sites by name, whatever the case, with their place in the list.")
-same("union_sites", f"SELECT name FROM {_SITES} s WHERE category = 'static' UNION ALL SELECT name FROM {_SITES} s WHERE category = 'server-rendered'")
+visited("site_catalogue", "SELECT name, category, difficulty, nth, count(event_id) AS visits FROM {sites} s GROUP BY name, category, difficulty, nth", "The catalogue with the visits of each site.")
+visited("site_counts", "SELECT category, difficulty, count(DISTINCT name) AS n, count(event_id) AS visits FROM {sites} s GROUP BY category, difficulty", "Sites and visits by category and difficulty.")
+visited("sites_by_difficulty", "SELECT name, count(event_id) AS visits FROM {sites} s WHERE difficulty = 'hard' GROUP BY name", "Hard sites and their visits.")
+visited("custom_set", "SELECT s.name, l.place, count(s.event_id) AS visits FROM {sites} s JOIN (SELECT * FROM (VALUES ('VUE.JS', 1), ('example.com', 2)) AS v(name, place)) l ON lower(s.name) = lower(l.name) GROUP BY s.name, l.place", "Sites by name, whatever the case, with their place in the list and their visits.")
+visited("union_sites", "SELECT name, event_id FROM {sites} s WHERE category = 'static' UNION ALL SELECT name, event_id FROM {sites} s WHERE category = 'server-rendered'", "The visits of two tiers, one after the other.")
+_SETS = "(SELECT * FROM (VALUES " + ", ".join(f"('{s}', {i + 1}, '{n}')" for s, own in NAMED_SETS.items() for i, n in enumerate(own)) + ") AS v(set_name, place, name))"
+visited("named_sets", f"SELECT v.set_name, v.place, v.name, count(s.event_id) AS visits FROM {_SETS} v LEFT JOIN {{sites}} s ON s.name = v.name GROUP BY v.set_name, v.place, v.name", "The sites of each named set, in order, with their visits; one of them is in no catalogue.")
 
 # Discovery: robots files, sitemaps and platforms, over text made from pages.
 

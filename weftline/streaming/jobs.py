@@ -40,21 +40,6 @@ def drained(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int],
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
 
 
-def dispatched(listeners: dict[str, list[Callable[[DataFrame], None]]]) -> Callable[[DataFrame, int], None]:
-    """A sink that hands each type's events to its listeners; one that fails does not keep the others from hearing."""
-
-    def sink(batch: DataFrame, _: int) -> None:
-        for kind, callbacks in listeners.items():
-            own = batch.where(F.col("event_type") == kind)
-            for callback in callbacks:
-                try:
-                    callback(own)
-                except Exception as e:  # noqa: BLE001  as said above
-                    print(f"a listener of {kind} failed: {e}")
-
-    return sink
-
-
 #: What a clone goes through, with the share done when each stage begins.
 STAGES = {
     "start": 0, "driver_ready": 10, "folders_ready": 15, "page_loading": 20, "page_loaded": 22, "logs_read": 25, "html_read": 30, "assets_done": 70, "css_done": 75, "css_processed": 90, "complete": 100,
@@ -67,54 +52,6 @@ def progress(events: DataFrame, job: str = "job", stage: str = "stage", at: str
     return events.groupBy(F.col(job).alias("job")).agg(F.coalesce(F.max_by(share, F.when(share.isNotNull(), F.col(at))), F.lit(0)).alias("percentage"))
 
 
-class Listeners:
-    """Callbacks by type of event, for the batches of a stream: on, once, off, off for all, and how many there are.
-
-    Each hears the batch's events of its type, if there are any; one that fails does not keep the others from hearing.
-    A callback added with once() goes after the first batch it has heard, one added for "*" hears every type.
-    """
-
-    def __init__(self, type_col: str = "event_type"):
-        self.type_col = type_col
-        self._by: dict[str, list[tuple[Callable[[DataFrame], None], bool]]] = {}
-        self.stats = {"batches": 0, "heard": 0, "failed": 0}
-
-    def on(self, kind: str, callback: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:
-        self._by.setdefault(kind, []).append((callback, False))
-        return callback
-
-    def once(self, kind: str, callback: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:
-        self._by.setdefault(kind, []).append((callback, True))
-        return callback
-
-    def off(self, kind: str, callback: Callable[[DataFrame], None] | None = None) -> None:
-        """Takes out one callback, or all of a type."""
-        self._by[kind] = [x for x in self._by.get(kind, []) if callback is not None and x[0] is not callback]
-
-    def remove_all(self) -> None:
-        self._by.clear()
-
-    def count(self, kind: str | None = None) -> int:
-        return sum(len(x) for k, x in self._by.items() if kind in (None, k))
-
-    def __call__(self, batch: DataFrame, _: int) -> None:
-        self.stats["batches"] += 1
-        for kind, own in list(self._by.items()):
-            rows = batch if kind == "*" else batch.where(F.col(self.type_col) == kind)
-            if not own or rows.isEmpty():
-                continue
-            for entry in list(own):
-                callback, single = entry
-                if single and entry in self._by.get(kind, []):
-                    self._by[kind].remove(entry)
-                try:
-                    callback(rows)
-                    self.stats["heard"] += 1
-                except Exception as e:  # noqa: BLE001  as said above
-                    self.stats["failed"] += 1
-                    print(f"a listener of {kind} failed: {e}")
-
-
 #: Levels of a log, lowest first.
 LEVELS = ("TRACE", "DEBUG", "INFO", "SUCCESS", "WARNING", "ERROR", "CRITICAL")
 
