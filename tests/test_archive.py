@@ -163,6 +163,8 @@ def test_names_in_urls(spark):
     frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
     found = {r.name for r in W.contained(frame(names, "name"), frame(urls, "logged")).collect()}
     assert found == {n for n in names if n and any(n in u for u in urls if u)}
+    # The same with every start taken for a common one, in blocks of a few names and URLs.
+    assert found == {r.name for r in W.contained(frame(names, "name"), frame(urls, "logged"), few=0, automaton=3, logged=2).collect()}
     assert W.contained(frame(names, "name"), frame([], "logged")).count() == 0 == W.contained(frame([], "name"), frame(urls, "logged")).count()
 
 
@@ -207,3 +209,11 @@ def test_titles(spark):
     rows = [(1, "<title>a</title>", "T"), (2, "<TITLE x> b </title>", None), (3, "<p>", ""), (4, "<title>d</title>", ""), (5, "<title>e</title>", None)]
     urls = spark.createDataFrame(rows, "at int, html string, title string")
     assert sorted(map(tuple, A.titled(urls, "at", 3).collect())) == [(1, "T"), (2, "b"), (3, ""), (4, "d"), (5, None)]
+
+
+def test_many_names_of_one_start(spark):
+    """100,000 names and as many URLs that all share their first characters: rows in proportion to the finds."""
+    names = spark.range(0, 100_000).selectExpr("concat('wp-image-', id * 7, '.png') as name")
+    urls = spark.range(0, 100_000).selectExpr("concat('https://x.example.org/wp-image-', id, '.png?v=1') as logged")
+    found = {r.name for r in W.contained(names, urls).collect()}
+    assert found == {f"wp-image-{i}.png" for i in range(0, 100_000, 7)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions import html as H
@@ -267,12 +268,18 @@ def network_theta(spark, d):
     return pages.join(contained(pages, log), "name", "left_semi").select("page_id")
 
 
-def contained(names, log, width: int = 8):
+#: Names that share a start and are compared one by one with what holds it; more go into automata of at most AUTOMATON names, for LOGGED URLs at a time.
+FEW, AUTOMATON, LOGGED = 8, 50_000, 50_000
+
+
+def contained(names, log, width: int = 8, few: int = FEW, automaton: int = AUTOMATON, logged: int = LOGGED):
     """The distinct names (name) that are part of a logged URL (logged).
 
     Every name begins somewhere in the URL that holds it: its first `width` characters, all of a shorter one, meet the
-    runs of as many characters of the URLs in an equality join, and what meets is compared as a whole. The rows are in
-    proportion to the characters of the log, and nothing is broadcast unless Spark finds it small.
+    runs of as many characters of the URLs in an equality join. Where a start is that of few names, each is compared with
+    what meets it. The names of a common start become Aho-Corasick automata of a bounded size, and each URL goes through
+    each of them once, so that there are as many rows as URLs and finds, not as pairs. The rows are in proportion to the
+    characters of the log, and nothing is broadcast unless Spark finds it small.
     """
     names = names.select("name").where("name is not null").distinct().withColumn("start", F.substring("name", 1, width))
     log = log.select("logged").where("logged is not null").distinct()
@@ -280,7 +287,34 @@ def contained(names, log, width: int = 8):
     sizes = names.agg(F.collect_set(F.length("start"))).scalar()
     runs = F.expr("flatten(transform(sizes, n -> transform(sequence(1, greatest(length(logged) - n + 1, 1)), i -> substr(logged, i, n))))")
     grams = log.withColumn("sizes", sizes).where("size(sizes) > 0").select("logged", F.explode(F.array_distinct(runs)).alias("start"))
-    return names.join(grams, "start").where(F.col("logged").contains(F.col("name"))).select("name").distinct()
+    common = names.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") > few)
+    some = names.join(common.select("start"), "start", "left_anti").join(grams, "start").where(F.col("logged").contains(F.col("name"))).select("name")
+    # Blocks of names by blocks of URLs; a name is in each block of URLs once, and the other way round.
+    parts = common.select("start", F.ceil(F.col("n") / automaton).alias("name_parts"))
+    met = grams.join(parts, "start")
+    url_parts = met.groupBy("start").agg(F.ceil(F.count("*") / logged).alias("url_parts"))
+    both = parts.join(url_parts, "start")
+    own = lambda text, n: F.pmod(F.xxhash64(text), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = ["start", "name_part", "url_part"]
+    many = names.join(both, "start").select("start", "name", own("name", "name_parts").alias("name_part"), each("url_parts").alias("url_part"))
+    held = met.join(url_parts, "start").select("start", "logged", own("logged", "url_parts").alias("url_part"), each("name_parts").alias("name_part"))
+    return some.union(many.groupBy(*block).cogroup(held.groupBy(*block)).applyInArrow(_found, "name string")).distinct()
+
+
+def _found(names: pa.Table, urls: pa.Table) -> pa.Table:
+    """The names of a block that are part of one of its URLs."""
+    import ahocorasick
+
+    if not names.num_rows or not urls.num_rows:
+        return pa.table({"name": pa.array([], pa.string())})
+    machine, found = ahocorasick.Automaton(), set()
+    for name in names.column("name").to_pylist():
+        machine.add_word(name, name)
+    machine.make_automaton()
+    for url in urls.column("logged").to_pylist():
+        found.update(name for _, name in machine.iter(url))
+    return pa.table({"name": pa.array(sorted(found), pa.string())})
 
 
 @web(f"""SELECT page_id, (SELECT count(*) FROM {_LOGGED} l) = 0 OR {_NORMAL} IN (SELECT logged FROM {_LOGGED} l2)
