@@ -139,10 +139,6 @@ def test_manifests(spark):
 
 
 def test_more_documents(spark, tmp_path):
-    rows = spark.createDataFrame([("p", 1)], "page string, n int")
-    for _ in range(2):
-        files.append_metadata(rows, str(tmp_path / "meta"))
-    assert spark.read.json(str(tmp_path / "meta")).count() == 2
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, css string")
     new = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "d")], "id int, css string")
     files.write_changed(old, new, "id", "css", str(tmp_path / "css"))

@@ -159,3 +159,13 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT g.id, a.* FROM given g, LATERAL asset_refs(g.html) a").collect()] == [(1, "img", "x", 9, 10)]
     with pytest.raises(Exception, match="sitemap_rows takes a text, not int"):
         spark.sql("SELECT * FROM sitemap_rows(5)").collect()
+
+
+def test_entries_are_appended(spark, tmp_path):
+    from weftline.operators import folders
+
+    root = str(tmp_path / "out")
+    os.makedirs(root)
+    for rows in ([("a/metadata.json", 2, '{"i":"é"}'), ("a/metadata.json", 1, '{"i":1}'), ("b/metadata.json", 1, "{}")], [("a/metadata.json", 0, '{"i":3}'), ("c/metadata.json", 0, "[]")]):
+        folders.append_entries(spark.createDataFrame(rows, "path string, at int, entry string"), root)
+    assert {k: json.loads(v) for k, v in there(root).items()} == {"a/metadata.json": [{"i": 1}, {"i": "é"}, {"i": 3}], "b/metadata.json": [{}], "c/metadata.json": [[]]}

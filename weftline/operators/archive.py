@@ -336,19 +336,6 @@ def screenshot_path(spark, d):
                         F.octet_length(F.coalesce("image", F.lit(""))).cast("long").alias("size"), F.sha2("image", 256).alias("sha256"))
 
 
-@archive(f"""SELECT s.doc_id, s.path, '2024-01-30' AS day, s.page_dir, m.n AS page_shots FROM (SELECT doc_id, {_SHOWN} AS path, {_CLEAN} AS page_dir FROM {_SHOTS}) s
-  LEFT JOIN (SELECT {_CLEAN} AS page_dir, count(*) AS n FROM {_SHOTS} WHERE octet_length(encode(coalesce(image, ''))) > 500 GROUP BY 1) m ON s.page_dir = m.page_dir""")
-def list_screenshots(spark, d):
-    """Captures newest first, with the day of their folder and what the page's metadata document counts (captures over 500 bytes have an entry there)."""
-    shots = _from(spark, d, _SHOTS, "documents")
-    shots = shots.select("doc_id", shot_path(F.col("page"), F.col("taken"), F.col("width"), F.col("height")).alias("path"), F.octet_length(F.coalesce("image", F.lit(""))).alias("size"))
-    parent = lambda i: F.element_at(F.split("path", "/"), i)
-    day = F.when(F.regexp_count(parent(-2), F.lit("-")) == 2, parent(-2))
-    shots = shots.select("doc_id", "path", day.alias("day"), parent(-3).alias("page_dir"), "size")
-    metadata = shots.where("size > 500").groupBy("page_dir").agg(F.count("*").alias("n"))
-    return shots.join(metadata, "page_dir", "left").select("doc_id", "path", "day", "page_dir", F.col("n").alias("page_shots")).orderBy(F.desc("day"), "doc_id")
-
-
 # Names that are given out once.
 
 

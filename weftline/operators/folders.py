@@ -6,7 +6,6 @@ pages, a manifest what was fetched for 10 pages.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftline.functions import urls as U
-from weftline.operators.archive import _REFERRING, linked, localised
-from weftline.operators.web import _BY_URL, _DOMAIN, _FETCHED, _METHOD, _from, fetched
+from weftline.operators.archive import _CLEAN, _REFERRING, _SHOTS, _SHOWN, linked, localised, shot_path
+from weftline.operators.web import _FETCHED, _METHOD, _from, fetched
 from weftline.plans.twin import OUTCOMES, Registry, read
 from weftline.session import shared_dir
 from weftline.sources import archive as A
@@ -207,3 +206,38 @@ def download_manifest(spark, d):
     good, lost = F.when(F.col("ok"), F.col("url")), F.when(~F.col("ok"), F.col("url"))
     held = A.read(spark, to, "download").groupBy("file").agg(F.count_if("ok").alias("n_good"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.min(good).alias("first_url"), F.min(lost).alias("first_lost"))
     return A.read(spark, to, "manifest").join(held, "file", "left").withColumns({"n_good": F.coalesce("n_good", F.lit(0)), "bytes": F.coalesce("bytes", F.lit(0))})
+
+
+# Captures and their metadata.
+
+
+def append_entries(entries: DataFrame, to: str) -> None:
+    """Adds entries (path, at, entry: JSON) to the lists that lie below a folder at their paths, after what is there, in the order of `at`; lists that are not there begin.
+
+    Only lists that get something are read and written again, each as a whole when all tasks are done.
+    """
+    spark = entries.sparkSession
+    there = A.read(spark, to, "capture").join(entries.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    rows = there.select(F.col("file").alias("path"), F.lit(0).alias("new"), F.col("n").cast("long").alias("at"), "entry").union(entries.select("path", F.lit(1), F.col("at").cast("long"), "entry"))
+    kept = F.array_sort(F.collect_list(F.struct("new", "at", "entry")))
+    A.write(rows.groupBy("path").agg(F.concat(F.lit("["), F.array_join(kept["entry"], ","), F.lit("]")).alias("content")), to)
+
+
+@folders(f"""SELECT doc_id, {_SHOWN} AS path, '2024-01-30' AS day, {_CLEAN} AS page_dir, CASE WHEN n > 500 THEN n END AS size, CASE WHEN n > 500 THEN sha256(image) END AS sha256, CASE WHEN n > 500 THEN CASE WHEN width IS NULL THEN 'fullpage' ELSE width || 'x' || height END END AS viewport
+  FROM (SELECT *, CAST(octet_length(encode(coalesce(image, ''))) AS BIGINT) AS n FROM {_SHOTS}) s""")
+def list_screenshots(spark, d):
+    """Captures newest first, with the day of their folder and what the metadata documents of their pages say; those of 500 bytes or less have no entry. Entries come in two goes."""
+    shots = _from(spark, d, _SHOTS, "documents")
+    shots = shots.withColumns({"path": shot_path(F.col("page"), F.col("taken"), F.col("width"), F.col("height")), "size": F.octet_length(F.coalesce("image", F.lit(""))).cast("long")})
+    parent = lambda i: F.element_at(F.split("path", "/"), i)
+    day = F.when(F.regexp_count(parent(-2), F.lit("-")) == 2, parent(-2))
+    view = F.coalesce(F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")), F.lit("fullpage"))
+    entry = F.to_json(F.struct("doc_id", F.col("path").alias("filename"), "size", F.sha2("image", 256).alias("sha256"), view.alias("viewport")))
+    held = shots.where("size > 500").select(F.concat(parent(-3), F.lit("/"), F.expr("floor(doc_id / 200)"), F.lit(".metadata.json")).alias("path"), F.col("doc_id").alias("at"), entry.alias("entry"))
+    to = folder(spark)
+    first = held.where("at % 2 = 0")
+    A.write(first.groupBy("path").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("entry")), ","), F.lit("]")).alias("content")), to)
+    append_entries(held.where("at % 2 = 1"), to)
+    told = A.read(spark, to, "capture").select(F.from_json("entry", "doc_id long, size long, sha256 string, viewport string").alias("e")).select("e.*")
+    listed = shots.select("doc_id", "path", day.alias("day"), parent(-3).alias("page_dir")).join(told, "doc_id", "left")
+    return listed.select("doc_id", "path", "day", "page_dir", "size", "sha256", "viewport").orderBy(F.desc("day"), "doc_id")

@@ -29,6 +29,7 @@ KINDS = {
     "sitemap": (("*.xml", "*.rss", "*.xml.gz"), ", ".join(f"{name} string" for name in FIELDS)),
     "run": (("*experiment_*.json",), "timestamp string, total_experiments long, successful long, failed long"),
     "result": (("*experiment_*.json",), "n int, result string"),
+    "capture": (("*metadata.json",), "n int, entry string"),
     "manifest": (("*download_manifest.json",), "timestamp string, url string, success long, failed long, skipped long"),
     "download": (("*download_manifest.json",), "ok boolean, url string, local_path string, method string, size long, reason string"),
 }
@@ -50,6 +51,13 @@ def _run(content: bytes) -> list[tuple]:
     return [(told.get("timestamp", "unknown"), *(told.get(name, 0) for name in ("total_experiments", "successful", "failed")))]
 
 
+def _captures(content: bytes) -> list[tuple]:
+    told = json.loads(_text(content))
+    if not isinstance(told, list):
+        raise ValueError("the document is no list")
+    return [(n, json.dumps(x, ensure_ascii=False)) for n, x in enumerate(told)]
+
+
 def _manifest(content: bytes) -> list[tuple]:
     told = _document(content)
     return [(told.get("timestamp"), told.get("url"), *(told.get("statistics", {}).get(name, 0) for name in ("success", "failed", "skipped")))]
@@ -66,7 +74,8 @@ _ROWS = {
     "robots": lambda content: [(n, *x) for n, x in enumerate(directives(_text(content)))],
     "sitemap": lambda content: entries(_text(content)),
     "run": _run,
-    "result": lambda content: [(n, json.dumps(x)) for n, x in enumerate(_document(content).get("results", []))],
+    "result": lambda content: [(n, json.dumps(x, ensure_ascii=False)) for n, x in enumerate(_document(content).get("results", []))],
+    "capture": _captures,
     "manifest": _manifest,
     "download": _downloads,
 }

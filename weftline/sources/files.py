@@ -58,11 +58,6 @@ def manifests(fetched: DataFrame, project: str, timestamp: str) -> DataFrame:
     return fetched.groupBy(project).agg(F.to_json(body).alias("manifest"))
 
 
-def append_metadata(rows: DataFrame, folder: str) -> None:
-    """Adds rows to a folder of JSON lines; what is there stays."""
-    rows.write.mode("append").json(folder)
-
-
 def write_changed(old: DataFrame, new: DataFrame, key: str, text: str, path: str) -> None:
     """Writes the rows of new whose text differs from old's, or that old does not have, and no others."""
     before = old.select(F.col(key), F.col(text).alias("_before"), F.lit(True).alias("_there"))
