@@ -199,3 +199,35 @@ def test_cancelled(spark, tmp_path):
     assert control.Job(spark).run(lambda job: spark.range(5).count()) == 5
     with pytest.raises(ZeroDivisionError):
         control.Job(spark).run(lambda job: 1 / 0)
+
+
+def test_sinks_take_each_batch_once(spark, tmp_path):
+    """Jobs, metrics and messages of a stream equal those of the table, though a batch is run again and a first try of another broke off."""
+    from weftline.streaming import sinks
+
+    own = random.Random(8)
+    kinds = [k for some in sinks.EVENTS.values() for k in some]
+    assert len(kinds) == 18 and set(sinks.STATUS) <= set(kinds)
+    rows = [(own.randrange(9), T0 + timedelta(seconds=own.randrange(50)), i, own.choice(kinds)) for i in range(200)]
+    schema = "job long, at timestamp, n long, kind string"
+    stream = parts(spark, rows, schema, str(tmp_path / "in"), [50, 70, 80])
+    sink, tries = sinks.integrations(str(tmp_path / "out")), []
+
+    def shaky(batch, number):
+        tries.append(number)
+        sink(batch, number)
+        if tries.count(1) == 1 and number == 1:
+            raise RuntimeError("after writing, before the commit")
+
+    start = lambda: stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(shaky).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="after writing"):
+        start().awaitTermination()
+    start().awaitTermination()
+    assert tries == [0, 1, 1, 2]
+    table = spark.createDataFrame(rows, schema)
+    for name, made in (("jobs", sinks.jobs), ("metrics", sinks.metrics), ("webhooks", sinks.webhooks)):
+        assert sorted(map(tuple, sinks.left(spark, str(tmp_path / "out"), name).collect())) == sorted(map(tuple, made(table).collect())), name
+    last = {}
+    for job, at, n, kind in sorted(rows, key=lambda r: r[1:3]):
+        last[job] = sinks.STATUS.get(kind, last.get(job))
+    assert {r.job: r.status for r in sinks.left(spark, str(tmp_path / "out"), "jobs").collect()} == {k: v for k, v in last.items() if v}

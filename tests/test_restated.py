@@ -104,12 +104,13 @@ def test_jobs(rows, events):
     assert rows("last_errors") == [(u, i) for u in sorted(errors) for i in errors[u]]
     sessions = {}
     for u, x in by.items():
-        tries = captures = 0
+        tries, captures, lost = 0, 0, []
         for e in x:
-            if captures == 5:
+            if captures == 5 or (e.ts - x[0].ts).total_seconds() >= 10 * 86400:
                 break
             tries, captures = tries + 1, captures + good(e)
-        sessions[u] = (tries, captures)
+            lost += [] if good(e) else [str(captures + 1)]
+        sessions[u] = (tries, captures, tries - captures, pytest.approx(100 * captures / tries, abs=1e-3), ",".join(lost[-10:]))
     assert {r[0]: r[1:] for r in rows("monitor_sessions")} == sessions
     spans = {u: int(x[-1].ts.timestamp()) - int(x[0].ts.timestamp()) for u, x in by.items()}
     assert {r[0]: r[3] for r in rows("monitor_stats")} == spans

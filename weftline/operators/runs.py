@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
+from weftline.functions.feeds import sitemap_entries
 from weftline.plans.twin import Registry, read
 from weftline.streaming.jobs import STAGES, progress
 from weftline.streaming.logs import IDLE, LAPSE, frames
@@ -158,8 +159,31 @@ def monitor_stats(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), rate.alias("success_rate"), seconds.alias("duration"))
 
 
-_OK = "(SELECT user_id, event_id, event_type, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM events)"
-same("monitor_sessions", f"SELECT user_id, count(*) AS tries, count(CASE WHEN event_type <> 'error' THEN 1 END) AS captures FROM {_OK} e WHERE coalesce(done, 0) < 5 GROUP BY user_id", "A session ends with its fifth successful capture; failures do not count.")
+_SESSION = f"""(SELECT user_id, event_id, ts, event_type <> 'error' AS ok, coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,
+  min(ts) OVER (PARTITION BY user_id) AS began FROM events)"""
+
+
+@runs(f"""SELECT user_id, tries, captures, tries - captures AS failed, round(100e0 * captures / tries, 4) AS success_rate, array_to_string(e[greatest(len(e) - 9, 1):], ',') AS errors FROM (SELECT user_id, count(*) AS tries, count(*) FILTER (ok) AS captures,
+  coalesce(list(CAST(done + 1 AS BIGINT) ORDER BY ts, event_id) FILTER (NOT ok), []) AS e FROM {_SESSION} s WHERE done < 5 AND ts < began + INTERVAL 10 DAY GROUP BY user_id) t""")
+def monitor_sessions(spark, d):
+    """A session ends with its fifth successful capture or after ten days, whichever is first; failures do not count. errors has the numbers of the captures that the last ten failures were tries of."""
+    return monitored(read(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok")), "user_id", most=5, seconds=10 * 86400)
+
+
+def monitored(tries, key: str, most: int | None = None, seconds: int | None = None):
+    """(key, tries, captures, failed, success_rate, errors) of sessions of tries (key, ts, event_id, ok) that stop at `most` captures, or `seconds` after their first try."""
+    by = Window.partitionBy(key).orderBy("ts", "event_id")
+    rows = tries.withColumn("done", F.coalesce(F.count_if("ok").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("began", F.min("ts").over(Window.partitionBy(key)))
+    if most:
+        rows = rows.where(F.col("done") < most)
+    if seconds:
+        rows = rows.where(F.col("ts") < F.col("began") + F.make_dt_interval(secs=F.lit(seconds)))
+    lost = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("ts", "event_id", (F.col("done") + 1).cast("string").alias("number")))))
+    out = rows.groupBy(key).agg(F.count("*").alias("tries"), F.count_if("ok").alias("captures"), lost["number"].alias("e"))
+    last = F.slice("e", F.greatest(F.size("e") - 9, F.lit(1)), 10)
+    return out.select(key, "tries", "captures", (F.col("tries") - F.col("captures")).alias("failed"), F.round(100.0 * F.col("captures") / F.col("tries"), 4).alias("success_rate"), F.array_join(last, ",").alias("errors"))
+
+
 same("last_errors", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error') e WHERE r <= 10 ORDER BY user_id, ts, event_id", "The last ten errors of a job, oldest first.")
 @runs("SELECT event_id, 'data: ' || to_json({'type': event_type, 'job': user_id, 'message': event_type || ' \"' || user_id || '\"'}) || chr(10) || chr(10) AS frame FROM events")
 def sse_frames(spark, d):
@@ -263,18 +287,26 @@ def sitemap_candidates(spark, d):
     return read(spark, d, "pages").select(F.expr(_SITE).alias("site")).distinct().select("site", F.explode(F.array(*map(F.lit, CANDIDATES))).alias("c")).select(F.concat("site", "c").alias("candidate"))
 
 
-@runs("SELECT page_id, 'http://h/p' AS loc, concat('T', page_id) AS title, 'Mon' AS lastmod FROM pages")
+#: The titles of pages, as they stand in their markup.
+_HEADED = "(SELECT page_id, url, regexp_replace(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1), '&(amp|lt|gt|quot);', 'and') AS title FROM pages) headed"
+
+
+@runs("SELECT page_id, url AS loc, nullif(title, '') AS title, 'Mon' AS lastmod FROM " + _HEADED.replace("'and')", "'and', 'g')"))
 def parse_rss(spark, d):
-    xml = F.expr("concat('<rss><channel><item><title>T', page_id, '</title><link>http://h/p</link><pubDate>Mon</pubDate></item></channel></rss>')")
-    row = F.from_xml(xml, "channel struct<item:array<struct<link:string,title:string,pubDate:string>>>")
-    return read(spark, d, "pages").select("page_id", F.inline(row["channel"]["item"])).select("page_id", F.col("link").alias("loc"), "title", F.col("pubDate").alias("lastmod"))
+    """A feed of each page with its address and title."""
+    xml = F.expr("concat('<rss><channel><item><title>', title, '</title><link>', replace(url, '&', '&amp;'), '</link><pubDate>Mon</pubDate></item><item><title>no link</title></item></channel></rss>')")
+    return _headed(spark, d).select("page_id", F.inline(sitemap_entries(xml))).select("page_id", "loc", "title", "lastmod")
 
 
-@runs("SELECT page_id, 'http://h/a' AS loc, concat('A', page_id) AS title FROM pages")
+@runs("SELECT page_id, url AS loc, nullif(title, '') AS title FROM " + _HEADED.replace("'and')", "'and', 'g')"))
 def parse_atom(spark, d):
-    xml = F.expr("""concat('<feed><entry><title>A', page_id, '</title><link href="http://h/a"/><link href="http://h/b"/></entry></feed>')""")
-    row = F.from_xml(xml, "entry array<struct<title:string,link:array<struct<_href:string>>>>")
-    return read(spark, d, "pages").select("page_id", F.explode(row["entry"]).alias("e")).select("page_id", F.col("e.link")[0]["_href"].alias("loc"), F.col("e.title").alias("title"))
+    """The same in the other form; the first link of an entry counts."""
+    xml = F.expr("concat('<feed><entry><title>', title, '</title><link href=\"', replace(url, '&', '&amp;'), '\"/><link href=\"http://h/b\"/></entry></feed>')")
+    return _headed(spark, d).select("page_id", F.inline(sitemap_entries(xml))).select("page_id", "loc", "title")
+
+
+def _headed(spark, d):
+    return spark.sql("SELECT * FROM " + _HEADED.replace("FROM pages", "FROM {pages}"), pages=read(spark, d, "pages"))
 
 
 same(

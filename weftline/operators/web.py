@@ -476,11 +476,20 @@ def breadcrumbs(spark, d):
     return read(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", F.array_join(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", F.lit(1), i), "/")), " > ").alias("crumbs"))
 
 
-_SIZE = "(page_id * page_id * 7919 % 3000000000)"
+_BYTES = "octet_length(encode(html)) * (page_id * page_id * 7919 % 900001) * (page_id % 4)"
+_SCALE = "CASE WHEN n < 1024 THEN 1 WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END"
 
 
-@web(f"SELECT page_id, CASE WHEN {_SIZE} < 1024 THEN 'B' WHEN {_SIZE} < 1048576 THEN 'KB' WHEN {_SIZE} < 1073741824 THEN 'MB' ELSE 'GB' END AS unit, round(CAST({_SIZE} AS DOUBLE) / CASE WHEN {_SIZE} < 1024 THEN 1 WHEN {_SIZE} < 1048576 THEN 1024 WHEN {_SIZE} < 1073741824 THEN 1048576 ELSE 1073741824 END, 2) AS amount FROM pages")
+@web(f"""SELECT page_id, regexp_replace(CAST(floor(CAST(n AS DOUBLE) / {_SCALE} * 100 + 0.5) / 100 AS VARCHAR), '\\.0$', '') || CASE WHEN n < 1024 THEN ' B' WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END AS size
+  FROM (SELECT page_id, CAST({_BYTES} AS BIGINT) AS n FROM pages) t""")
 def human_size(spark, d):
-    size = F.expr(_SIZE)
-    k = F.when(size < 1024, 0).when(size < 2**20, 1).when(size < 2**30, 2).otherwise(3)
-    return read(spark, d, "pages").select("page_id", F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), k + 1).alias("unit"), F.round(size.cast("double") / F.pow(F.lit(1024), k), 2).alias("amount"))
+    """Bytes as text, as 1.5 KB."""
+    n = F.octet_length("html").cast("long") * F.expr("(page_id * page_id * 7919 % 900001) * (page_id % 4)")
+    return read(spark, d, "pages").select("page_id", size_text(n).alias("size"))
+
+
+def size_text(n):
+    """A number of bytes in the largest of B, KB, MB and GB that it reaches, to two places, halves up."""
+    k = F.when(n < 1024, 0).when(n < 2**20, 1).when(n < 2**30, 2).otherwise(3)
+    amount = F.floor(n.cast("double") / F.pow(F.lit(1024), k) * 100 + 0.5) / 100
+    return F.concat(F.regexp_replace(amount.cast("string"), r"\.0$", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), k + 1))
