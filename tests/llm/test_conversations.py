@@ -149,3 +149,8 @@ def test_replay_query(spark):
 
 def test_chat_query(spark):
     assert compared(spark, connected(SF), "op12", QUERIES["op12_chat_formatting"], ORACLE_SQL["op12_chat_formatting"], SF) is None
+
+
+@pytest.mark.parametrize("name", ["op3_sharding", "op13_quarantine_release"])
+def test_queries_with_checksums(spark, name):
+    assert compared(spark, connected(SF), name, QUERIES[name], ORACLE_SQL[name], SF) is None

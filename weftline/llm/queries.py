@@ -177,6 +177,57 @@ def op13_quarantine_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed(table(spark, sf_dir, "conversations"))
 
 
+#: CRC-32 for DuckDB, which has none: the table of 256 remainders, and a fold of a text's bytes over it.
+_REMAINDERS = "CAST(range(256) AS BIGINT[])"
+for _ in range(8):
+    _REMAINDERS = f"list_transform({_REMAINDERS}, lambda x: CASE WHEN x % 2 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)"
+_REMAINDERS = f"crc_table AS (SELECT {_REMAINDERS} AS remainders)"
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text as UTF-8; crc_table has to be among the tables."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    ones = "CAST(4294967295 AS BIGINT)"
+    return f"xor(list_reduce({data}, lambda a, b: xor(a >> 8, remainders[xor(a & 255, b) + 1]), {ones}), {ones})"
+
+
+ORACLE_SQL["op3_sharding"] = f"""
+WITH {_REMAINDERS}, sized AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM sized
+), dealt AS (SELECT *, CAST(((2 * start + size) * 16) // (2 * total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+"""
+
+_WAITS = (0, 20, 60, 140, 300, 620)
+_DELIVERS = "CASE WHEN NOT faulty THEN 1 " + " ".join(f"WHEN start + {wait} >= repair AND h[{a + 3}] % 3 <> 0 THEN {a}" for a, wait in enumerate(_WAITS, 1)) + " END"
+ORACLE_SQL["op13_quarantine_release"] = f"""
+WITH RECURSIVE {_REMAINDERS}, numbered AS (
+  SELECT conv_id, turn, crc, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, crc) - 1 AS p
+  FROM (SELECT conv_id, turn, role, {_crc32("coalesce(text, '')")} AS crc FROM conversations, crc_table) c
+), asked AS (
+  SELECT conv_id, turn, crc, p, k, {_crc32("k || ':' || coalesce(CAST(conv_id AS VARCHAR), '') || ':' || coalesce(CAST(turn AS VARCHAR), '')")} AS h FROM (SELECT *, unnest(range(9)) AS k FROM numbered) a, crc_table
+), drawn AS (
+  SELECT conv_id, turn, crc, p, h, CASE WHEN h[1] % 5 BETWEEN 1 AND p THEN h[1] % 5 END AS back, h[2] % 101 < 50 AS faulty, 7 * p + h[3] % 101 AS repair
+  FROM (SELECT conv_id, p, any_value(turn) AS turn, any_value(crc) AS crc, list(h ORDER BY k) AS h FROM asked GROUP BY conv_id, p) d
+), replayed AS (
+  SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS p, CAST(NULL AS INTEGER) AS turn, CAST(0 AS BIGINT) AS crc, '' AS status, 0 AS attempts, CAST(NULL AS BIGINT) AS first_at, CAST(NULL AS BIGINT) AS last_at, ['', '', '', ''] AS statuses, CAST([0, 0, 0, 0] AS BIGINT[]) AS lasts FROM numbered
+  UNION ALL
+  SELECT conv_id, p, turn, crc, status, attempts, first_at, last_at, list_prepend(status, statuses[1:3]), list_prepend(last_at, lasts[1:3]) FROM (
+    SELECT *, CASE WHEN blocked THEN 'blocked' WHEN nth IS NULL THEN 'dead' ELSE 'delivered' END AS status, CAST(CASE WHEN blocked THEN 0 ELSE coalesce(nth, 6) END AS INTEGER) AS attempts,
+           CASE WHEN NOT blocked THEN start END AS first_at, CASE WHEN NOT blocked THEN start + [{", ".join(map(str, _WAITS))}][coalesce(nth, 6)] END AS last_at FROM (
+      SELECT *, {_DELIVERS} AS nth FROM (
+        SELECT d.*, r.statuses, r.lasts, back IS NOT NULL AND r.statuses[back] <> 'delivered' AS blocked, greatest(7 * d.p, coalesce(r.lasts[back], 0)) AS start
+        FROM replayed r JOIN drawn d ON d.conv_id IS NOT DISTINCT FROM r.conv_id AND d.p = r.p + 1) s) n) o
+), released AS (
+  SELECT conv_id, p, row_number() OVER w AS release_no, crc, last_at, turn FROM replayed WHERE status = 'delivered' WINDOW w AS (PARTITION BY conv_id ORDER BY last_at, turn NULLS FIRST, p)
+), summed AS (SELECT conv_id, p, release_no, CAST(sum(release_no * crc) OVER (PARTITION BY conv_id ORDER BY release_no) AS BIGINT) AS state FROM released)
+SELECT t.conv_id, t.turn, t.status, t.attempts, t.first_at, t.last_at, s.release_no, s.state
+FROM replayed t LEFT JOIN summed s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.p = t.p WHERE t.p >= 0
+"""
+
+
 def _lower(text: str) -> str:
     return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
