@@ -360,6 +360,25 @@ def test_wrapped_licenses(spark):
     assert found == {i: (name, 0, text.count("\n") + 1) for i, ((name, _), text) in enumerate(zip([("MPL-2.0", ""), *licenses.TEMPLATES, *licenses.TEMPLATES], texts, strict=True))}
 
 
+#: Wordings of real files, with what they name.
+REAL = [
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("# SPDX-License-Identifier: MIT", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("MIT License\n\nCopyright (c) 2020 Some One", "MIT"),
+    ("This project is under the MIT license.", "MIT"), ("Licensed under the GNU GPL v3", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("                                 Apache License\n                           Version 2.0, January 2004", "Apache-2.0"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "MIT OR Apache-2.0"), ("Distributed under the BSD 3-Clause license; see LICENSE.", "BSD-3-Clause"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright\nnotice and this permission notice appear in all copies.", "ISC"),
+]
+
+
+@pytest.mark.parametrize(("text", "name"), REAL)
+def test_real_wordings(text, name):
+    assert [x[2] for x in licenses.scan(f"{prose(30)}\n{text}\n{prose(30)}")] == [name]
+
+
+def test_no_license():
+    for text in ("my driving license", "under license from the mayor", "a GPL of sorts", "the apache helicopter", "version 3 of the text", "MIT researchers", "license MIT", "SPDX-License-Identifier: Proprietary"):
+        assert licenses.scan(text) == [], text
+
+
 def test_changed_licenses():
     """Every change within the allowed difference is found, wherever it strikes."""
     for name, notice in licenses.TEMPLATES:

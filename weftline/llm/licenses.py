@@ -51,16 +51,36 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal Public Domain Dedication."),
+    # References in a sentence.
+    *((name, f"under the {said} license") for name, said in (("MIT", "MIT"), ("Apache-2.0", "Apache"), ("Apache-2.0", "Apache 2.0"), ("BSD-3-Clause", "BSD 3-Clause"), ("BSD-2-Clause", "BSD 2-Clause"), ("ISC", "ISC"), ("MPL-2.0", "Mozilla Public"))),
+    *((f"{kind}-{n}.0", f"licensed under the GNU {kind} v{n}") for kind, n in (("GPL", 2), ("GPL", 3), ("LGPL", 3), ("AGPL", 3))),
+    ("MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    # Titles of whole texts, and the beginnings of what they grant.
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    # Identifiers as https://spdx.org/licenses lists them.
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")),
+    *((f"{name}.0", f"SPDX-License-Identifier: {name}.0{end}") for name in ("GPL-2", "GPL-3", "LGPL-3", "AGPL-3") for end in ("", "-only", "-or-later")),
     ("All rights reserved", "Copyright. All rights reserved."),
     ("All rights reserved", "All rights reserved."),
 )
 
 #: Every notice, also one within the allowed difference, has one of these words; see anchors().
-TELLING_WORDS = ("license", "permission", "hereby", "granted", "documentation", "apache", "gnu", "redistribution", "binary", "modification", "permitted", "mozilla", "domain", "cc", "cc0", "reserved")
+TELLING_WORDS = ("license", "spdx-license-identifier", "permission", "fee", "hereby", "granted", "documentation", "apache", "gnu", "redistribution", "binary", "modification", "permitted", "mozilla", "domain", "cc", "cc0", "reserved")
 TELLING = re.compile(rf"(?i)(?<![a-z0-9])(?:{'|'.join(TELLING_WORDS)})(?![a-z0-9])")
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words that tell licenses apart: changing one names another license.
-_NAMES = re.compile(r"^(?:mit|apache|gnu|lesser|affero|bsd|mozilla|isc|cc0?|by(?:-[a-z]+)*|[0-9][0-9a-z.-]*|version|v|domain)$")
+_NAMES = re.compile(r"^(?:(?:mit|apache|gnu|[al]?gpl|bsd|mozilla|mpl|isc|cc0?|unlicense)(?:-[0-9a-z.-]+)?|lesser|affero|by(?:-[a-z]+)*|v?[0-9][0-9a-z.-]*|version|v|domain)$")
 
 
 def words(text: str) -> list[str]:
