@@ -223,6 +223,40 @@ def test_common_phrases_of_a_part(spark, most):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == plain_spans(rows, 50)
 
 
+def test_runs_of_a_short_period_are_few_phrases(spark):
+    """Dashes, tables and one letter, alone, between words, cut short and in several documents; a run is as few phrases as its period has bytes."""
+    runs = ["-" * 3_000, "| " * 900, "A" * 260 + "B" + "A" * 260, "ab-" * 300 + "x" + "ab-" * 20, "=" * 60]
+    rows = [(i, prose(i % 4) + r[: len(r) - 7 * i] + prose(i % 3)) for i, r in enumerate(runs * 4)] + [(90, "-" * 49), (91, "-" * 50), (92, "x" + "-" * 51 + "y")]
+    found = repeats.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk=2_000).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == plain_spans(rows, 50)
+    for text, period in (("-" * 100_000, 1), ("| " * 50_000, 2), ("abc-" * 20_000, 4)):
+        data, ends = repeats.np.frombuffer(text.encode(), dtype=repeats.np.uint8), repeats.np.array([len(text)])
+        keys = repeats.np.unique(repeats.parse(data, ends, 50)[2])
+        keys = repeats.np.unique(keys.astype(repeats.np.uint32).astype(repeats.np.uint64))
+        zero = repeats.np.zeros(1, dtype=repeats.np.int64)
+        sent = sum(b.column(1).to_pylist()[0] for b in repeats._emit(data, ends, zero + 5, zero, zero, keys, 50, 1, 76, repeats.Common(76, 100)) if b.column(0)[0].as_py() >= 0)
+        assert sent <= period + 4, (text[:4], sent)
+
+
+def test_rows_that_share_an_id(spark):
+    """Each loses what its own text has of smaller ids, none what the other has."""
+    a, b = prose(30), prose(30)
+    rows = [(1, a), (1, b + " " + a[:80]), (2, a), (2, "short"), (2, b + prose(9)), (3, a[:60] + "#" + b[:70]), (3, a[:60] + "#" + b[:70]), (None, a)]
+    found = repeats.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in found)
+    whole = {i: [t for j, t in rows if j == i] for i in (1, 2, 3)}
+    expected = [(0, len(a), 0)]
+    for i, own in whole.items():
+        earlier = {t.encode()[p : p + 50] for j in whole if j < i for t in whole[j] for p in range(len(t.encode()) - 49)}
+        for t in own:
+            data, gone = t.encode(), set()
+            for p in range(len(data) - 49):
+                if data[p : p + 50] in earlier:
+                    gone |= set(range(p, p + 50))
+            expected.append((i, len(data), len(gone)))
+    assert got == sorted(expected) and any(x[2] for x in got)
+
+
 def test_long_texts_are_parsed_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 300)
     rows = [(1, prose(200)), (2, prose(50) + prose(10))]

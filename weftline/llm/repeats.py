@@ -8,7 +8,8 @@ the tail included that belongs to the next phrases of the parse, so no order bey
 1. Triggers are counted, as short hashes in blobs for each part of the input and bucket; those that occur once in the
    whole corpus cannot be in a repeated string, and nothing more is done about them. A part sends a trigger once.
 2. Phrases whose triggers recur go to the bucket of the trigger. Equal phrases are one entry of the dictionary, owned by
-   the least document that has it; in all later documents they are removed whole. A part keeps the phrases that its documents
+   the least document that has it; in all later documents they are removed whole. Equal phrases that follow each other in a
+   document within `span` bytes, as in a run of one byte, are sent as one. A part keeps the phrases that its documents
    share and sends them for documents before the least it has seen only, so a phrase that all have does not fill a bucket.
 3. The suffixes of the dictionary of a bucket, `span` bytes deep, are sorted; each run of equal ones belongs to its least
    document, and owners of larger id lose it.
@@ -184,7 +185,7 @@ def _recurring(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _phrases(span: int, buckets: int, chunk: int, most: int):
-    """Reads, for each part, its recurring triggers and then its texts; gives phrases for the buckets and ranges that are settled here."""
+    """Reads, for each part, its recurring triggers and then its texts with their hashes; gives phrases for the buckets and ranges that are settled here."""
     width = 2 * span - GRAM  # bytes of the longest phrase
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def _phrases(span: int, buckets: int, chunk: int, most: int):
                     part, again, copies, keys, common = p, [], set(), np.zeros(0, dtype=np.uint64), Common(width, most)
                 some = batch.slice(lo, hi - lo)
                 kind = some.column(1).to_numpy()
-                copies.update(some.column(2).to_numpy()[kind == -1].tolist())
+                copies.update(zip(*(some.column(i).to_numpy()[kind == -1].tolist() for i in (2, 5)), strict=True))
                 for i in np.flatnonzero(kind == 0).tolist():
                     again.append(np.uint64(some.column(2)[i].as_py()) << U64(32) | np.frombuffer(some.column(3)[i].as_py(), dtype=np.uint32))
                 texts = some.filter(pa.array(kind == 1))
@@ -207,10 +208,10 @@ def _phrases(span: int, buckets: int, chunk: int, most: int):
                     keys, again = np.unique(np.concatenate(again)), []
                 text = pa.record_batch([texts.column(2), texts.column(4)], names=["id", "text"])
                 for piece, a, b in batches(iter([text]), chunk):
-                    doc = piece.column(0).slice(a, b - a).to_numpy()
-                    lines = [None if d in copies else t for t, d in zip(piece.column(1).slice(a, b - a).to_pylist(), doc.tolist(), strict=True)]
+                    doc, mark = (texts.column(i).slice(a, b - a).to_numpy() for i in (2, 5))
+                    lines = [None if (d, m) in copies else t for t, d, m in zip(piece.column(1).slice(a, b - a).to_pylist(), doc.tolist(), mark.tolist(), strict=True)]
                     for data, ends, owner, offset in _laid(lines, span, chunk) if len(keys) else ():
-                        yield from _emit(data, ends, doc[owner], offset, keys, span, buckets, width, common)
+                        yield from _emit(data, ends, doc[owner], mark[owner], offset, keys, span, buckets, width, common)
 
     return run
 
@@ -255,18 +256,18 @@ class Common:
         return out
 
 
-def _emit(data, ends, doc, offset, keys, span, buckets, width, common) -> Iterator[pa.RecordBatch]:
+def _emit(data, ends, doc, mark, offset, keys, span, buckets, width, common) -> Iterator[pa.RecordBatch]:
     start, strings, trigger = parse(data, ends, span)
     bucket, short = _short(trigger, buckets)
     key = bucket.astype(np.uint64) << U64(32) | short
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
     hit = keys[at] == key
-    start, strings, bucket = start[hit], strings[hit], bucket[hit]
+    start, strings, bucket, key = start[hit], strings[hit], bucket[hit], key[hit]
     if not len(start):
         return
     text = np.searchsorted(ends, start, side="right")
     place = start - np.concatenate([[0], ends[:-1]])[text] + offset[text]
-    own = doc[text]
+    own, row = doc[text], mark[text]
     padded = np.concatenate([data, np.zeros(width, dtype=np.uint8)])
     body = sliding_window_view(padded, width)[start]
     body[np.arange(width) >= (strings + span - 1)[:, None]] = 0
@@ -276,25 +277,44 @@ def _emit(data, ends, doc, offset, keys, span, buckets, width, common) -> Iterat
     settled[left[again]] = True
     common.learn(body[left[shared]], strings[left[shared]], own[left[shared]])
     if settled.any():
-        d, a, b = own[settled], place[settled], place[settled] + strings[settled] + span - 1
+        d, r, a, b = own[settled], row[settled], place[settled], place[settled] + strings[settled] + span - 1
         new = np.ones(len(d), dtype=bool)  # phrases in a row make one range; their starts and ends go up together
-        new[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])
+        new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])
         first = np.flatnonzero(new)
-        yield _ranges(d[first], a[first], b[np.append(first[1:], len(d)) - 1])
-    keep = np.flatnonzero(~settled)
-    order = keep[np.argsort(bucket[keep], kind="stable")]
+        yield _ranges(d[first], r[first], a[first], b[np.append(first[1:], len(d)) - 1])
+    keep, reach = _collapsed(np.flatnonzero(~settled), key, own, row, place, strings, body, span)
+    by_bucket = np.argsort(bucket[keep], kind="stable")
+    order, reach = keep[by_bucket], reach[by_bucket]
     for b, lo, hi in zip(*(x.tolist() for x in _runs(bucket[order])), strict=True):
         i = order[lo:hi]
-        blob = own[i].astype(np.int64).tobytes() + place[i].astype(np.int64).tobytes() + strings[i].astype(np.int64).tobytes() + body[i].tobytes()
-        yield pa.record_batch([pa.array([b]), pa.array([len(i)]), pa.array([0]), pa.array([0]), pa.array([blob])], names=_PHRASE)
+        blob = b"".join(x.astype(np.int64).tobytes() for x in (own[i], row[i], place[i], reach[lo:hi], strings[i])) + body[i].tobytes()
+        yield pa.record_batch([pa.array([b]), pa.array([len(i)]), pa.array([0]), pa.array([0]), pa.array([0]), pa.array([blob])], names=_PHRASE)
 
 
-_PHRASE = ["bucket", "id", "start", "stop", "blob"]
+def _collapsed(keep, key, own, row, place, strings, body, span) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases with those of equal ones in a document that begin at most `span` bytes after each other as one, and how far the last begins behind the first.
+
+    What is removed from one of them is removed from all, and without gaps between; so a long run of one byte, or of a
+    short period, is as few phrases as its period has bytes.
+    """
+    order = keep[np.argsort(key[keep] ^ mixed(row[keep].view(np.uint64)), kind="stable")]
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero((key[a] == key[b]) & (own[a] == own[b]) & (row[a] == row[b]) & (strings[a] == strings[b]) & (place[b] > place[a]) & (place[b] - place[a] <= span))
+    first = np.ones(len(order), dtype=bool)
+    first[near[(body[a[near]] == body[b[near]]).all(axis=1)] + 1] = False
+    heads = np.flatnonzero(first)
+    lasts = np.append(heads[1:], len(order)) - 1 if len(order) else heads
+    found = order[heads]
+    back = np.argsort(found, kind="stable")
+    return found[back], (place[order[lasts]] - place[found])[back]
+
+
+_PHRASE = ["bucket", "id", "mark", "start", "stop", "blob"]
 
 
-def _ranges(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+def _ranges(doc: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
-    return pa.record_batch([pa.array(np.full(n, -1)), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)), pa.array([None] * n, pa.binary())], names=_PHRASE)
+    return pa.record_batch([pa.array(np.full(n, -1)), *(pa.array(x.astype(np.int64)) for x in (doc, row, start, stop)), pa.array([None] * n, pa.binary())], names=_PHRASE)
 
 
 def _words(body: np.ndarray) -> list[np.ndarray]:
@@ -332,20 +352,18 @@ def _dictionary(span: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _groups(rows):
-            docs, places, counts, bodies = [], [], [], []
-            for row in blobs:
-                n, x = row["id"], row["blob"]
-                docs.append(np.frombuffer(x, dtype=np.int64, count=n))
-                places.append(np.frombuffer(x, dtype=np.int64, count=n, offset=8 * n))
-                counts.append(np.frombuffer(x, dtype=np.int64, count=n, offset=16 * n))
-                bodies.append(np.frombuffer(x, dtype=np.uint8, offset=24 * n).reshape(n, width))
-            doc, place, strings, body = np.concatenate(docs), np.concatenate(places), np.concatenate(counts), np.vstack(bodies)
-            del blobs, docs, places, counts, bodies
-            order, new, least = _sorted_classes([*_words(body), strings.astype(np.uint64)], doc)
-            doc, place, strings, body = doc[order], place[order], strings[order], body[order]
+            fields, bodies = [], []
+            for blob in blobs:
+                n, x = blob["id"], blob["blob"]
+                fields.append(np.frombuffer(x, dtype=np.int64, count=5 * n).reshape(5, n))
+                bodies.append(np.frombuffer(x, dtype=np.uint8, offset=40 * n).reshape(n, width))
+            whole, body = np.hstack(fields), np.vstack(bodies)
+            del blobs, fields, bodies
+            order, new, least = _sorted_classes([*_words(body), whole[4].astype(np.uint64)], whole[0])
+            (doc, row, place, reach, strings), body = whole[:, order], body[order]
             later = doc > least
             if later.any():
-                yield _ranges(doc[later], place[later], place[later] + strings[later] + span - 1)
+                yield _ranges(doc[later], row[later], place[later], place[later] + reach[later] + strings[later] + span - 1)
             entry = np.flatnonzero(new)
             lost = _suffixes(body[entry], strings[entry], doc[entry], span)
             # An owner loses the strings of its phrase that a smaller document has in another phrase, wherever it has the phrase.
@@ -357,7 +375,7 @@ def _dictionary(span: int):
             j = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(times) else np.zeros(0, dtype=np.int64)
             if len(i):
                 at = place[i] + lost[j, 1]
-                yield _ranges(doc[i], at, at + lost[j, 2] + span)
+                yield _ranges(doc[i], row[i], at, at + reach[i] + lost[j, 2] + span)
 
     return run
 
@@ -395,10 +413,10 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges ranges, which come before their document, and takes them out of its text."""
     now, runs = None, []
     for batch in rows:
-        ids, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        start, stop, copy = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        ids, mark, kind = (batch.column(i).to_pylist() for i in (0, 1, 2))
+        start, stop, copy = (batch.column(i).to_pylist() for i in (3, 4, 5))
         out = []
-        for i, doc in enumerate(ids):
+        for i, doc in enumerate(zip(ids, mark, strict=True)):
             if doc != now:
                 now, runs = doc, []
             if kind[i] == 0:
@@ -407,14 +425,14 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     runs.append([start[i], stop[i]])
                 continue
-            data = (batch.column(5)[i].as_py() or "").encode("utf-8", "surrogatepass")
+            data = (batch.column(6)[i].as_py() or "").encode("utf-8", "surrogatepass")
             gone = [[0, len(data)]] if copy[i] else runs
             kept, at = hashlib.sha256(), 0
             for a, b in gone:
                 kept.update(data[at:a])
                 at = b
             kept.update(data[at:])
-            out.append((doc, len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), [x for r in gone for x in r]))
+            out.append((doc[0], len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), [x for r in gone for x in r]))
         if out:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
@@ -425,8 +443,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes. Each byte is removed that is covered by a string of `span` bytes that also starts in a
     document of smaller id; `removed` has the removed runs [from, to), flattened. Null and empty texts have no bytes.
-    Rows with one id are one document's: none removes from another, though what a run removes is said for each of
-    them, so ids should be unique. Rows with a null id take no part and lose nothing. `span` is more than 24. Other
+    Rows with one id are one document's: none removes from another, and each loses what its own text has of smaller ids.
+    Rows with a null id take no part and lose nothing. `span` is more than 24. Other
     columns are not looked at. `chunk` bytes are parsed together; a part remembers `common` phrases; neither changes the result.
     """
     if span <= GRAM:
@@ -440,7 +458,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     prints = stored(known.select("id", "part", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").cast("long").alias("size")), "prints")
     least = prints.groupBy("h", "g", "size").agg(F.min("id").alias("owner"))
-    copies = stored(prints.where(F.col("size") >= span).join(least, ["h", "g", "size"]).where("id > owner").select("id", "part").distinct(), "copies")
+    copies = stored(prints.where(F.col("size") >= span).join(least, ["h", "g", "size"]).where("id > owner").select("id", F.col("h").alias("mark"), "part").distinct(), "copies")
     total, parts = prints.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
     buckets = max(1, int(2 * total / (span - GRAM + 2)) // BUCKET_TRIGGERS)
 
@@ -448,18 +466,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = known.select("id", "text", "part").mapInArrow(_count_triggers(span, buckets), "bucket long, part long, once binary, more binary")
     again = counted.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_recurring, "part long, bucket long, again binary")
     none, blob = F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("again")
-    marks = again.select("part", F.lit(0).alias("kind"), F.col("bucket").alias("x"), "again", none)
-    marks = marks.union(copies.select("part", F.lit(-1), F.col("id"), blob, none))
-    body = known.select("part", F.lit(1).alias("kind"), F.col("id").alias("x"), blob, "text")
+    marks = again.select("part", F.lit(0).alias("kind"), F.col("bucket").alias("x"), "again", none, F.lit(0).cast("long").alias("mark"))
+    marks = marks.union(copies.select("part", F.lit(-1), F.col("id"), blob, none, "mark"))
+    body = known.select("part", F.lit(1).alias("kind"), F.col("id").alias("x"), blob, "text", F.xxhash64("text").alias("mark"))
     dealt = marks.unionByName(body).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "kind")
-    phrases = stored(dealt.mapInArrow(_phrases(span, buckets, min(chunk, CHUNK), common), "bucket long, id long, start long, stop long, blob binary"), "phrases")
+    phrases = stored(dealt.mapInArrow(_phrases(span, buckets, min(chunk, CHUNK), common), "bucket long, id long, mark long, start long, stop long, blob binary"), "phrases")
     more = phrases.where("bucket >= 0").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    more = more.mapInArrow(_dictionary(span), "bucket long, id long, start long, stop long, blob binary")
-    ranges = stored(phrases.where("bucket < 0").union(more).select("id", "start", "stop"), "ranges")
+    more = more.mapInArrow(_dictionary(span), "bucket long, id long, mark long, start long, stop long, blob binary")
+    ranges = stored(phrases.where("bucket < 0").union(more).select("id", "mark", "start", "stop"), "ranges")
     dropped(prints, phrases)
 
-    marked = copies.select("id").distinct().withColumn("copy", F.lit(True))
-    rows = texts.select("id", "text").join(marked, "id", "left").select("id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.coalesce("copy", F.lit(False)).alias("copy"), "text")
-    cuts = ranges.select("id", F.lit(0).alias("kind"), "start", "stop", F.lit(False).alias("copy"), F.lit(None).cast("string").alias("text"))
-    done = cuts.unionByName(rows).repartition(n, "id").sortWithinPartitions("id", "kind", "start")
+    # A copy is one by its id and its text: other rows of the id keep theirs.
+    marked = copies.select("id", "mark").distinct().withColumn("copy", F.lit(True))
+    given = texts.select("id", "text", F.xxhash64("text").alias("mark"))
+    rows = given.join(marked, ["id", "mark"], "left").select("id", "mark", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    cuts = ranges.select("id", "mark", F.lit(0).alias("kind"), "start", "stop", F.lit(False).alias("copy"), F.lit(None).cast("string").alias("text"))
+    done = cuts.unionByName(rows).repartition(n, "id", "mark").sortWithinPartitions("id", "mark", "kind", "start")
     return done.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").withColumnRenamed("id", id_col)

@@ -8,8 +8,8 @@ next block is the same are scored against it in one product.
 
 The queries go out in lots of a fixed size, as a broadcast, so no vector is shuffled to meet another and a lot costs one
 reading of the vectors. A lot first meets the queries themselves, which are rows as well; the k-th score found there
-goes along to all other ranges, where most blocks then end before they are scored and only rows that can still count
-come out. Scores are exact: floats are used only where all sums stay below 2^53, and Python's integers beyond 2^62.
+goes along to all other ranges, where blocks below it are not scored and only rows that can still count come out; how many
+blocks that spares hangs on the vectors (of evenly spread ones, none). Scores are exact: floats are used only where all sums stay below 2^53, and Python's integers beyond 2^62.
 """
 
 from __future__ import annotations
