@@ -29,6 +29,7 @@ _PROBED = """(SELECT page_id, url, concat(html, CASE WHEN page_id % 2 = 0 THEN '
   CASE WHEN page_id % 7 = 0 THEN 200 ELSE 404 END AS rest_status, CASE WHEN page_id % 14 = 0 THEN '{"routes":{}}' WHEN page_id % 14 = 7 THEN '{"name":"x"}' END AS rest_body,
   CASE page_id % 11 WHEN 0 THEN 403 WHEN 1 THEN 404 ELSE NULL END AS login_status, CASE page_id % 11 WHEN 0 THEN 200 WHEN 1 THEN 302 ELSE 500 END AS admin_status,
   CASE page_id % 11 WHEN 2 THEN 200 ELSE 301 END AS xmlrpc_status FROM pages) probed"""
+#: Patterns of the platform's signs.
 _GENERATOR = """<meta[^>]+name=["']generator["'][^>]+content=["']WordPress[^"']*["']"""
 _PLUGIN = """/wp-content/plugins/([^/'"]+)"""
 _THEME = """/wp-content/themes/([^/'"]+)"""
@@ -100,7 +101,7 @@ def site_statistics(spark, d):
   || chr(10) || '  Tags: ' || tags_count || chr(10) || '  Authors: ' || authors_count || chr(10) || '  Media: ' || media_count || chr(10) || '  Other: ' || other_count
   ELSE '✗ Not a WordPress site (confidence: ' || CAST(round(confidence * 100) AS INTEGER) || '%)' || chr(10) || 'Total URLs Found: ' || total_urls END AS summary FROM ({_SITES}) t""")
 def analysis_summary(spark, d):
-    """The statistics of a site as text."""
+    """The statistics of a site as text. Its words and signs."""
     share = F.round(F.col("confidence") * 100).cast("int").cast("string")
     version = F.when(F.col("version") != "", F.concat(F.lit("  Version: "), F.col("version")))
     yes = F.concat_ws("\n", F.concat(F.lit("✓ WordPress Site Detected ("), share, F.lit("% confidence)")), version, F.lit(""), F.concat(F.lit("Total URLs Found: "), "total_urls"), F.lit(""), F.lit("Content Breakdown:"),
@@ -167,6 +168,7 @@ def sitemap_bfs(spark, d):
 #: Links to sitemaps in every form of address; made up.
 _LINKS = """(SELECT page_id, url, concat('<link rel="sitemap" type="x" href="/s', page_id, '.xml"><link href=''/t.xml'' rel=''sitemap''><link rel="icon" href="/i.ico"><link rel="sitemap" href="https://other.example.org/m.xml">',
   '<link href="//cdn.example.net/c.xml" rel="sitemap"><link rel="sitemap" href="r.xml">') AS h FROM (SELECT page_id, concat(regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1), '/') AS url FROM pages) p) links"""
+#: Patterns of links to sitemaps.
 _FORMS = ("(?i)<link[^>]*rel=[\"']sitemap[\"'][^>]*href=[\"']([^\"']+)[\"']", "(?i)<link[^>]*href=[\"']([^\"']+)[\"'][^>]*rel=[\"']sitemap[\"']")
 
 

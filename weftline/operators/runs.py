@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import urls as U
 from weftline.functions.feeds import sitemap_entries
 from weftline.plans.twin import Registry, read
-from weftline.streaming.jobs import STAGES, progress
+from weftline.streaming.jobs import STAGES, job_states, progress
 from weftline.streaming.logs import IDLE, LAPSE, frames
 from weftline.streaming.pairing import LIMIT, paired
 
@@ -41,7 +41,7 @@ def same(name: str, sql: str, doc: str = "") -> None:
 
 _AVG = "coalesce(round(avg({0}), 4), 0.0)"
 same("latest_run", f"SELECT run, count(*) AS total FROM {_RUNS} r WHERE run = (SELECT max(run) FROM {_RUNS} x) GROUP BY run")
-same("last_two_runs", f"SELECT run, nth FROM (SELECT run, CAST(row_number() OVER (ORDER BY run DESC) AS INT) AS nth FROM (SELECT DISTINCT run FROM {_RUNS} r) u) v WHERE nth <= 2")
+same("last_two_runs", f"SELECT run, nth FROM (SELECT run, CAST(row_number() OVER (ORDER BY run DESC) AS INT) AS nth FROM (SELECT DISTINCT run FROM {_RUNS} r ORDER BY run DESC LIMIT 2) u) v", "Two rows are numbered; the limit is the feature.")
 same(
     "summary_stats",
     f"""SELECT count(*) AS total, count(CASE WHEN success THEN 1 END) AS ok, count(CASE WHEN NOT success THEN 1 END) AS failed,
@@ -111,7 +111,12 @@ def bulk_status(spark, d):
 
 _STATE = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'cancelled' ELSE 'cloning' END"
 _LAST = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)"
-same("job_status", f"SELECT user_id, {_STATE} AS status FROM {_LAST} e WHERE r = 1")
+@runs(f"SELECT user_id, {_STATE} AS status FROM {_LAST} e WHERE r = 1")
+def job_status(spark, d):
+    """The last state of each job, as on a stream."""
+    return job_states(read(spark, d, "events")).select("user_id", "status")
+
+
 #: The stages of a clone and the share done when each begins, in order; the twelfth is no stage.
 _STAGE = "CASE CAST(event_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STAGES)) + " ELSE 'unknown' END"
 _DONE = "CASE CAST(event_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(STAGES.values())) + " END"
