@@ -287,26 +287,25 @@ def _emit(data, ends, doc, mark, offset, keys, span, buckets, width, common) ->
     order, reach = keep[by_bucket], reach[by_bucket]
     for b, lo, hi in zip(*(x.tolist() for x in _runs(bucket[order])), strict=True):
         i = order[lo:hi]
-        blob = b"".join(x.astype(np.int64).tobytes() for x in (own[i], row[i], place[i], reach[lo:hi], strings[i])) + body[i].tobytes()
+        blob = b"".join(x.astype(t).tobytes() for x, t in ((own[i], np.int64), (row[i], np.int64), (place[i], np.int32), (reach[lo:hi], np.int32), (strings[i], np.int32))) + body[i].tobytes()
         yield pa.record_batch([pa.array([b]), pa.array([len(i)]), pa.array([0]), pa.array([0]), pa.array([0]), pa.array([blob])], names=_PHRASE)
 
 
 def _collapsed(keep, key, own, row, place, strings, body, span) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases with those of equal ones in a document that begin at most `span` bytes after each other as one, and how far the last begins behind the first.
+    """Phrases with equal ones that follow each other in a row's text at most `span` bytes on as one, and how far the last begins behind the first.
 
-    What is removed from one of them is removed from all, and without gaps between; so a long run of one byte, or of a
-    short period, is as few phrases as its period has bytes.
+    What is removed from one of them is removed from all, and without gaps between. A run of one byte, or of a period that
+    is no longer than the places of a trigger in a string, is one phrase after another, and so becomes one.
     """
-    order = keep[np.argsort(key[keep] ^ mixed(row[keep].view(np.uint64)), kind="stable")]
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero((key[a] == key[b]) & (own[a] == own[b]) & (row[a] == row[b]) & (strings[a] == strings[b]) & (place[b] > place[a]) & (place[b] - place[a] <= span))
-    first = np.ones(len(order), dtype=bool)
-    first[near[(body[a[near]] == body[b[near]]).all(axis=1)] + 1] = False
+    a, b = keep[:-1], keep[1:]
+    near = np.flatnonzero(key[a] == key[b])
+    a, b = a[near], b[near]
+    near = near[(own[a] == own[b]) & (row[a] == row[b]) & (strings[a] == strings[b]) & (place[b] > place[a]) & (place[b] - place[a] <= span) & (body[a] == body[b]).all(axis=1)]
+    first = np.ones(len(keep), dtype=bool)
+    first[near + 1] = False
     heads = np.flatnonzero(first)
-    lasts = np.append(heads[1:], len(order)) - 1 if len(order) else heads
-    found = order[heads]
-    back = np.argsort(found, kind="stable")
-    return found[back], (place[order[lasts]] - place[found])[back]
+    lasts = np.append(heads[1:], len(keep)) - 1 if len(keep) else heads
+    return keep[heads], place[keep[lasts]] - place[keep[heads]]
 
 
 _PHRASE = ["bucket", "id", "mark", "start", "stop", "blob"]
@@ -352,15 +351,16 @@ def _dictionary(span: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _groups(rows):
-            fields, bodies = [], []
+            names, places, bodies = [], [], []
             for blob in blobs:
                 n, x = blob["id"], blob["blob"]
-                fields.append(np.frombuffer(x, dtype=np.int64, count=5 * n).reshape(5, n))
-                bodies.append(np.frombuffer(x, dtype=np.uint8, offset=40 * n).reshape(n, width))
-            whole, body = np.hstack(fields), np.vstack(bodies)
-            del blobs, fields, bodies
-            order, new, least = _sorted_classes([*_words(body), whole[4].astype(np.uint64)], whole[0])
-            (doc, row, place, reach, strings), body = whole[:, order], body[order]
+                names.append(np.frombuffer(x, dtype=np.int64, count=2 * n).reshape(2, n))
+                places.append(np.frombuffer(x, dtype=np.int32, count=3 * n, offset=16 * n).reshape(3, n))
+                bodies.append(np.frombuffer(x, dtype=np.uint8, offset=28 * n).reshape(n, width))
+            name, at, body = np.hstack(names), np.hstack(places).astype(np.int64), np.vstack(bodies)
+            del blobs, names, places, bodies
+            order, new, least = _sorted_classes([*_words(body), at[2].astype(np.uint64)], name[0])
+            (doc, row), (place, reach, strings), body = name[:, order], at[:, order], body[order]
             later = doc > least
             if later.any():
                 yield _ranges(doc[later], row[later], place[later], place[later] + reach[later] + strings[later] + span - 1)
