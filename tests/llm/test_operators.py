@@ -576,6 +576,14 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.vec_id % 50 == 0).count() == 0
 
 
+def test_top_k_with_columns_that_clash(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    odd = vectors.selectExpr("*", "1 as id", "2 as v", "3 as asks", "4 as lot", "5 as place", "6 as score", "7 as rank")
+    of = lambda frame: sorted(map(tuple, topk.top_k(frame, frame.vec_id % 50 == 0, k=5).collect()))
+    assert of(odd) == of(vectors) and len(of(odd)) == 10
+
+
 @pytest.mark.parametrize(("n", "lot", "scale"), [(3, 1 << 20, 1), (900, 1 << 20, 1), (900, 300, 1), (400, 1 << 20, 2**24), (120, 1 << 20, 2.0**200)])
 def test_top_k_in_lots_with_ties_and_repeated_rows(spark, monkeypatch, n, lot, scale):
     monkeypatch.setattr(topk, "BLOCK", 16)

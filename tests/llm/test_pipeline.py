@@ -48,3 +48,16 @@ def test_contaminated_rows_without_id_go(spark):
     left = pipeline.benchmark_decontamination(spark, docs.repartition(3), SF)
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "nothing of it"), (0, "nothing of it"), (2, "nothing of it")]
+
+
+def test_stages_without_documents(spark):
+    """Every stage of an empty table, and of documents without text or id, gives its columns and keeps what it may not remove."""
+    docs = table(spark, SF, "documents")
+    for name, stage in pipeline.STAGES:
+        none = stage(spark, docs.where("false"), SF)
+        assert none.collect() == [] and (name == "best_fit_packing" or none.columns == docs.columns), name
+    bare = spark.createDataFrame([(None, None, "en", "web", 0), (None, "", "en", "web", 0), (5, None, "en", "web", 0), (5, None, "en", "web", 0)], docs.schema)
+    for name, stage in pipeline.STAGES[1:4]:
+        left = stage(spark, bare, SF)
+        assert left.columns == docs.columns, name
+        assert sum(r.doc_id is None for r in left.collect()) == 2, name
