@@ -60,6 +60,13 @@ def test_names_are_given_once(spark):
     found = A.given_names(frame, "folder", "file", "at").collect()
     assert {r["at"]: r["given"] for r in found} == given(rows, A.RESOURCES)
     assert len(found) == len(rows)
+    # Many repeated names of one family: each with what begins with it, apart from the others; and names that nothing reaches.
+    stems = [f"page{i}" for i in (1, 2, 3, 12, 13, 21, 111, 120, 121, 4, 40, 400)] + ["page", "p", "pa1"]
+    for some in (stems[:12], stems):
+        rows = [(0, i, rng.choice(some) + ".js") for i in range(900)] + [(0, 2_000 + i, f"page{9_000 + i}.js") for i in range(50)] + [(0, 3_000 + i, "page90.js") for i in range(3)]
+        frame = spark.createDataFrame(rows, "folder long, at long, file string").repartition(4)
+        assert {r["at"]: r["given"] for r in A.given_names(frame, "folder", "file", "at").collect()} == given(rows, A.RESOURCES)
+    frame = spark.createDataFrame(rows, "folder long, at long, file string")
     assert A.given_names(frame.limit(0), "folder", "file", "at").count() == 0
 
 

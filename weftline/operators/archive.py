@@ -385,9 +385,10 @@ def viewport_dim(spark, d):
 def given_names(rows: DataFrame, folder: str, name: str, order: str) -> DataFrame:
     """rows with `given`: their file name in the order of a whole-number column, or the first free one of name1, name2, ... before the first dot.
 
-    A lone extension is the extension of 0. Names of a folder that are alike but for digits before the first dot may take
-    each other's; where only one of them occurs its n-th use gets n, where none repeats all stay, and only the others are
-    gone through one after the other, in a task that keeps the names given so far.
+    A lone extension is the extension of 0. Only a name that comes again takes others than its own, and these begin with
+    it, up to the first dot: so names are kin by the shortest of the repeated ones that each begins with, and what has none
+    stays as it is. A repeated name without kin gets n with its n-th use; only the others are gone through one after the
+    other, by a task for each shortest name, that keeps the names given so far.
     """
     cut = F.substring_index(F.substring_index(name, "?", 1), "#", 1)
     lone = cut.isin(*RESOURCES)
@@ -395,11 +396,17 @@ def given_names(rows: DataFrame, folder: str, name: str, order: str) -> DataFram
     # A name that ends with its dot has no extension and loses the dot.
     rows = rows.withColumn("_rest", F.when(F.col("_rest") == ".", "").otherwise(F.col("_rest"))).withColumn("_family", F.regexp_replace("_stem", "[0-9]+$", ""))
     kin = [folder, "_family", "_rest"]
-    sizes = rows.groupBy(*kin, "_stem").agg(F.count("*").alias("_n")).groupBy(*kin).agg(F.count("*").alias("_stems"), F.max("_n").alias("_most"))
-    rows = rows.join(sizes, kin).withColumn("_way", F.when(F.col("_most") == 1, 0).when(F.col("_stems") == 1, 1).otherwise(2))
+    stems = rows.groupBy(*kin, "_stem").agg(F.count("*").alias("_n"))
+    begins = F.transform(F.sequence(F.length("_family"), F.length("_stem")), lambda i: F.substring(F.col("_stem"), F.lit(1), i))
+    heads = stems.where("_n > 1").select(*kin, F.col("_stem").alias("_head"))
+    above = stems.select(*kin, "_stem", F.explode(begins).alias("_head")).join(heads, [*kin, "_head"]).groupBy(*kin, "_stem").agg(F.min("_head").alias("_head"))  # the shortest is the least
+    sizes = above.groupBy(*kin, "_head").agg(F.count("*").alias("_stems"))
+    ways = above.join(sizes, [*kin, "_head"]).select(*kin, "_stem", "_head", F.when(F.col("_stems") == 1, 1).otherwise(2).alias("_way"))
+    rows = rows.join(ways, [*kin, "_stem"], "left").withColumn("_way", F.coalesce("_way", F.lit(0)))
     named = F.concat("_stem", F.when(F.col("_nth") > 0, F.col("_nth").cast("string")).otherwise(""), "_rest")
     plain = rows.where("_way = 0").withColumn("_nth", F.lit(0).cast("long"))
     counted = numbered(rows.where("_way = 1"), [folder, "_stem", "_rest"], order, "_nth")
+    kin.append("_head")
     alike = rows.where("_way = 2").repartition(*kin).sortWithinPartitions(*kin, order)
     out = plain.unionByName(counted).withColumn("given", named)
     columns = [c for c in out.columns if not c.startswith("_")]
@@ -420,7 +427,7 @@ def given_names(rows: DataFrame, folder: str, name: str, order: str) -> DataFram
             yield frame.assign(given=new)[columns]
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*columns).schema.fields)
-    return out.select(*columns).unionByName(alike.select(*[c for c in columns if c != "given"], "_family", "_stem", "_rest").mapInPandas(give, shape))
+    return out.select(*columns).unionByName(alike.select(*[c for c in columns if c != "given"], "_family", "_head", "_stem", "_rest").mapInPandas(give, shape))
 
 
 def _cut(name: str) -> str:
