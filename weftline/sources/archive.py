@@ -12,6 +12,7 @@ import gzip
 import json
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from weftline.functions.feeds import FIELDS, directives, entries
 
 NAME = "weft_archive"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+#: Bytes that opening a file counts as, so that many small files are dealt out too; moves at a time at the end of a write.
+OPENING, MOVES = 1 << 18, 16
 #: Of each kind: the files that are taken, and the columns after `file`, the path below the root.
 KINDS = {
     "file": (("*",), "content binary, size long"),
@@ -117,11 +120,11 @@ class Reader(DataSourceReader):
         for info in sorted(files.get_file_info(fs.FileSelector(base, recursive=True)), key=lambda x: x.path):
             name = info.path[len(base.rstrip("/")) + 1 :]
             if info.is_file and self._takes(name):
-                if own and size + info.size > self.most:
+                if own and size + info.size + OPENING > self.most:
                     out.append(Files(own))
                     own, size = [], 0
                 own.append(name)
-                size += info.size
+                size += info.size + OPENING
         return [*out, Files(own)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ class Writer(DataSourceArrowWriter):
     """Rows (path, content) become files below root.
 
     A task writes into a folder of its own try; nothing is at its place before all tasks are done. Then the files of the
-    tries that counted are moved, one after the other, and the rest is removed: a try that failed, or ran beside another,
+    tries that counted are moved, those of one try after those of another, and the rest is removed: a try that failed, or ran beside another,
     leaves nothing. A path that occurs twice in a task, with other content, is an error; an equal file that is there already
     stays untouched with `changed`. Paths ending in .gz are compressed, with the same bytes each time.
     """
@@ -207,13 +210,13 @@ class Writer(DataSourceArrowWriter):
         from pyarrow import fs
 
         files, base = opened(self.root)
-        for message in messages:
-            if message and message.files:
-                for info in files.get_file_info(fs.FileSelector(message.folder, recursive=True)):
-                    if info.is_file:
-                        to = base + info.path[len(message.folder) :]
-                        files.create_dir(to.rpartition("/")[0], recursive=True)
-                        files.move(info.path, to)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for message in messages:
+                if message and message.files:
+                    moves = [(x.path, base + x.path[len(message.folder) :]) for x in files.get_file_info(fs.FileSelector(message.folder, recursive=True)) if x.is_file]
+                    for above in {to.rpartition("/")[0] for _, to in moves}:
+                        files.create_dir(above, recursive=True)
+                    list(pool.map(lambda move: files.move(*move), moves))
         self._clear(files, base)
 
     def abort(self, messages: list[Staged | None]) -> None:
