@@ -87,6 +87,25 @@ def test_sitemap_entries(spark):
     assert entries("<urlset><url><loc>u") == entries("") == entries(None) == []
 
 
+def fed(spark, folder, name):
+    """What differs between a feed of odd pages and its SQL."""
+    import duckdb
+    from twins import compared
+
+    from weftline.queries import ORACLE_SQL, QUERIES
+
+    titles = ["a", "", "cut &am", "&", "&nbsp; &#0; &amp", "]]> \"q\" 'q'", "two\r\nlines\tand", "&amp;lt;", " ", "<![CDATA["]
+    pages = [(i, f"https://h/{i}?a=1&b=<\"2\">\t3", f"<html><TITLE>x</TITLE><title k='v'>{t}</title>") for i, t in enumerate(titles)] + [(90, "https://h/n", None), (91, "https://h/m", "<p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return compared(spark, con, name, QUERIES[name], ORACLE_SQL[name], str(folder))
+
+
+def test_rss_of_odd_pages(spark, tmp_path):
+    assert fed(spark, tmp_path, "parse_rss") is None
+
+
 def test_crawl_keeps_every_listing(spark):
     rows = [("a", "b", "sitemap"), ("b", "a", "sitemap"), ("a", "u", "url"), ("b", "u", "url"), ("b", "u", "url"), ("z", "v", "url"), ("b", "b", "sitemap")]
     found = A.crawl(spark.createDataFrame(rows, "source string, url string, kind string"), spark.createDataFrame([("a",)], "source string"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
-from weftline.functions.feeds import sitemap_entries
+from weftline.functions.feeds import escaped, sitemap_entries
 from weftline.plans.twin import Registry, read
 from weftline.streaming.jobs import STAGES, job_states, progress
 from weftline.streaming.logs import IDLE, LAPSE, frames
@@ -299,7 +299,8 @@ _HEADED = "(SELECT page_id, url, regexp_replace(regexp_extract(html, '<title[^>]
 @runs("SELECT page_id, url AS loc, nullif(title, '') AS title, 'Mon' AS lastmod FROM " + _HEADED.replace("'and')", "'and', 'g')"))
 def parse_rss(spark, d):
     """A feed of each page with its address and title."""
-    xml = F.expr("concat('<rss><channel><item><title>', title, '</title><link>', replace(url, '&', '&amp;'), '</link><pubDate>Mon</pubDate></item><item><title>no link</title></item></channel></rss>')")
+    title, url = escaped(F.coalesce("title", F.lit(""))), escaped(F.col("url"))
+    xml = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><pubDate>Mon</pubDate></item><item><title>no link</title></item></channel></rss>"))
     return _headed(spark, d).select("page_id", F.inline(sitemap_entries(xml))).select("page_id", "loc", "title", "lastmod")
 
 
