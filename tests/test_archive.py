@@ -106,6 +106,10 @@ def test_rss_of_odd_pages(spark, tmp_path):
     assert fed(spark, tmp_path, "parse_rss") is None
 
 
+def test_atom_of_odd_pages(spark, tmp_path):
+    assert fed(spark, tmp_path, "parse_atom") is None
+
+
 def test_crawl_keeps_every_listing(spark):
     rows = [("a", "b", "sitemap"), ("b", "a", "sitemap"), ("a", "u", "url"), ("b", "u", "url"), ("b", "u", "url"), ("z", "v", "url"), ("b", "b", "sitemap")]
     found = A.crawl(spark.createDataFrame(rows, "source string, url string, kind string"), spark.createDataFrame([("a",)], "source string"))

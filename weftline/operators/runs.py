@@ -307,7 +307,8 @@ def parse_rss(spark, d):
 @runs("SELECT page_id, url AS loc, nullif(title, '') AS title FROM " + _HEADED.replace("'and')", "'and', 'g')"))
 def parse_atom(spark, d):
     """The same in the other form; the first link of an entry counts."""
-    xml = F.expr("concat('<feed><entry><title>', title, '</title><link href=\"', replace(url, '&', '&amp;'), '\"/><link href=\"http://h/b\"/></entry></feed>')")
+    title, url = escaped(F.coalesce("title", F.lit(""))), escaped(F.col("url"))
+    xml = F.concat(F.lit("<feed><entry><title>"), title, F.lit('</title><link href="'), url, F.lit('"/><link href="http://h/b"/></entry></feed>'))
     return _headed(spark, d).select("page_id", F.inline(sitemap_entries(xml))).select("page_id", "loc", "title")
 
 
