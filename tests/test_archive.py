@@ -230,6 +230,14 @@ def test_retries(spark):
     assert not wrong
 
 
+def test_waits_between_tries(spark):
+    """Half a second after an error, then one; none after a way's last try, a bad answer or the end."""
+    rows = [((None,) * 9, 4.5), ((500,) * 9, 0.0), ((None, 200) + (None,) * 7, 0.5), ((500, None, None, 226) + (None,) * 5, 1.0), ((None, 404, None, None, 299) + (None,) * 4, 1.0), ((200,) + (None,) * 8, 0.0)]
+    frame = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(rows)], "i int, " + ", ".join(f"s{j} int" for j in range(9)))
+    found = dict(frame.select("i", W.retried([F.col(f"s{j}") for j in range(9)])[2]).collect())
+    assert found == {i: waited for i, (_, waited) in enumerate(rows)}
+
+
 def test_titles(spark):
     """Those without a title, null or empty, get it from the markup, the first `most` of them alone; where that has none they stay."""
     rows = [(1, "<title>a</title>", "T"), (2, "<TITLE x> b </title>", None), (3, "<p>", ""), (4, "<title>d</title>", ""), (5, "<title>e</title>", None)]

@@ -351,23 +351,28 @@ _WAYS = ("requests", "urllib3", "httpx")
 
 
 def retried(statuses: list, tries: int = 3):
-    """(method, attempts) of a download that tries each way in turn, each up to `tries` times at once, until one is good.
+    """(method, attempts, waited) of a download that tries each way in turn, each up to `tries` times, until one is good.
 
-    statuses are those of all tries in order, null for an error, which the ways take for a bad answer: none waits.
+    statuses are those of all tries in order, null for an error that reaches the loop over the tries; what a way itself
+    catches is a bad answer. After an error, but not after the last try of a way, the next try waits half a second, then
+    twice as long each time; a bad answer does not wait.
     """
     good = [s.isin(200, 201, 202, 203, 204, 206) if i < tries else s.between(200, 299) for i, s in enumerate(statuses)]
     at = F.array_position(F.array(*[F.coalesce(g, F.lit(False)) for g in good]), True)
     attempts = F.when(at > 0, at).otherwise(len(statuses)).cast("int")
-    return [F.when(at > 0, F.element_at(F.array(*map(F.lit, _WAYS)), F.ceil(at / tries).cast("int"))).alias("method"), attempts.alias("attempts")]
+    waits = [F.when(s.isNull() & (attempts > i + 1), 0.5 * 2 ** (i % tries)).otherwise(0.0) for i, s in enumerate(statuses) if i % tries < tries - 1]
+    waited = sum(waits, F.lit(0.0))
+    return [F.when(at > 0, F.element_at(F.array(*map(F.lit, _WAYS)), F.ceil(at / tries).cast("int"))).alias("method"), attempts.alias("attempts"), waited.alias("waited")]
 
 
 _GOOD = [f"s{j} IN (200, 201, 202, 203, 204, 206)" if j < 3 else f"s{j} BETWEEN 200 AND 299" for j in range(9)]
 
 
-@web("SELECT page_id, CASE WHEN n <= 3 THEN 'requests' WHEN n <= 6 THEN 'urllib3' WHEN n <= 9 THEN 'httpx' END AS method, CAST(least(n, 9) AS INTEGER) AS attempts FROM (SELECT *, CASE "
+@web("SELECT page_id, CASE WHEN n <= 3 THEN 'requests' WHEN n <= 6 THEN 'urllib3' WHEN n <= 9 THEN 'httpx' END AS method, CAST(least(n, 9) AS INTEGER) AS attempts, CAST("
+     + " + ".join(f"CASE WHEN s{j} IS NULL AND n > {j + 1} THEN {0.5 * 2 ** (j % 3)} ELSE 0 END" for j in range(9) if j % 3 < 2) + " AS DOUBLE) AS waited FROM (SELECT *, CASE "
      + " ".join(f"WHEN {g} THEN {j + 1}" for j, g in enumerate(_GOOD)) + f" ELSE 10 END AS n FROM {_TRIED}) t")
 def download_attempts(spark, d):
-    """The way that a download came by, and how many tries it took."""
+    """The way that a download came by, how many tries it took, and how long they waited."""
     return _from(spark, d, _TRIED).select("page_id", *retried([F.col(f"s{j}") for j in range(9)]))
 
 
