@@ -238,6 +238,15 @@ def test_waits_between_tries(spark):
     assert found == {i: waited for i, (_, waited) in enumerate(rows)}
 
 
+def test_markup_is_read_once(spark):
+    """Entries of srcset attributes come from the same reading as all other addresses."""
+    html = '<img src="a.png" srcset="b.png 1x 3w, ,c.png"><img src="data:y" srcset="data:x, d.png 2x"><link rel="stylesheet" href=" "><script src="e, f.js"></script>'
+    found = A.linked(spark.createDataFrame([(1, "https://h", html), (1, "https://i", "<img src=g.png>"), (2, "", None)], "page_id long, base string, html string"))
+    rows = sorted((r.base, r.kind, r.place, r.ref, r.descriptor) for r in found.collect())
+    assert rows == [("https://h", "img", 0, "a.png", ""), ("https://h", "script", 0, "e, f.js", ""), ("https://h", "srcset", 0, "b.png", "1x"), ("https://h", "srcset", 1, "d.png", "2x"), ("https://h", "srcset", 2, "c.png", ""), ("https://i", "img", 0, "g.png", "")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("asset_refs(") == 1
+
+
 def test_titles(spark):
     """Those without a title, null or empty, get it from the markup, the first `most` of them alone; where that has none they stay."""
     rows = [(1, "<title>a</title>", "T"), (2, "<TITLE x> b </title>", None), (3, "<p>", ""), (4, "<title>d</title>", ""), (5, "<title>e</title>", None)]

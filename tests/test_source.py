@@ -169,3 +169,34 @@ def test_entries_are_appended(spark, tmp_path):
     for rows in ([("a/metadata.json", 2, '{"i":"é"}'), ("a/metadata.json", 1, '{"i":1}'), ("b/metadata.json", 1, "{}")], [("a/metadata.json", 0, '{"i":3}'), ("c/metadata.json", 0, "[]")]):
         folders.append_entries(spark.createDataFrame(rows, "path string, at int, entry string"), root)
     assert {k: json.loads(v) for k, v in there(root).items()} == {"a/metadata.json": [{"i": 1}, {"i": "é"}, {"i": 3}], "b/metadata.json": [{}], "c/metadata.json": [[]]}
+
+
+def test_new_folders_are_moved_whole(tmp_path, monkeypatch):
+    """At the end of a write a folder costs one move, however many files it has; folders that are there get the files."""
+    from pyarrow import fs
+
+    class Counting:
+        moves = 0
+
+        def __getattr__(self, name):
+            return getattr(fs.LocalFileSystem(), name)
+
+        def move(self, *way):
+            Counting.moves += 1
+            fs.LocalFileSystem().move(*way)
+
+    writer = archive.Writer(str(tmp_path), False)
+    written = []
+    for task in "ab":
+        for name in [*(f"{task}{i}/x/{j}.txt" for i in range(20) for j in range(5)), f"both/{task}.txt", "both/in/one.txt", f"{task}.txt"]:
+            path = tmp_path / writer.staging / task / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(name + task)
+            written.append(name)
+    (tmp_path / "a0").mkdir()
+    (tmp_path / "a0/old.txt").write_text("old")
+    monkeypatch.setattr(archive, "opened", lambda root: (Counting(), root))
+    writer.commit([archive.Staged(str(tmp_path / writer.staging / task), 103) for task in "ab"])
+    there = {str(x.relative_to(tmp_path)) for x in tmp_path.rglob("*") if x.is_file()}
+    assert there == {*written, "a0/old.txt"} and (tmp_path / "both/in/one.txt").read_text() == "both/in/one.txtb"
+    assert Counting.moves < 60

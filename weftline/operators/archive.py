@@ -13,7 +13,7 @@ from weftline.functions import html as H
 from weftline.functions import tables
 from weftline.functions import urls as U
 from weftline.functions.feeds import sitemap_entries  # noqa: F401  offered here as well
-from weftline.operators.web import _CLASS, _FILE, _PATH, _SHAPES, _from, _shapes, srcset
+from weftline.operators.web import _CLASS, _FILE, _PATH, _SHAPES, _from, _shapes, srcset_entry
 from weftline.plans.twin import REFS, Registry, read
 from weftline.session import shared_dir
 
@@ -249,18 +249,21 @@ def rewrite_html(spark, d):
 
 def linked(pages: DataFrame) -> DataFrame:
     """(page_id, base, kind, at, until, place, ref, descriptor) of the addresses in pages (page_id, base, html), those of srcset one by one; empty ones and data are none."""
+    # One pass: the UDF that reads the markup would run again for each branch of a union.
     refs = pages.select("page_id", "base", F.inline(H.asset_refs("html")))
-    sets = srcset(refs.where("kind = 'srcset'")).join(pages.select("page_id", "base"), "page_id").withColumn("kind", F.lit("srcset"))
-    one = refs.where("kind <> 'srcset'").withColumns({"place": F.lit(0), "descriptor": F.lit("")})
-    return one.unionByName(sets).where("trim(ref) <> '' and not startswith(ref, 'data:')")
+    entries = F.when(F.col("kind") == "srcset", F.split("ref", ",")).otherwise(F.array("ref"))
+    one = refs.select("page_id", "base", "kind", "at", "until", F.posexplode(entries).alias("place", "ref"))
+    parts = srcset_entry(F.col("ref"))
+    own = [F.when(F.col("kind") == "srcset", part).otherwise(other).alias(name) for name, part, other in zip(("ref", "descriptor"), parts, (F.col("ref"), F.lit("")), strict=True)]
+    return one.select("page_id", "base", "kind", "at", "until", "place", *own).where("trim(ref) <> '' and not startswith(ref, 'data:')")
 
 
-def localised(pages: DataFrame, local: DataFrame) -> DataFrame:
+def localised(pages: DataFrame, local: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """(page_id, html) with the addresses of pages (page_id, base, html) replaced by their files in local (absolute, local); what has none keeps its address.
 
-    The references of a page come together, never those of several; page_id has to be unique.
+    The references of a page come together, never those of several; page_id has to be unique. refs is linked(pages), where it is at hand.
     """
-    found = linked(pages).withColumn("absolute", U.absolute(F.col("base"), F.col("ref"))).join(local, "absolute", "left").where("local is not null or kind = 'srcset'")
+    found = (linked(pages) if refs is None else refs).withColumn("absolute", U.absolute(F.col("base"), F.col("ref"))).join(local, "absolute", "left").where("local is not null or kind = 'srcset'")
     entry = F.struct("place", F.trim(F.concat(F.coalesce("local", "ref"), F.lit(" "), "descriptor")).alias("entry"))
     by_value = found.groupBy("page_id", "at", "until").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     change = F.struct("at", "until", F.array_join(F.col("entries.entry"), ", ").alias("new"))

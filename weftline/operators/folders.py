@@ -185,10 +185,14 @@ def _rewritten_sql() -> str:
 def written_pages(spark, d):
     """Pages with local references, written as index.html of their folders and read back."""
     pages = _from(spark, d, _REFERRING).select("page_id", "base", F.expr("replace(html, '<article>', concat('<article>', decoy, markup))").alias("html"))
+    # Markup is read once: its references are kept, for the files and for the places where these are put in.
+    kept = folder(spark)
+    linked(pages).write.parquet(kept)
+    refs = spark.read.parquet(kept)
     absolute = U.absolute(F.col("base"), F.col("ref"))
-    local = linked(pages).select(absolute.alias("absolute")).distinct().where("not endswith(absolute, '.gif')").select("absolute", F.concat(F.lit("assets/"), U.file_name(F.col("absolute"))).alias("local"))
+    local = refs.select(absolute.alias("absolute")).distinct().where("not endswith(absolute, '.gif')").select("absolute", F.concat(F.lit("assets/"), U.file_name(F.col("absolute"))).alias("local"))
     to = folder(spark)
-    A.write(localised(pages, local).select(F.concat(F.lit("page-"), "page_id", F.lit("/index.html")).alias("path"), F.col("html").alias("content")), to)
+    A.write(localised(pages, local, refs).select(F.concat(F.lit("page-"), "page_id", F.lit("/index.html")).alias("path"), F.col("html").alias("content")), to)
     return A.read(spark, to, "file", pattern="*/index.html").select("file", "size", F.sha2("content", 256).alias("sha256"))
 
 

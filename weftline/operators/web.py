@@ -159,10 +159,17 @@ def extract_assets(spark, d):
     return _from(spark, d, _FILLED).select("page_id", F.inline(H.asset_refs("html"))).select("page_id", "kind", "ref")
 
 
+def srcset_entry(entry):
+    """The address and the first descriptor, empty where there is none, of an entry of a srcset attribute."""
+    entry = U.stripped(entry)
+    return F.regexp_extract(entry, r"^(\S+)", 1), F.regexp_extract(entry, r"^\S+\s+(\S+)", 1)
+
+
 def srcset(refs):
     """(page_id, at, until, place, ref, descriptor) for the entries of srcset attributes: an address and its first descriptor, empty where there is none. refs has (page_id, at, until, ref)."""
-    entries = refs.select("page_id", "at", "until", F.posexplode(F.split("ref", ",")).alias("place", "entry")).withColumn("entry", U.stripped(F.col("entry"))).where("entry <> ''")
-    return entries.select("page_id", "at", "until", "place", F.regexp_extract("entry", r"^(\S+)", 1).alias("ref"), F.regexp_extract("entry", r"^\S+\s+(\S+)", 1).alias("descriptor"))
+    entries = refs.select("page_id", "at", "until", F.posexplode(F.split("ref", ",")).alias("place", "entry")).where(U.stripped(F.col("entry")) != "")
+    ref, descriptor = srcset_entry(F.col("entry"))
+    return entries.select("page_id", "at", "until", "place", ref.alias("ref"), descriptor.alias("descriptor"))
 
 
 @web("SELECT page_id, 'a' || page_id || '.png 1x, b.png 2x, c.png' AS srcset FROM pages")

@@ -23,8 +23,8 @@ from weftline.functions.feeds import FIELDS, directives, entries
 
 NAME = "weft_archive"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
-#: Bytes that opening a file counts as, so that many small files are dealt out too; moves at a time at the end of a write.
-OPENING, MOVES = 1 << 18, 16
+#: Bytes that opening a file counts as, so that many small files are dealt out too; bytes of small files' rows sent together; moves at a time at the end of a write, each of a lot of files.
+OPENING, TOGETHER, MOVES, LOT = 1 << 18, 1 << 20, 16, 64
 #: Of each kind: the files that are taken, and the columns after `file`, the path below the root.
 KINDS = {
     "file": (("*",), "content binary, size long"),
@@ -131,6 +131,7 @@ class Reader(DataSourceReader):
         files, base = opened(self.root)
         columns = ["file", *(c.split()[0] for c in KINDS[self.kind][1].split(", "))]
         kinds = [pa.string(), *(_ARROW[c.split()[1]] for c in KINDS[self.kind][1].split(", "))]
+        held, size = [], 0
         for name in partition.names:
             with files.open_input_stream(f"{base}/{name}", compression=None) as stream:
                 content = stream.read()
@@ -142,7 +143,13 @@ class Reader(DataSourceReader):
                     raise ValueError(f"{name} is no {self.kind}: {broken}") from broken
                 continue
             if rows:
-                yield pa.RecordBatch.from_arrays(arrays, columns)
+                held.append(pa.RecordBatch.from_arrays(arrays, columns))
+                size += held[-1].nbytes
+            if size >= TOGETHER or len(held) >= 1000:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
 
 
 class PushingReader(Reader):
@@ -166,7 +173,7 @@ class Writer(DataSourceArrowWriter):
     """Rows (path, content) become files below root.
 
     A task writes into a folder of its own try; nothing is at its place before all tasks are done. Then the files of the
-    tries that counted are moved, those of one try after those of another, and the rest is removed: a try that failed, or ran beside another,
+    tries that counted are moved, folders that are new as a whole, those of one try after those of another, and the rest is removed: a try that failed, or ran beside another,
     leaves nothing. A path that occurs twice in a task, with other content, is an error; an equal file that is there already
     stays untouched with `changed`. Paths ending in .gz are compressed, with the same bytes each time.
     """
@@ -209,14 +216,16 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Staged | None]) -> None:
         from pyarrow import fs
 
+        from pyarrow import fs
+
         files, base = opened(self.root)
         with ThreadPoolExecutor(MOVES) as pool:
             for message in messages:
                 if message and message.files:
-                    moves = [(x.path, base + x.path[len(message.folder) :]) for x in files.get_file_info(fs.FileSelector(message.folder, recursive=True)) if x.is_file]
-                    for above in {to.rpartition("/")[0] for _, to in moves}:
-                        files.create_dir(above, recursive=True)
-                    list(pool.map(lambda move: files.move(*move), moves))
+                    there = files.get_file_info(fs.FileSelector(message.folder))
+                    while there:
+                        lots = [there[i : i + LOT] for i in range(0, len(there), LOT)]
+                        there = [below for own in pool.map(lambda lot: _merged(files, lot, message.folder, base), lots) for below in own]
         self._clear(files, base)
 
     def abort(self, messages: list[Staged | None]) -> None:
@@ -229,6 +238,27 @@ class Writer(DataSourceArrowWriter):
             files.delete_dir(f"{base}/{self.staging}")
 
 
+def _merged(files, found: list, root: str, base: str) -> list:
+    """Moves files and folders found below root to their places below base, and returns what is in the folders that are there already; those are not moved."""
+    from pyarrow import fs
+
+    below = []
+    for info in found:
+        to = base + info.path[len(root) :]
+        # Stores without folders move files alone.
+        if info.is_file or files.type_name == "local":
+            try:
+                files.move(info.path, to)
+                continue
+            except OSError:
+                if info.is_file or files.get_file_info(to).type != fs.FileType.Directory:
+                    raise
+        else:
+            files.create_dir(to, recursive=True)
+        below += files.get_file_info(fs.FileSelector(info.path))
+    return below
+
+
 def _content(files, path: str) -> bytes | None:
     from pyarrow import fs
 
