@@ -328,6 +328,28 @@ def test_line_matches_of_rows_that_were_not_read_from_files(spark):
     assert {r.doc_id: list(r.removed) for r in lines.line_matches(docs).collect()} == expected
 
 
+def test_lines_are_cut_once_and_places_are_longs_where_they_fit(spark, monkeypatch):
+    """A text is cut into lines once, no line's row carries its text's other lines, and ids that leave no room for places give the same lines."""
+    assert lines._place(-5, 2**40, 999)[0].startswith("shiftleft(id, 10)")
+    assert lines._place(-(2**52), 2**52 - 1, 999)[0].startswith("shiftleft")
+    assert "decimal" in lines._place(0, 2**52, 999)[0] and "decimal" in lines._place(-(2**52) - 1, 0, 999)[0]
+    plans, types, kept = {}, {}, lines.stored
+
+    def seen(df, name, **how):
+        plans[name], types[name] = df._jdf.queryExecution().optimizedPlan().toString(), dict(df.dtypes)
+        return kept(df, name, **how)
+
+    monkeypatch.setattr(lines, "stored", seen)
+    pool = [prose(9) for _ in range(12)]
+    rows = [(i - 20, "\n".join(rng.choice(pool) if rng.random() < 0.5 else prose(9) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    for shift in (0, 2**62):
+        moved = [(i + shift, text) for i, text in rows]
+        found = lines.line_matches(spark.createDataFrame(moved, SCHEMA)).collect()
+        assert {r.doc_id: list(r.removed) for r in found} == plain_lines(moved)
+        assert types["sets"]["place"] == ("decimal(32,0)" if shift else "bigint")
+        assert not [x for x in plans["lines"].splitlines() if "Filter" in x and "size(split(" in x]
+
+
 def test_lines_of_repeated_rows_and_odd_ids(spark):
     """Rows with one id and one text have one result; negative and very large ids keep their order."""
     text = "one two three four five six"

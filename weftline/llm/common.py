@@ -22,14 +22,17 @@ MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputing beyond it."""
+def stored(df: DataFrame, name: str, *, plain: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputing beyond it.
+
+    plain: no dictionaries are tried, for columns of hashes, which would overflow them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

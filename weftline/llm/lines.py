@@ -49,7 +49,7 @@ def _rarity(texts: DataFrame) -> str:
     Other white space than spaces is left in words here: it shifts the order of words, which may be any, and spares a pass.
     """
     cell = (F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")
-    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
+    words = texts.select(F.explode_outer(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = dict(words.groupBy(cell).count().collect())  # CELLS rows at most
     return "cast(split('" + ",".join(str(min(127, int(3 * log2(counts.get(i, 1))))) for i in range(CELLS)) + "', ',') as array<tinyint>)"
 
@@ -65,17 +65,27 @@ def _ranked(rarity: str) -> str:
     return f"array_distinct(sort_array(transform(transform({_WORDS}, x -> xxhash64(x)), x -> {one})))"
 
 
-def _place(id_col: str = "id", pos: str = "pos") -> str:
-    """SQL for (id, pos) as one number, whose minimum needs no sort."""
-    return f"cast(cast({id_col} as decimal(20,0)) * {1 << 31}BD + {pos} as decimal(32,0))"
+def _place(low: int, high: int, most: int) -> tuple[str, str, str]:
+    """SQL for (id, pos) as one number `place`, whose minimum needs no sort, and for the pos and the id of a place.
+
+    It is a long where ids from low to high leave room for places up to most, else a decimal, which costs a big number for each step.
+    """
+    shift = most.bit_length()
+    if -(1 << 62 - shift) <= low and high < 1 << 62 - shift:
+        return f"shiftleft(id, {shift}) | cast(pos as bigint)", f"cast(place & {(1 << shift) - 1}L as int)", f"shiftright(place, {shift})"
+    pos = f"cast(pmod(place, {1 << 31}BD) as int)"
+    return f"cast(cast(id as decimal(20,0)) * {1 << 31}BD + pos as decimal(32,0))", pos, f"(place - {pos}) div {1 << 31}BD"
 
 
 def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, th, n_lines) for the rows of docs, and (id, th, n_exact, n_near, removed) for those with lines to remove, once for rows with equal id and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    # The test looks at the line, so that it does not repeat the work on its words. The first line stands for its row.
-    lines = texts.withColumn("lines", F.split(_spaced(F.col("text")), "\n")).select("id", "th", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    # Counted before the explosion, so that no line's row carries all lines of its text; there is always a line, and where
+    # that is left open by the outer form, the planner adds no test that cuts the text once more. The test below looks
+    # at the line, so that it does not repeat the work on its words. The first line stands for its row.
+    lines = texts.withColumn("lines", F.split(_spaced(F.col("text")), "\n")).select("id", "th", F.size("lines").alias("n_lines"), "lines")
+    lines = lines.select("id", "th", "n_lines", F.posexplode_outer("lines").alias("pos", "line"))
     lines = lines.where((F.col("id").isNotNull() & (F.ltrim("line") != "")) | (F.col("pos") == 0))
     ranked = F.expr(_ranked(_rarity(texts)))
     kept = stored(
@@ -84,12 +94,14 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
             F.expr(f"case when size(h) * {100 - percent} >= {percent} then slice(h, 1, size(h) - cast(ceil(size(h) * {percent} / 100) as int) + 1) end").alias("prefix"),
         ),
         "lines",
+        plain=True,
     )
     rows = kept.where("pos = 0").select("id", "th", F.col("n_lines").cast("long").alias("n_lines"))
     kept = kept.where("id is not null and t > 0")
-    # Each set once, with its first place as one number, (id, pos), so that its minimum needs no sort.
-    firsts = kept.withColumn("place", F.expr(_place())).groupBy("f", "bits", "t", "prefix")
-    sets = stored(firsts.agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.count("*").alias("n")), "sets")
+    place, pos_of, id_of = _place(*kept.agg(*(F.coalesce(f, F.lit(0)) for f in (F.min("id"), F.max("id"), F.max("pos")))).first())
+    # Each set once, with its first place.
+    firsts = kept.withColumn("place", F.expr(place)).groupBy("f", "bits", "t", "prefix")
+    sets = stored(firsts.agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.count("*").alias("n")), "sets", plain=True)
     # Sets too small to match any but themselves have no prefix: t / (t + 1) is below the threshold.
     words = sets.where("prefix is not null").select(F.posexplode("prefix").alias("p", "w"), "f", "t", "bits").select("w", "f", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("tp"), "bits")
     ta, tb = "(a.tp >> 32)", "(b.tp >> 32)"
@@ -105,18 +117,19 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
 
     # The whole sets of lines with a partner, from the first line that has them, under the first of their words that passed.
     wanted = near.groupBy("f", "bits").agg(F.min("w").alias("w"), F.min_by("tp", "w").alias("tp"))
-    places = wanted.join(sets.select("f", "bits", "place", "th"), ["f", "bits"]).withColumn("pos", F.expr(f"cast(pmod(place, {1 << 31}BD) as int)"))
-    places = places.withColumn("id", F.expr(f"(place - pos) div {1 << 31}BD")).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "f", "bits", "w", "tp", "place")).alias("at"))
+    places = wanted.join(sets.select("f", "bits", "place", "th"), ["f", "bits"]).withColumn("pos", F.expr(pos_of))
+    places = places.withColumn("id", F.expr(id_of)).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "f", "bits", "w", "tp", "place")).alias("at"))
     # One small row for a document: as the built side of a hash join it spares a sort of all texts. Lines are taken out of
     # their text before the explosion, so that no row carries a whole text.
     own = ("f", "bits", "w", "tp", "place")
     parts = ", ".join(f"'{c}', x.{c}" for c in own)
-    taken = F.explode(F.expr(f"transform(at, x -> named_struct({parts}, 'line', get(lines, x.pos)))")).alias("at")
+    taken = F.explode_outer(F.expr(f"transform(at, x -> named_struct({parts}, 'line', get(lines, x.pos)))")).alias("at")
     fetched = texts.join(places.hint("shuffle_hash"), ["id", "th"]).withColumn("lines", F.split("text", "\n")).select("id", "th", taken).select("id", "th", "at.*")
-    fetched = fetched.withColumn("line", _spaced(F.col("line"))).select("id", "th", *own, F.expr(f"array_distinct(transform({_WORDS}, x -> xxhash64(x)))").alias("h")).dropDuplicates(["id", "th", "f", "bits"])
+    # Rows with equal id and text bring their lines again.
+    fetched = fetched.distinct().withColumn("line", _spaced(F.col("line"))).select(*own, F.expr(f"array_distinct(transform({_WORDS}, x -> xxhash64(x)))").alias("h"))
     # Parities of the words with an odd 64th part; with `bits`, of all words, they tell those of the other words.
     half = F.expr("aggregate(h, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int))))")
-    whole = stored(fetched.select(*own, "h").withColumn("half", half), "whole")
+    whole = stored(fetched.select(*own, "h").withColumn("half", half), "whole", plain=True)
     odd = "bit_count(a.half ^ b.half) + bit_count(a.bits ^ a.half ^ b.bits ^ b.half)"
     cheap = f"{cheap} and {100 + percent} * ({odd}) <= {most} and b.place < a.place"
     exact = f"{cheap} and {100 + percent} * size(array_intersect(a.h, b.h)) >= {percent} * ({ta} + {tb})"
@@ -135,7 +148,7 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
     first = sets.select("f", "bits", "n", F.col("place").alias("first")).join(later, ["f", "bits"], "left").where("n > 1 or near")
     marked = kept.select("id", "th", "pos", "f", "bits").join(first, ["f", "bits"])
     # A place and whether its line is there again, as one number; rows with equal id and text say the same.
-    marked = marked.withColumn("again", F.expr(f"{_place()} <> first")).where("again or near").select("id", "th", F.expr("pos * 2L + cast(again as int)").alias("mark"))
+    marked = marked.withColumn("again", F.expr(f"({place}) <> first")).where("again or near").select("id", "th", F.expr("pos * 2L + cast(again as int)").alias("mark"))
     gone = marked.groupBy("id", "th").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
     n_exact = F.expr("cast(size(filter(marks, x -> x % 2 = 1)) as bigint)")
     return rows, gone.select("id", "th", n_exact.alias("n_exact"), (F.size("marks") - n_exact).alias("n_near"), F.expr("transform(marks, x -> cast(x div 2 as int))").alias("removed"))
