@@ -350,6 +350,39 @@ def test_lines_are_cut_once_and_places_are_longs_where_they_fit(spark, monkeypat
         assert not [x for x in plans["lines"].splitlines() if "Filter" in x and "size(split(" in x]
 
 
+def test_words_are_ranked_without_casts_and_the_second_round_is_put_together_once(spark, monkeypatch):
+    """No lambda function over words casts; near lines' words are one table, so that a reading of it is one join; joins on sets' names sort neither side."""
+    plans, kept = {}, lines.stored
+
+    def seen(df, name, **how):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name, **how)
+
+    monkeypatch.setattr(lines, "stored", seen)
+    # Changed words differ from line to line, so that lines match under several words, in both rounds; some lines occur twice.
+    rows = []
+    for i in range(40):
+        own = []
+        for k in range(6):
+            w = [f"f{k}w{j}" for j in range(20)]
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(20)] = rng.choice(VOCABULARY)
+            own.append(" ".join(w))
+        rows.append((i, "\n".join([*own, rng.choice(own)])))
+    found = lines.line_matches(spark.createDataFrame(rows, SCHEMA)).collect()
+    expected = plain_lines(rows)
+    assert {r.doc_id: list(r.removed) for r in found} == expected and any(expected.values())
+    for r in found:
+        before = [frozenset(x.split(" ")) for i, t in rows if i < r.doc_id for x in t.split("\n")]
+        own = [frozenset(x.split(" ")) for x in dict(rows)[r.doc_id].split("\n")]
+        assert r.n_exact == sum(x in before or x in own[:p] for p, x in enumerate(own)) and r.n_exact + r.n_near == len(r.removed)
+    for name in ("lines", "whole"):
+        # Up to the end of the line: what is inside a lambda function, constants folded.
+        assert not [x for x in re.findall(r"lambdafunction\((.*)", plans[name]) if re.search(r"cast\((?:lambda|\(lambda)", x)]
+    assert "Join LeftOuter" in plans["words"] and plans["words"].count("strategy=shuffle_hash") == 1
+    assert len(re.findall(r"\bJoin ", plans["open"])) == 1 and plans["twice"].count("strategy=shuffle_hash") == 2
+
+
 def test_lines_of_repeated_rows_and_odd_ids(spark):
     """Rows with one id and one text have one result; negative and very large ids keep their order."""
     text = "one two three four five six"

@@ -51,17 +51,19 @@ def _rarity(texts: DataFrame) -> str:
     cell = (F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")
     words = texts.select(F.explode_outer(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = dict(words.groupBy(cell).count().collect())  # CELLS rows at most
-    return "cast(split('" + ",".join(str(min(127, int(3 * log2(counts.get(i, 1))))) for i in range(CELLS)) + "', ',') as array<tinyint>)"
+    return "cast(split('" + ",".join(str(min(127, int(3 * log2(counts.get(i, 1))))) for i in range(CELLS)) + "', ',') as array<bigint>)"
 
 
+#: The bits of a long by number, to be looked up: a step a word less than a shift, whose number would be cast.
+_BITS = "array(" + ", ".join(f"shiftleft(1L, {i})" for i in range(64)) + ")"
 #: The words of a line.
 _WORDS = "array_remove(split(line, ' '), '')"
 
 
 def _ranked(rarity: str) -> str:
     """SQL for the sorted set of a line's words: each is one number, rarity above hash, so no comparator is needed."""
-    # Every cell has a value; coalesce() tells the planner, which then sorts plain numbers.
-    one = f"shiftleft(cast(coalesce({rarity}[cast(x & {CELLS - 1} as int)], 0Y) as bigint), {HASH_BITS}) | (x & {2**HASH_BITS - 1})"
+    # Every cell has a value; coalesce() tells the planner, which then sorts plain numbers. No casts: each costs a step a word.
+    one = f"shiftleft(coalesce({rarity}[x & {CELLS - 1}], 0L), {HASH_BITS}) | (x & {2**HASH_BITS - 1})"
     return f"array_distinct(sort_array(transform(transform({_WORDS}, x -> xxhash64(x)), x -> {one})))"
 
 
@@ -90,7 +92,7 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
     ranked = F.expr(_ranked(_rarity(texts)))
     kept = stored(
         lines.select("id", "th", "n_lines", "pos", ranked.alias("h")).select(
-            "id", "th", "n_lines", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits"),
+            "id", "th", "n_lines", "pos", F.size("h").alias("t"), F.xxhash64("h").alias("f"), F.expr(f"aggregate(h, 0L, (a, x) -> a ^ {_BITS}[x & 63])").alias("bits"),
             F.expr(f"case when size(h) * {100 - percent} >= {percent} then slice(h, 1, size(h) - cast(ceil(size(h) * {percent} / 100) as int) + 1) end").alias("prefix"),
         ),
         "lines",
@@ -117,7 +119,7 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
 
     # The whole sets of lines with a partner, from the first line that has them, under the first of their words that passed.
     wanted = near.groupBy("f", "bits").agg(F.min("w").alias("w"), F.min_by("tp", "w").alias("tp"))
-    places = wanted.join(sets.select("f", "bits", "place", "th"), ["f", "bits"]).withColumn("pos", F.expr(pos_of))
+    places = sets.select("f", "bits", "place", "th").join(wanted.hint("shuffle_hash"), ["f", "bits"]).withColumn("pos", F.expr(pos_of))
     places = places.withColumn("id", F.expr(id_of)).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "f", "bits", "w", "tp", "place")).alias("at"))
     # One small row for a document: as the built side of a hash join it spares a sort of all texts. Lines are taken out of
     # their text before the explosion, so that no row carries a whole text.
@@ -128,7 +130,7 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
     # Rows with equal id and text bring their lines again.
     fetched = fetched.distinct().withColumn("line", _spaced(F.col("line"))).select(*own, F.expr(f"array_distinct(transform({_WORDS}, x -> xxhash64(x)))").alias("h"))
     # Parities of the words with an odd 64th part; with `bits`, of all words, they tell those of the other words.
-    half = F.expr("aggregate(h, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int))))")
+    half = F.expr(f"aggregate(h, 0L, (a, x) -> if(x & 64 = 0, a, a ^ {_BITS}[x & 63]))")
     whole = stored(fetched.select(*own, "h").withColumn("half", half), "whole", plain=True)
     odd = "bit_count(a.half ^ b.half) + bit_count(a.bits ^ a.half ^ b.bits ^ b.half)"
     cheap = f"{cheap} and {100 + percent} * ({odd}) <= {most} and b.place < a.place"
@@ -136,19 +138,23 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Da
     once = stored(whole.alias("a").join(whole.alias("b"), F.expr(exact), "left_semi").select("f", "bits"), "once")
     # Pairs under one word have been compared: if they match, their first common word is the first of either that passed.
     again = f"{cheap} and a.w1 <> b.w1"
-    words = near.join(whole.select("f", "bits", "place", F.col("w").alias("w1"), "half"), ["f", "bits"])
-    open_ = stored(words.join(once, ["f", "bits"], "left_anti").alias("a").join(words.alias("b"), F.expr(again), "left_semi"), "open")
-    other = words.alias("b").join(open_.alias("a"), F.expr(again), "left_semi")
+    # They are put together once, with what is settled, for the three readings below.
+    own = whole.select("f", "bits", "place", F.col("w").alias("w1"), "half").join(once.withColumn("done", F.lit(True)), ["f", "bits"], "left")
+    words = stored(near.join(own.hint("shuffle_hash"), ["f", "bits"]), "words", plain=True)
+    open_ = stored(words.where("done is null").drop("done").alias("a").join(words.alias("b"), F.expr(again), "left_semi"), "open")
+    other = words.drop("done").alias("b").join(open_.alias("a"), F.expr(again), "left_semi")
     full = whole.select("f", "bits", "h")
-    twice = open_.join(full, ["f", "bits"]).alias("a").join(other.join(full, ["f", "bits"]).alias("b"), F.expr(exact), "left_semi").select("f", "bits").distinct()
+    a, b = (full.join(some.hint("shuffle_hash"), ["f", "bits"]) for some in (open_, other))
+    twice = a.alias("a").join(b.alias("b"), F.expr(exact), "left_semi").select("f", "bits").distinct()
     twice = stored(twice, "twice")
-    dropped(near, whole, open_)
+    dropped(near, words, whole, open_)
 
     later = once.union(twice).withColumn("near", F.lit(True))
-    first = sets.select("f", "bits", "n", F.col("place").alias("first")).join(later, ["f", "bits"], "left").where("n > 1 or near")
-    marked = kept.select("id", "th", "pos", "f", "bits").join(first, ["f", "bits"])
+    # A set that occurs once is where it is first.
+    first = sets.where("n > 1").select("f", "bits", F.col("place").alias("first")).join(later, ["f", "bits"], "full")
+    marked = kept.select("id", "th", "pos", "f", "bits").join(first.hint("shuffle_hash"), ["f", "bits"])
     # A place and whether its line is there again, as one number; rows with equal id and text say the same.
-    marked = marked.withColumn("again", F.expr(f"({place}) <> first")).where("again or near").select("id", "th", F.expr("pos * 2L + cast(again as int)").alias("mark"))
+    marked = marked.withColumn("again", F.expr(f"coalesce(({place}) <> first, false)")).where("again or near").select("id", "th", F.expr("pos * 2L + cast(again as int)").alias("mark"))
     gone = marked.groupBy("id", "th").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
     n_exact = F.expr("cast(size(filter(marks, x -> x % 2 = 1)) as bigint)")
     return rows, gone.select("id", "th", n_exact.alias("n_exact"), (F.size("marks") - n_exact).alias("n_near"), F.expr("transform(marks, x -> cast(x div 2 as int))").alias("removed"))
